@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,15 @@ _NOT_ALNUM = r"[^\p{L}\p{N}]"
 _PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` written and computed once.
+
+    A column expression that mentions its argument several times grows with every nesting; a lambda
+    variable keeps it flat.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Remove white space of every kind from both ends (``trim`` only removes blanks)."""
     return F.regexp_replace(text, _EDGE_SPACE, "")
@@ -18,7 +29,7 @@ def strip(text: Column) -> Column:
 
 def blank_to_null(text: Column) -> Column:
     """Stripped text, NULL when nothing is left."""
-    return F.nullif(strip(text), F.lit(""))
+    return bound(strip(text), lambda t: F.when(t != "", t))
 
 
 def key_text(text: Column) -> Column:
@@ -36,12 +47,12 @@ def zero_pad(text: Column, width: int) -> Column:
 
     ``lpad`` alone would cut text that is longer than ``width``.
     """
-    signed = F.concat(
-        F.left(text, F.lit(1)),
-        F.lpad(F.right(text, F.length(text) - 1), width - 1, "0"),
-    )
-    padded = F.when(text.rlike("^[+-]"), signed).otherwise(F.lpad(text, width, "0"))
-    return F.when(F.length(text) < width, padded).otherwise(text)
+
+    def padded(t: Column) -> Column:
+        zeros = F.repeat(F.lit("0"), F.lit(width) - F.length(t))
+        return F.regexp_replace(F.concat(zeros, t), r"^(0*)([+-])", "$2$1")
+
+    return bound(text, padded)
 
 
 def numeric_code(value: Column, width: int) -> Column:
@@ -49,10 +60,13 @@ def numeric_code(value: Column, width: int) -> Column:
 
     Numbers lose their fraction (``3.0`` -> ``003``); text that is no number is padded as it is.
     """
-    text = blank_to_null(value.cast("string"))
-    number = F.when(text.rlike(_PLAIN_NUMBER), text).try_cast("double")
-    whole = F.when(F.abs(number) < 1e15, number.cast("long")).cast("string")
-    return F.coalesce(zero_pad(F.coalesce(whole, text), width), F.lit(""))
+
+    def coded(text: Column) -> Column:
+        number = F.when(text.rlike(_PLAIN_NUMBER), text).try_cast("double")
+        whole = bound(number, lambda x: F.when(F.abs(x) < 1e15, x.cast("long"))).cast("string")
+        return zero_pad(F.coalesce(whole, text), width)
+
+    return F.coalesce(bound(blank_to_null(value.cast("string")), coded), F.lit(""))
 
 
 def fips_code(value: Column, width: int = 5) -> Column:

@@ -146,7 +146,7 @@ def month_columns(
         for m in range(1, 13)
         for c in columns
     ]
-    seen = F.bit_count(F.bit_or(F.shiftleft(F.lit(1), F.col("month").cast("int"))))
+    seen = F.bit_count(F.bit_or(F.expr("shiftleft(1, CAST(month AS INT))")))
     return monthly.groupBy(*keys).agg(*cells, seen.alias(f"{prefix}_month_count"))
 
 

@@ -17,7 +17,7 @@ from furrow.functions.codes import (
 )
 from furrow.functions.numeric import finite_or_null, flag
 from furrow.functions.records import json_safe
-from furrow.functions.text import blank_to_null, fips_code, numeric_code, strip
+from furrow.functions.text import blank_to_null, bound, fips_code, numeric_code, strip
 from furrow.operators.joins import BROADCAST_ROWS, with_group_stats
 
 # --- fixed values: record fields ----------------------------------------------------------------
@@ -93,18 +93,21 @@ def county_id_of(columns: Sequence[str]) -> Column:
 
 def target_number(value: Column) -> Column:
     """Finite label value, NULL when the cell holds no such number."""
-    return finite_or_null(strip(value.cast("string")).try_cast("double"))
+    return bound(strip(value.cast("string")).try_cast("double"), finite_or_null)
 
 
 def target_problem(value: Column) -> Column:
     """Why a label cannot be used, NULL when it can."""
-    text = blank_to_null(value.cast("string"))
-    number = text.try_cast("double")
-    return (
-        F.when(text.isNull(), F.lit("missing"))
-        .when(number.isNull(), F.lit("not numeric"))
-        .when(finite_or_null(number).isNull(), F.lit("not finite"))
-    )
+
+    def problem(text: Column) -> Column:
+        number = text.try_cast("double")
+        return (
+            F.when(text.isNull(), F.lit("missing"))
+            .when(number.isNull(), F.lit("not numeric"))
+            .when(finite_or_null(number).isNull(), F.lit("not finite"))
+        )
+
+    return bound(blank_to_null(value.cast("string")), problem)
 
 
 def anchors(

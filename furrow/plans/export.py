@@ -78,7 +78,7 @@ def label_paths(spark: SparkSession, root: str) -> DataFrame:
     """Label files below ``root`` as relative paths."""
     listing = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{LABEL_FILES}")
     start = F.lit("USDA Crop Dataset/")
-    plain = F.url_decode(F.col("path"))
+    plain = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
     return listing.select(F.concat(start, F.substring_index(plain, "USDA Crop Dataset/", -1)).alias("path"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions.codes import SPLITS
 from furrow.functions.records import json_safe
+from furrow.functions.text import bound
 
 # Envelope fields written even when NULL; all other NULL fields are left out.
 _ALWAYS = ("split", "target_kind", "target_value", "target_unit", "source_path")
@@ -22,15 +23,18 @@ def record_json(df: DataFrame, keep_nulls: Sequence[str] = ()) -> Column:
     """
     clean = {f.name: json_safe(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}
     written = F.to_json(F.struct(*[c.alias(n) for n, c in clean.items()]))
-    for name in keep_nulls:
-        if name in clean:
-            null_field = F.concat(
-                F.left(written, F.length(written) - 1),
-                F.when(F.length(written) > 2, F.lit(",")).otherwise(F.lit("")),
-                F.lit(f'"{name}":null}}'),
-            )
-            written = F.when(clean[name].isNull(), null_field).otherwise(written)
-    return written
+    kept = [n for n in keep_nulls if n in clean]
+    if not kept:
+        return written
+    nulls = F.concat_ws(",", *[F.when(clean[n].isNull(), F.lit(f'"{n}":null')) for n in kept])
+
+    def extended(both: Column) -> Column:
+        fields, missing = both["written"], both["nulls"]
+        comma = F.when(F.length(fields) > 2, F.lit(",")).otherwise(F.lit(""))
+        longer = F.concat(F.left(fields, F.length(fields) - 1), comma, missing, F.lit("}"))
+        return F.when(missing == "", fields).otherwise(longer)
+
+    return bound(F.struct(written.alias("written"), nulls.alias("nulls")), extended)
 
 
 def write_jsonl(df: DataFrame, path: str, keep_nulls: Sequence[str] = ()) -> int:
@@ -72,7 +76,7 @@ def write_manifest(df: DataFrame, path: str, settings: Mapping[str, object]) ->
         F.sum("rows").alias("rows_written"),
     )
     stats = F.map_from_entries(
-        F.sort_array(F.collect_list(F.struct("modality", F.struct("split_counts", "rows_written"))))
+        F.collect_list(F.struct("modality", F.struct("split_counts", "rows_written")))
     )
     fixed = F.lit(json.dumps(settings, ensure_ascii=False))
     whole = F.concat(F.left(fixed, F.length(fixed) - 1), F.lit(', "modality_stats": '), F.to_json(stats), F.lit("}"))

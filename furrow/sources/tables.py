@@ -70,13 +70,13 @@ def read_anchors(
     parts = []
     for (crop, _), files in by_crop.items():
         frame = read_csv(spark, [f for f, _ in files], infer=True)
-        path = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:/*", "/")
-        lookup = F.create_map(
-            *[F.lit(x) for f, row in files for x in (f, row["path"])]
-        )
-        relative = F.element_at(
-            F.map_values(F.map_filter(lookup, lambda full, _: F.endswith(path, full))), 1
+        # The file's URI is percent-encoded, but a plus sign in it stands for itself.
+        uri = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+        full_to_listed = F.create_map(*[F.lit(x) for f, row in files for x in (f, row["path"])])
+        listed_names = F.map_values(
+            F.map_filter(full_to_listed, lambda full, _: F.endswith(F.url_decode(uri), full))
         )
+        relative = F.element_at(listed_names, 1)
         frame = frame.withColumn("source_path", relative)
         fields = with_label_path_fields(frame.withColumn("path", F.col("source_path")))
         parts.append(
