@@ -4,8 +4,8 @@ A *mask table* has one row per scene with at least one true pixel: ``scene_id``,
 and ``cells``, the sorted positions of the true pixels. Scenes without a true pixel have no row.
 
 True pixels are first merged to horizontal runs and contacts between runs of neighbouring lines, all
-inside the scene's row. What is left is a small graph over all scenes, on which alternating
-large-star / small-star steps (Kiveris et al., 2014) run until every patch is a star.
+inside the scene's row (:func:`patch_graphs`). What is left is a small graph over all scenes, on which
+alternating large-star / small-star steps (Kiveris et al., 2014) run until every patch is a star.
 """
 
 from __future__ import annotations
@@ -69,28 +69,55 @@ def _with_runs(masks: DataFrame) -> DataFrame:
     return settled(runs, owner=owner).drop("_first", "_last")
 
 
-def _contacts(with_runs: DataFrame) -> DataFrame:
-    """Pairs of touching runs, ``a`` one line below ``b``."""
-    p, width = F.col("p"), F.col("width")
-    pixels = with_runs.select("scene_id", "width", "owner", F.explode("cells").alias("p"))
-    owner = lambda at: F.coalesce(F.get("owner", at), F.lit(-1))
-    around = pixels.select(
-        "scene_id",
-        owner(p).alias("b"),
-        owner(p + width).alias("below"),
-        F.when(p % width > 0, owner(p + width - 1)).otherwise(-1).alias("left"),
-        F.when(p % width < width - 1, owner(p + width + 1)).otherwise(-1).alias("right"),
-    )
-    # With the pixel below in the mask, its diagonal neighbours belong to the same run.
-    only_diagonal = F.col("below") < 0
-    touched = F.array(
-        F.when(only_diagonal, F.col("left")).otherwise(F.col("below")),
-        F.when(only_diagonal, F.col("right")).otherwise(F.lit(-1)),
+def _contacts() -> Column:
+    """Pairs of touching runs, ``a`` one line below ``b``, each pair once.
+
+    The runs that touch a run from below are the distinct owners under it, one pixel wider on both
+    sides as far as the line goes.
+    """
+    width = F.col("width")
+
+    def of_run(run: Column) -> Column:
+        left = F.when(run["_first"] % width > 0, run["_first"] - 1).otherwise(run["_first"])
+        right = F.when((run["_last"] + 1) % width > 0, run["_last"] + 1).otherwise(run["_last"])
+        under = F.slice("owner", left + width + 1, right - left + 1)
+        touching = F.array_except(under, F.array(F.lit(-1)))
+        return F.transform(
+            touching, lambda t: F.struct(t.alias("a"), run["_first"].alias("b"))
+        )
+
+    return F.flatten(F.transform("runs", of_run))
+
+
+def _boundary() -> Column:
+    """Number of true pixels with a false or outside pixel among their eight neighbours."""
+    width = F.col("width")
+    inside = lambda at: F.coalesce(F.get("owner", at), F.lit(-1)) >= 0
+
+    def on_edge(p: Column) -> Column:
+        inner = (p % width > 0) & ((p + 1) % width > 0)
+        for line in (-1, 1):
+            for side in (-1, 0, 1):
+                inner = inner & inside(p + width * line + side)
+        return ~(inner & inside(p - 1) & inside(p + 1))
+
+    return F.size(F.filter("cells", on_edge))
+
+
+def patch_graphs(masks: DataFrame) -> DataFrame:
+    """One compact row per mask: ``runs``, ``contacts``, ``mask_pixels`` and ``boundary_pixels``.
+
+    Computed once, within the rows, into the checkpoint folder; everything below reads it from there
+    instead of going back to the pixels.
+    """
+    graphs = settled(
+        _with_runs(masks),
+        contacts=_contacts(),
+        mask_pixels=F.size("cells").cast("long"),
+        boundary_pixels=_boundary().cast("long"),
     )
-    return (
-        around.select("scene_id", F.explode(touched).alias("a"), "b")
-        .filter(F.col("a") >= 0)
-        .distinct()
+    return cut_lineage(
+        graphs.select("scene_id", "runs", "contacts", "mask_pixels", "boundary_pixels")
     )
 
 
@@ -145,22 +172,22 @@ def star_roots(edges: DataFrame) -> DataFrame:
     ``edges`` has ``a > b``. A round shuffles once, by scene; its steps only sort within the
     partitions, since every key starts with the scene. Rounds end in the checkpoint folder.
     """
-    edges = cut_lineage(edges)
-    while not _all_stars(edges):
+    while True:
         edges = edges.repartition("scene_id")
         for _ in range(STEPS_PER_ROUND):
             edges = _small_star(_large_star(edges))
         edges = cut_lineage(edges)
-    return edges
+        if _all_stars(edges):
+            return edges
 
 
-def patch_sizes(masks: DataFrame) -> DataFrame:
+def patch_sizes(graphs: DataFrame) -> DataFrame:
     """Pixels of every patch: ``scene_id``, ``patch`` (its first position) and ``area``."""
-    with_runs = _with_runs(masks)
-    roots = star_roots(_contacts(with_runs)).select(
+    edges = graphs.select("scene_id", F.inline("contacts").alias("a", "b"))
+    roots = star_roots(edges).select(
         F.col("scene_id").alias("_scene"), F.col("a").alias("_run"), F.col("b").alias("_root")
     )
-    runs = with_runs.select("scene_id", F.inline("runs").alias("first", "last"))
+    runs = graphs.select("scene_id", F.inline("runs").alias("first", "last"))
     joined = runs.join(
         roots, (F.col("scene_id") == F.col("_scene")) & (F.col("first") == F.col("_run")), "left"
     )
@@ -169,26 +196,12 @@ def patch_sizes(masks: DataFrame) -> DataFrame:
     )
 
 
-def patch_stats(masks: DataFrame) -> DataFrame:
+def patch_stats(graphs: DataFrame) -> DataFrame:
     """Number, mean, population deviation and maximum of a scene's patch areas."""
     area = F.col("area").cast("double")
-    return patch_sizes(masks).groupBy("scene_id").agg(
+    return patch_sizes(graphs).groupBy("scene_id").agg(
         F.count(F.lit(1)).alias("patches"),
         F.avg(area).alias("mean_area"),
         F.stddev_pop(area).alias("std_area"),
         F.max(area).alias("max_area"),
     )
-
-
-def boundary_pixels(masks: DataFrame) -> DataFrame:
-    """True pixels, and those of them with a false or outside pixel among their eight neighbours."""
-    p, width = F.col("p"), F.col("width")
-    pixels = _with_runs(masks).select("scene_id", "width", "owner", F.explode("cells").alias("p"))
-    owner = lambda at: F.coalesce(F.get("owner", at), F.lit(-1)) >= 0
-    inner = (p % width > 0) & (p % width < width - 1)
-    for dy in (-1, 0, 1):
-        for dx in (-1, 0, 1):
-            inner = inner & owner(p + width * dy + dx)
-    return pixels.groupBy("scene_id").agg(
-        F.count(F.lit(1)).alias("mask_pixels"), F.count_if(~inner).alias("boundary_pixels")
-    )

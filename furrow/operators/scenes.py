@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.numeric import flag, guarded_divide
-from furrow.operators.patches import boundary_pixels, mask_above, mask_of_pixels, patch_stats
+from furrow.operators.patches import mask_above, mask_of_pixels, patch_graphs, patch_stats
 from furrow.operators.rasters import (
     FULL,
     ColourThresholds,
@@ -177,7 +177,8 @@ def index_features(
 ) -> DataFrame:
     """All features of vegetation-index scenes, one row per scene."""
     stats = index_statistics(scenes, limits, on_empty)
-    patches = patch_stats(mask_above(scenes, limits.healthy)).select("scene_id", "patches", "max_area")
+    graphs = patch_graphs(mask_above(scenes, limits.healthy))
+    patches = patch_stats(graphs).select("scene_id", "patches", "max_area")
     size = scenes.select("scene_id", (F.col("height") * F.col("width")).alias("cells"))
     joined = _with_scene(_with_scene(stats, patches), size)
     largest = F.coalesce(F.col("max_area"), F.lit(0.0)) / F.col("cells")
@@ -246,10 +247,9 @@ def colour_features(
     scenes: DataFrame, limits: ColourThresholds = ColourThresholds()
 ) -> DataFrame:
     """All features of RGB scenes, one row per scene."""
-    masks = green_masks(scenes, limits)
-    joined = _with_scene(
-        _with_scene(colour_statistics(scenes, limits), patch_stats(masks)), boundary_pixels(masks)
-    )
+    graphs = patch_graphs(green_masks(scenes, limits))
+    edges = graphs.select("scene_id", "mask_pixels", "boundary_pixels")
+    joined = _with_scene(_with_scene(colour_statistics(scenes, limits), patch_stats(graphs)), edges)
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
     area, edge = zero("mask_pixels").cast("double"), zero("boundary_pixels").cast("double")
     mean, spread = zero("mean_area"), zero("std_area")

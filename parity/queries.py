@@ -35,7 +35,7 @@ from furrow.operators.labels import (
     split_counts,
     usable_anchors,
 )
-from furrow.operators.patches import boundary_pixels, mask_above, patch_sizes, patch_stats
+from furrow.operators.patches import mask_above, patch_graphs, patch_sizes, patch_stats
 from furrow.operators.rasters import (
     edge_density,
     grey_scenes,
@@ -190,16 +190,17 @@ def ndvi_rejected(spark, sf):
 
 
 def ndvi_patches(spark, sf):
-    masks = mask_above(index_scene_table(spark, sf), 0.5)
-    return rounded(patch_stats(masks))
+    graphs = patch_graphs(mask_above(index_scene_table(spark, sf), 0.5))
+    return rounded(patch_stats(graphs))
 
 
 def patch_areas(spark, sf):
-    return patch_sizes(mask_above(index_scene_table(spark, sf), 0.3))
+    return patch_sizes(patch_graphs(mask_above(index_scene_table(spark, sf), 0.3)))
 
 
 def patch_boundaries(spark, sf):
-    return boundary_pixels(mask_above(index_scene_table(spark, sf), -0.5))
+    graphs = patch_graphs(mask_above(index_scene_table(spark, sf), -0.5))
+    return graphs.select("scene_id", "mask_pixels", "boundary_pixels")
 
 
 def index_levels_loaded(spark, sf):
@@ -239,8 +240,7 @@ def ag_features(spark, sf):
 
 
 def green_patches(spark, sf):
-    masks = green_masks(_rgb(spark, sf))
-    return patch_sizes(masks)
+    return patch_sizes(patch_graphs(green_masks(_rgb(spark, sf))))
 
 
 def grey_texture(spark, sf):
