@@ -25,7 +25,8 @@ from furrow.functions.numeric import (
 )
 from furrow.functions.text import strip
 from furrow.operators.joins import same_keys, size_checked_join, with_group_stats
-from furrow.operators.streaks import longest_true_streak
+from furrow.operators.streaks import MAX_GROUP_ROWS, longest_true_streak
+from furrow.session import cut_lineage
 
 # --- fixed values: canonical columns and the header names accepted for them, best first ----------
 WEATHER_ALIASES = {
@@ -198,6 +199,7 @@ def monthly_weather(
     order_by: Sequence[str] = (),
     limits: WeatherThresholds = WeatherThresholds(),
     date_formats: Sequence[str] = DEFAULT_FORMATS,
+    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Monthly measures per county, crop, year and month.
 
@@ -243,9 +245,18 @@ def monthly_weather(
         F.avg(solar).alias("solar"),
         sum_or_zero(solar).alias("solar_sum"),
         (F.stddev_pop(mean) + F.stddev_pop(rain) + F.stddev_pop(solar)).alias("volatility"),
+        F.count(F.lit(1)).alias("rows"),
     )
+    # Written once: its row counts decide how the streaks are computed.
+    by_kind = cut_lineage(by_kind)
     streaks = longest_true_streak(
-        readings, groups, celsius["dry_day"], ["date", *order_by], alias="dry_streak"
+        readings,
+        groups,
+        celsius["dry_day"],
+        ["date", *order_by],
+        alias="dry_streak",
+        group_rows=by_kind.agg(F.max("rows")).first()[0] or 0,
+        max_group_rows=max_group_rows,
     ).toDF(*[f"_s_{g}" for g in groups], "dry_streak")
     by_kind = by_kind.join(
         streaks, same_keys(by_kind, streaks, [(g, f"_s_{g}") for g in groups]), "left"
