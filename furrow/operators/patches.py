@@ -23,12 +23,15 @@ STEPS_PER_ROUND = 3
 def mask_of_pixels(pixels: DataFrame, condition: Column) -> DataFrame:
     """Mask table of the exploded pixels (position ``p``) that meet a condition.
 
-    A scene's positions come from its one row, so the list is never longer than that row's data.
+    A scene's positions come from its one row, so the list is never longer than that row's data. The
+    condition is not a filter: as one it would be pushed below the projections it builds on and
+    repeat each of them at every mention.
     """
+    cells = F.collect_list(F.when(flag(condition), F.col("p")))
     return (
-        pixels.filter(flag(condition))
-        .groupBy("scene_id", "height", "width")
-        .agg(F.sort_array(F.collect_list("p")).alias("cells"))
+        pixels.groupBy("scene_id", "height", "width")
+        .agg(F.sort_array(cells).alias("cells"))
+        .filter(F.size("cells") > 0)
     )
 
 

@@ -23,11 +23,16 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; a temporary one only without it."""
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary folder of its own.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="furrow-checkpoint-"))
 
 

@@ -46,10 +46,17 @@ def read_weather(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_county_weather(
-    spark: SparkSession, paths: Sequence[str], fips_codes: Sequence[str] | None = None
+    spark: SparkSession,
+    paths: Sequence[str],
+    fips_codes: Sequence[str] | None = None,
+    same_header: bool = False,
 ) -> DataFrame:
-    """Weather CSV files of several states and years with a padded ``county_id``."""
-    df = read_csv_by_name(spark, paths)
+    """Weather CSV files of several states and years with a padded ``county_id``.
+
+    ``same_header`` reads all files (or directories) at once, without looking at each file's header
+    first; a file that differs makes the job fail.
+    """
+    df = read_csv(spark, paths) if same_header else read_csv_by_name(spark, paths)
     df = df.withColumn("county_id", fips_code(F.col("`FIPS Code`"))).drop("FIPS Code")
     return df if fips_codes is None else df.filter(F.col("county_id").isin(list(fips_codes)))
 

@@ -228,6 +228,7 @@ def test_csv_layouts(spark, tmp_path):
         ("2017-01-01", "280"), ("2017-01-02", "281"),
     ]
     assert read_county_weather(spark, paths, ["01003"]).first()["county_id"] == "01003"
+    assert read_county_weather(spark, paths[:1], same_header=True).first()["county_id"] == "01003"
     with pytest.raises(Exception):
         read_weather(spark, *paths).collect()
 
