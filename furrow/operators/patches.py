@@ -108,7 +108,7 @@ def _boundary() -> Column:
 
 
 def patch_graphs(masks: DataFrame) -> DataFrame:
-    """One compact row per mask: ``runs``, ``contacts``, ``mask_pixels`` and ``boundary_pixels``.
+    """One compact row per mask: ``runs``, ``contacts`` and the mask's, boundary's and scene's pixels.
 
     Computed once, within the rows, into the checkpoint folder; everything below reads it from there
     instead of going back to the pixels.
@@ -118,9 +118,12 @@ def patch_graphs(masks: DataFrame) -> DataFrame:
         contacts=_contacts(),
         mask_pixels=F.size("cells").cast("long"),
         boundary_pixels=_boundary().cast("long"),
+        scene_pixels=F.col("height").cast("long") * F.col("width"),
     )
     return cut_lineage(
-        graphs.select("scene_id", "runs", "contacts", "mask_pixels", "boundary_pixels")
+        graphs.select(
+            "scene_id", "runs", "contacts", "mask_pixels", "boundary_pixels", "scene_pixels"
+        )
     )
 
 

@@ -179,15 +179,15 @@ def index_features(
     stats = index_statistics(scenes, limits, on_empty)
     graphs = patch_graphs(mask_above(scenes, limits.healthy))
     patches = patch_stats(graphs).select("scene_id", "patches", "max_area")
-    size = scenes.select("scene_id", (F.col("height") * F.col("width")).alias("cells"))
+    size = graphs.select("scene_id", "scene_pixels")
     joined = _with_scene(_with_scene(stats, patches), size)
-    largest = F.coalesce(F.col("max_area"), F.lit(0.0)) / F.col("cells")
+    largest = F.coalesce(F.col("max_area") / F.col("scene_pixels"), F.lit(0.0))
     return joined.withColumns(
         {
             "ndvi_healthy_patch_count": F.coalesce(F.col("patches"), F.lit(0)),
             "ndvi_largest_high_ndvi_patch_ratio": largest,
         }
-    ).drop("patches", "max_area", "cells")
+    ).drop("patches", "max_area", "scene_pixels")
 
 
 # ------------------------------------------------------------------------------------------------

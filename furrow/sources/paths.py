@@ -17,6 +17,7 @@ from furrow.functions.codes import (
     canonical_crop,
     crop_aliases,
     crop_named,
+    plain_key,
     state_coded,
 )
 from furrow.functions.text import key_text
@@ -48,7 +49,7 @@ def select_label_paths(paths: DataFrame, years: Sequence[int], crops: Sequence[s
     year-first layout the part after the year counts as the folder, which may be the file itself.
     """
     year, folder, file = _path_parts(F.col("path"))
-    names = sorted({key for crop in crops for key in map(_plain, crop_aliases(crop))})
+    names = sorted({plain_key(name) for crop in crops for name in crop_aliases(crop)})
     matches = F.lit(False)
     for name in names:
         matches = matches | key_text(folder).contains(name) | key_text(file).contains(name)
@@ -56,10 +57,6 @@ def select_label_paths(paths: DataFrame, years: Sequence[int], crops: Sequence[s
     return paths.filter(wanted).select("path").distinct().orderBy("path")
 
 
-def _plain(name: str) -> str:
-    return "".join(ch for ch in name.strip().lower() if ch.isalnum())
-
-
 def with_label_path_fields(paths: DataFrame, on_unknown: str = "null") -> DataFrame:
     """Add ``year`` and canonical ``crop_type`` of a label path; NULL or an error for other paths."""
     year, folder, _ = _path_parts(F.col("path"))
