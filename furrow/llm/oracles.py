@@ -1,5 +1,15 @@
 """SQL the queries are checked against, where SQL can express them."""
 
+OP2 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
 OP8 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, text, source FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -74,4 +84,4 @@ SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'c
 FROM ruled r LEFT JOIN judged USING (host)
 """
 
-ORACLES: dict[str, str] = {"op8_line_quality": OP8, "op9_warc": OP9, "op10_url_reputation": OP10}
+ORACLES: dict[str, str] = {"op2_topk": OP2, "op8_line_quality": OP8, "op9_warc": OP9, "op10_url_reputation": OP10}

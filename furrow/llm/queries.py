@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_quality, url_reputation, warc
+from . import line_quality, simhash, topk, url_reputation, warc
 from .common import table
 
 # Fixed values of the contract: verdict, host, path.
@@ -19,6 +19,17 @@ URL_RULES = (
 )
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best rows of the bit-sliced index for every hundredth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules with cross-document line frequency per source."""
     return line_quality.judge_quality(table(spark, sf_dir, "documents"))
@@ -38,6 +49,8 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_topk": op2_topk,
+    "op3_simhash": op3_simhash,
     "op8_line_quality": op8_line_quality,
     "op9_warc": op9_warc,
     "op10_url_reputation": op10_url_reputation,
