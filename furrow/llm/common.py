@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,8 +17,20 @@ WORD_BREAK = f"[{SPACES}]+"
 HAS_WORD = f"[^{SPACES}]"
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Let Python workers started from now on import this package from where the driver has it.
+
+    On a cluster the package is installed or sent with ``--py-files``; the extra path does no harm there.
+    """
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
+    workers_find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

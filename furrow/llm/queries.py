@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_quality, simhash, topk, url_reputation, warc
+from . import bpe, language, line_quality, mixing, simhash, topk, url_reputation, warc
 from .common import table
 
 # Fixed values of the contract: verdict, host, path.
@@ -30,6 +31,21 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by rank-order profiles."""
+    return language.predicted_languages(table(spark, sf_dir, "documents"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and their decoding, as digests."""
+    return bpe.encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of all sources takes of every document."""
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules with cross-document line frequency per source."""
     return line_quality.judge_quality(table(spark, sf_dir, "documents"))
@@ -51,6 +67,9 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_simhash": op3_simhash,
+    "op4_language": op4_language,
+    "op6_bpe": op6_bpe,
+    "op7_mixing": op7_mixing,
     "op8_line_quality": op8_line_quality,
     "op9_warc": op9_warc,
     "op10_url_reputation": op10_url_reputation,
