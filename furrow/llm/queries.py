@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language, line_quality, mixing, simhash, topk, url_reputation, warc
+from . import bpe, language, line_quality, mixing, simhash, suffix_dedup, topk, url_reputation, warc
 from .common import table
 
 # Fixed values of the contract: verdict, host, path.
@@ -36,6 +36,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted_languages(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated strings of 100 bytes."""
+    return suffix_dedup.deduplicated_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and their decoding, as digests."""
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_bpe": op6_bpe,
     "op7_mixing": op7_mixing,
     "op8_line_quality": op8_line_quality,
