@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language, line_quality, mixing, simhash, suffix_dedup, topk, url_reputation, warc
+from . import bpe, language, line_quality, mixing, simhash, suffix_dedup, token_store, topk, url_reputation, warc
 from .common import table
 
 # Fixed values of the contract: verdict, host, path.
@@ -20,6 +20,11 @@ URL_RULES = (
 )
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written with the range coder and read back."""
+    return token_store.stored_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best rows of the bit-sliced index for every hundredth vector."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -70,6 +75,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_store": op1_token_store,
     "op2_topk": op2_topk,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
