@@ -126,13 +126,14 @@ def _closer(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mixed_copies(docs: DataFrame) -> DataFrame:
-    """Copies of every row of ``docs(doc_id, text, source)``: row, doc_id, size, source_size, target, copies.
+    """Copies of every row of ``docs(doc_id, text, source)``: row, doc_id, mark, size, source_size, target, copies.
 
-    ``row`` numbers the rows of this run. Documents without words have size 0 and one copy, which takes nothing.
+    ``row`` numbers the rows of this run; a column ``mark`` of ``docs`` breaks ties, else a hash of the id does. Documents without words have size 0 and one copy, which takes nothing.
     """
     key = source_key(F.col("source"))
+    mark = F.col("mark") if "mark" in docs.columns else F.xxhash64("doc_id")
     sized = cut(
-        docs.select("doc_id", key.alias("key"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id").alias("mark"))
+        docs.select("doc_id", key.alias("key"), word_count(F.col("text")).alias("size"), mark.alias("mark"))
         .withColumn("row", F.monotonically_increasing_id())
     )
     sources = sized.groupBy("key").agg(F.sum("size").alias("source_size"))
@@ -153,7 +154,7 @@ def mixed_copies(docs: DataFrame) -> DataFrame:
     rounded = along.select(*sized.columns, F.least(whole + more, F.lit(MOST_COPIES)).cast("long").alias("copies"))
     for _ in range(FIXES):
         rounded = cut(_closer(rounded, targets))
-    return rounded.join(targets, "key").select("row", "doc_id", "size", "source_size", "target", "copies")
+    return rounded.join(targets, "key").select("row", "doc_id", "mark", "size", "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -165,5 +166,20 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, size, source_size, target, taken.
     """
-    copies = mixed_copies(docs)
+    copies = mixed_copies(docs.select("doc_id", "text", "source"))
     return copies.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, with all its columns.
+
+    Rows without words, which cost nothing, stay once. Rows that are equal in all columns share their copies.
+    """
+    names = docs.columns
+    mark = F.xxhash64(*[F.col(f"`{c}`") for c in names])
+    marked = docs.select("doc_id", "text", "source", mark.alias("mark"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    copies = mixed_copies(marked.drop("_row")).groupBy("doc_id", "mark").agg(F.sum("copies").alias("copies"))
+    taken = copies.where(F.col("copies") > 0).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "copies")
+    rows = marked.select("doc_id", "mark", "_row").dropDuplicates(["doc_id", "mark"])
+    joined = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    return joined.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import cut
 from .components import connected_components
@@ -47,16 +48,17 @@ def fingerprint(text: str | None, n: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and ``fp`` (the fingerprint's bits as a long) of every row of ``docs(doc_id, text)``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """``fp`` (the fingerprint's bits as a long) of every row of ``docs(doc_id, text)``, with doc_id or a struct's fields."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(marks)], schema=schema)
+            marks = np.array([fingerprint(t.as_py()) for t in batch.column(0)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(marks)], [*batch.schema.names[1:], "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, fp long")
+    keyed = docs.select("text", F.col("doc_id").cast("long")) if key is None else docs.select("text", key.alias("_key")).select("text", "_key.*")
+    schema = StructType([*keyed.schema.fields[1:], StructField("fp", LongType())])
+    return keyed.mapInArrow(task, schema)
 
 
 # ------------------------------------------------------------------------------------------------
@@ -230,6 +232,16 @@ def fingerprint_links(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
     return ordered.mapInArrow(task, "a long, b long").distinct()
 
 
+def _components(marked: DataFrame, radius: int) -> DataFrame:
+    """Component of every fingerprint of ``marked(fp, first)``, named by its smallest ``first``: fp, component."""
+    nodes = marked.groupBy("fp").agg(F.min("first").alias("first"))
+    roots = connected_components(fingerprint_links(nodes.select("fp"), radius))
+    grouped = nodes.join(roots, nodes["fp"] == roots["node"])
+    smallest = grouped.groupBy("root").agg(F.min("first").alias("component"))
+    linked = grouped.join(smallest, "root").select("fp", "component")
+    return nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Fingerprint and component of every row of ``docs(doc_id, text)``.
 
@@ -241,11 +253,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Returns doc_id, fingerprint (16 hex digits), component_id.
     """
     marked = cut(fingerprints(docs))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connected_components(fingerprint_links(nodes.select("fp"), radius))
-    grouped = nodes.join(roots, nodes["fp"] == roots["node"])
-    smallest = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = grouped.join(smallest, "root").select("fp", "component_id")
-    every = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    every = _components(marked.select("fp", F.col("doc_id").alias("first")), radius)
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return marked.join(every, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return marked.join(every, "fp").select("doc_id", hexed.alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The row with the smallest doc_id of every component of ``docs``, with all its columns.
+
+    Of several rows with that id the one with the least hash of its columns stays, of equal rows one; null
+    ids count as greatest.
+    """
+    names = docs.columns
+    key = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("mark"))
+    marked = cut(fingerprints(docs, key))
+    kept = _components(marked.select("fp", F.struct("id", "mark").alias("first")), radius).select("component.id", "component.mark").distinct()
+    rows = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    joined = rows.join(kept, (F.col("_key.id") == F.col("id")) & (F.col("_key.mark") == F.col("mark")), "left_semi")
+    return joined.dropDuplicates(["_key"]).select("_row.*")

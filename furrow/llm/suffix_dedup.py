@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, with_running_total, written
 from .suffix_sort import repeated
@@ -362,23 +362,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     names = docs.columns
     inner = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     keyed, spans = _with_spans(inner)
-    joined = keyed.join(spans, ["doc", "slot"], "left")
-    from pyspark.sql.functions import pandas_udf
+    rows = keyed.join(spans, ["doc", "slot"], "left").select(*[F.col("row")[c].alias(c) for c in names], F.col("spans").alias("_spans"))
+    at = names.index("text")
 
-    @pandas_udf("string")
-    def cut_text(text, found):
-        import pandas as pd
-
-        out = []
-        for t, s in zip(text, found):
-            if t is None or s is None or not len(s):
-                out.append(t)
-                continue
-            gone = merged_spans([(x["first"], x["stop"]) for x in s])
-            out.append(kept_bytes(t.encode("utf-8", "replace"), gone).decode("utf-8", "ignore"))
-        return pd.Series(out, dtype=object)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, texts = list(batch.columns[:-1]), []
+            for text, found in zip(batch.column(at), batch.column(len(names)).to_pylist()):
+                if found is None or not text.is_valid:
+                    texts.append(text.as_py())
+                    continue
+                gone = merged_spans([(s["first"], s["stop"]) for s in found])
+                texts.append(kept_bytes(text.as_py().encode("utf-8", "replace"), gone).decode("utf-8", "ignore"))
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    text: Column = cut_text(F.col("text"), F.col("spans"))
-    return joined.withColumn("_new", text).select(
-        *[F.col("_new").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names]
-    )
+    return rows.mapInArrow(task, docs.schema)
