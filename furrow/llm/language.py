@@ -39,28 +39,28 @@ def _letters() -> np.ndarray:
 def gram_counts(text: str, grams: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """n-grams of the lower-cased words of a text, in ascending order of their numbers, and how often they occur.
 
-    Words are runs of letters; bigrams and trigrams see one space before and after each. A letter's number is
-    its code point's lowest ten bits (never 0), so letters of most alphabets stay apart from Latin ones.
+    Words are runs of letters; bigrams and trigrams see one space, number 1, before and after each. A letter's number is
+    its code point's lowest ten bits (2 at least), so letters of most alphabets stay apart from Latin ones.
     """
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     is_letter = _letters()[codes]
     if not is_letter.any():
         return np.array([], np.uint32), np.array([], np.int64)
     mask = np.uint32((1 << LETTER_BITS) - 1)
-    folded = np.maximum(codes & mask, np.uint32(1))
-    folded[~is_letter] = 0
+    folded = np.maximum(codes & mask, np.uint32(2))
+    folded[~is_letter] = 1
     # One space between words and at both ends.
-    spaced = np.concatenate([[0], folded, [0]]).astype(np.uint32)
-    first_space = np.r_[True, (spaced[1:] != 0) | (spaced[:-1] != 0)]
+    spaced = np.concatenate([[1], folded, [1]]).astype(np.uint32)
+    first_space = np.r_[True, (spaced[1:] != 1) | (spaced[:-1] != 1)]
     spaced = spaced[first_space]
-    found = [spaced[spaced != 0]]
+    found = [spaced[spaced != 1]]
     for n in range(2, grams + 1):
         key = np.zeros(max(0, len(spaced) - n + 1), np.uint32)
         for i in range(n):
             key = (key << np.uint32(LETTER_BITS)) | spaced[i : len(spaced) - n + 1 + i]
         middle_space = np.zeros(len(key), bool)
         for i in range(1, n - 1):
-            middle_space |= spaced[i : len(spaced) - n + 1 + i] == 0
+            middle_space |= spaced[i : len(spaced) - n + 1 + i] == 1
         found.append(key[~middle_space])
     ordered = np.sort(np.concatenate(found))
     starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
