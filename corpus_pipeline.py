@@ -9,28 +9,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from furrow.llm import bpe, language, mixing, simhash, suffix_dedup
-from furrow.llm.common import table, workers_find_package, written
+from furrow.llm.common import table, ready, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without a letter, and null texts, go."""
-    workers_find_package(spark)
+    ready(spark)
     profiles = language.learn_profiles(docs.select("doc_id", "text", "lang"))
     names = docs.columns
-    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    judged = language.identify(rows, profiles)
-    return judged.where(F.col("lang_pred") != language.UNKNOWN).select(*[F.col("row")[c].alias(c) for c in names])
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row"))
+    kept = language.identify(rows, profiles).where(F.col("lang_pred") != language.UNKNOWN)
+    return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in names])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates the document with the smallest id."""
-    workers_find_package(spark)
+    ready(spark)
     return simhash.one_per_group(docs)
 
 
 def string_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without strings of 100 bytes that start earlier; n_chars follows the text."""
-    workers_find_package(spark)
+    ready(spark)
     left = suffix_dedup.deduplicated(docs)
     return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in left.columns else left
 
@@ -42,7 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document of the mix."""
-    workers_find_package(spark)
+    ready(spark)
     return bpe.encoded_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

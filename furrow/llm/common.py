@@ -11,17 +11,24 @@ from pathlib import Path
 from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 10_000
+
 # The word of every contract: a run of characters other than space, tab, newline, VT, FF and CR.
 SPACES = " \\x09-\\x0D"
 WORD_BREAK = f"[{SPACES}]+"
 HAS_WORD = f"[^{SPACES}]"
 
 
-def workers_find_package(spark: SparkSession) -> None:
-    """Let Python workers started from now on import this package from where the driver has it.
+def ready(spark: SparkSession) -> None:
+    """Settings for tasks in Python: batches bounded by bytes, and workers that find this package.
 
-    On a cluster the package is installed or sent with ``--py-files``; the extra path does no harm there.
+    Texts can be long, so what a task hands to Python at once is bounded. Workers started from now on import
+    the package from where the driver has it; on a cluster it is installed or sent with ``--py-files``, and the extra
+    path does no harm.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
@@ -30,7 +37,7 @@ def workers_find_package(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
-    workers_find_package(spark)
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

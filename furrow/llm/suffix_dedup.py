@@ -27,7 +27,7 @@ GRAM = 32
 BUFFER = 1 << 20
 PIECE_STRINGS = 1 << 11
 COMBINE_PIECES = 1 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 NO_ID = (1 << 63) - 1
 
 
@@ -360,9 +360,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     A cut may split a character, whose remaining bytes go too. Other columns are kept.
     """
     names = docs.columns
-    inner = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    keyed, spans = _with_spans(inner)
-    rows = keyed.join(spans, ["doc", "slot"], "left").select(*[F.col("row")[c].alias(c) for c in names], F.col("spans").alias("_spans"))
+    others = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"])
+    keyed, spans = _with_spans(docs.select("doc_id", "text", others.alias("row")))
+    value = lambda c: F.col("text") if c == "text" else F.col("row")[c].alias(c)
+    rows = keyed.join(spans, ["doc", "slot"], "left").select(*map(value, names), F.col("spans").alias("_spans"))
     at = names.index("text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
