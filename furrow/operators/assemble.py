@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 from furrow.functions.numeric import finite_or_null
 from furrow.functions.records import is_numeric
 from furrow.functions.text import fips_code
-from furrow.operators.joins import same_keys, size_checked_join
+from furrow.operators.joins import join_on, same_keys
 from furrow.operators.labels import ENVELOPE_FIELDS, GEO_FIELDS, usable_anchors
 
 KEY_TYPES = {"county_id": "string", "crop_type": "string", "year": "int", "month": "int"}
 MONTH_KEYS = tuple(KEY_TYPES)
-ANCHOR_ROWS = 200_000
 
 # --- fixed values: compact feature set per modality ---------------------------------------------
 CORE_FEATURES = {
@@ -179,9 +178,7 @@ def modality_features(
     return joined.select(*keys, features.alias("features"))
 
 
-def modality_records(
-    anchor_rows: DataFrame, features: DataFrame, max_rows: int = ANCHOR_ROWS
-) -> DataFrame:
+def modality_records(anchor_rows: DataFrame, features: DataFrame) -> DataFrame:
     """Anchors with the features of their county and year; anchors without features are dropped.
 
     Features do not depend on the crop, so they are computed once per county and year and every anchor
@@ -191,7 +188,7 @@ def modality_records(
     geo = [c for c in GEO_FIELDS if c in kept.columns]
     slim = kept.select(*ENVELOPE_FIELDS, *geo)
     seasons = features.select("county_id", "year", "features")
-    joined = size_checked_join(seasons, slim, ["county_id", "year"], "inner", max_rows)
+    joined = join_on(seasons, slim, ["county_id", "year"])
     return joined.select(
         "county_id", "crop_type", "year", "split", "target_kind", "target_value", "target_unit",
         "source_path", *geo, "features",

@@ -1,4 +1,4 @@
-"""Joins that stay safe when one side is unexpectedly large or one key is hot."""
+"""Joins on keys that may be NULL. All are lazy: adaptive execution picks the join by the sides' real bytes."""
 
 from __future__ import annotations
 
@@ -8,48 +8,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.session import cut_lineage
-
-BROADCAST_ROWS = 100_000
-
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]) -> Column:
     """Null-safe equality of key pairs; still an equi-join for the planner."""
     return reduce(lambda a, b: a & b, (left[l].eqNullSafe(right[r]) for l, r in keys))
 
 
-def size_checked_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Join ``left`` to a side expected to be small, matching NULL keys with NULL keys.
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join two sides on columns of the same names, matching NULL keys with NULL keys.
 
-    ``right`` is computed once into the checkpoint folder and counted up to ``max_rows``. Within that
-    bound it is broadcast and ``left`` is not shuffled. Beyond it the join is a sort-merge join in
-    which adaptive execution splits hot partitions of ``left`` (see :mod:`furrow.session`).
+    A side found to be small is broadcast at run time and the other is not shuffled for it; else the join is a
+    sort-merge join whose hot partitions are split (see :mod:`furrow.session`).
     """
-    right = cut_lineage(right)
-    within = right.limit(max_rows + 1).count() <= max_rows
     renamed = right.select(
         *[F.col(k).alias(f"_right_{k}") for k in keys],
         *[F.col(c) for c in right.columns if c not in keys],
     )
-    if within:
-        renamed = F.broadcast(renamed)
     joined = left.join(renamed, same_keys(left, renamed, [(k, f"_right_{k}") for k in keys]), how)
     return joined.drop(*[f"_right_{k}" for k in keys])
 
 
-def with_group_stats(
-    df: DataFrame, keys: Sequence[str], max_rows: int = BROADCAST_ROWS, **stats: Column
-) -> DataFrame:
+def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
     """Add per-group aggregates to every row.
 
     A window over ``keys`` would pull a whole group into one task; this aggregates with map-side
     combine and joins the one-row-per-group result back.
     """
     per_group = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-    return size_checked_join(df, per_group, keys, "inner", max_rows)
+    return join_on(df, per_group, keys)

@@ -11,14 +11,17 @@ from furrow.functions.codes import (
     LABEL_COLUMNS,
     LABEL_UNITS,
     SPLITS,
+    canonical_crop,
     crop_named,
     fips_list,
+    label_column,
+    label_unit,
     split_of_year,
 )
 from furrow.functions.numeric import finite_or_null, flag
 from furrow.functions.records import json_safe
 from furrow.functions.text import blank_to_null, bound, fips_code, numeric_code, strip
-from furrow.operators.joins import BROADCAST_ROWS, with_group_stats
+from furrow.operators.joins import with_group_stats
 
 # --- fixed values: record fields ----------------------------------------------------------------
 ENVELOPE_FIELDS = (
@@ -48,7 +51,6 @@ def choose_label_rows(
     df: DataFrame,
     target_column: str,
     scope: Sequence[str] = ("source_path",),
-    max_scopes: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Labelled rows, narrowed to county rows and then to total rows where a scope has any.
 
@@ -70,7 +72,6 @@ def choose_label_rows(
     marked = with_group_stats(
         labelled,
         scope,
-        max_scopes,
         _any_county=F.max(county),
         _any_total=F.max(total),
         _any_county_total=F.max(county & total),
@@ -177,6 +178,69 @@ def anchors(
     return out if on_bad_target == "fail" else out.filter(F.col("target_value").isNotNull())
 
 
+def typed_text(text: Column) -> Column:
+    """A cell as a whole number, a finite number or stripped text (VARIANT); NULL when blank."""
+
+    def value(cell: Column) -> Column:
+        number = cell.try_cast("double")
+        return (
+            F.when(cell.rlike(r"^[+-]?\d{1,18}$"), cell.try_cast("bigint").cast("variant"))
+            .when(finite_or_null(number).isNotNull(), number.cast("variant"))
+            .otherwise(cell.cast("variant"))
+        )
+
+    return bound(blank_to_null(text), value)
+
+
+def _labelled_cells(rows: DataFrame, target_kind: str) -> DataFrame:
+    """Envelope columns and the target cell of ``rows(source_path, year, split, crop_type, cells)``."""
+    name = label_column(F.col("crop_type"), target_kind, on_unknown="fail")
+    cell = lambda key: F.try_element_at("cells", key)
+    missing = F.concat(F.lit("label column is missing: "), F.col("source_path"))
+    has_target = F.map_contains_key("cells", F.col("_target_name"))
+    named = rows.withColumn("_target_name", name)
+    fields = {n: cell(F.lit(n)) for n in (*TEXT_FIELDS, "county_id", *[n for n, _ in CODE_FIELDS])}
+    target = F.when(has_target, cell(F.col("_target_name"))).otherwise(F.raise_error(missing))
+    return named.withColumns({**fields, "_target": target})
+
+
+def anchors_of_cells(rows: DataFrame, target_kind: str) -> DataFrame:
+    """Anchor records of label files of any crops and headers.
+
+    ``rows`` has ``source_path``, ``year``, ``split``, ``crop_type`` and ``cells``, a map from column names to texts,
+    so files with different columns are one table. ``features`` maps the remaining columns to numbers or text,
+    judged cell by cell; it has no keys for missing values and is NULL when it would be empty.
+    """
+    chosen = choose_label_rows(_labelled_cells(rows, target_kind), "_target")
+    extra = F.map_filter("cells", lambda k, _: ~k.isin(sorted(_NOT_FEATURES)) & (k != F.col("_target_name")))
+    typed = F.map_filter(F.transform_values(extra, lambda _, v: typed_text(v)), lambda _, v: v.isNotNull())
+    features = bound(typed, lambda m: F.when(F.size(m) > 0, m))
+    out = chosen.select(
+        "split",
+        county_id_of(["county_id", "state_ansi", "county_ansi"]).alias("county_id"),
+        canonical_crop(F.col("crop_type")).alias("crop_type"),
+        "year",
+        F.lit(target_kind).alias("target_kind"),
+        target_number(F.col("_target")).alias("target_value"),
+        label_unit(F.col("crop_type"), target_kind).alias("target_unit"),
+        "source_path",
+        *[blank_to_null(F.col(n)).alias(n) for n in TEXT_FIELDS],
+        *[numeric_code(F.col(n), width).alias(n) for n, width in CODE_FIELDS],
+        features.alias("features"),
+    )
+    return out.filter(F.col("target_value").isNotNull())
+
+
+def rejected_cells(rows: DataFrame, target_kind: str) -> DataFrame:
+    """Chosen label rows of ``rows`` whose value is no finite number: source_path, county_id, value, reason."""
+    chosen = choose_label_rows(_labelled_cells(rows, target_kind), "_target")
+    county = county_id_of(["county_id", "state_ansi", "county_ansi"])
+    judged = chosen.select(
+        "source_path", county.alias("county_id"), F.col("_target").alias("value"), target_problem(F.col("_target")).alias("reason")
+    )
+    return judged.filter(F.col("reason").isNotNull())
+
+
 def _flat(dtype) -> bool:
     return dtype.typeName() not in ("array", "map", "struct")
 

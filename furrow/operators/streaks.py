@@ -10,14 +10,25 @@ from pyspark.sql import functions as F
 from furrow.functions.numeric import flag
 
 
-# Rows of one group that a single task may sort.
-MAX_GROUP_ROWS = 1_000_000
+def longest_dated_streak(
+    df: DataFrame, keys: Sequence[str], condition: Column, date: str, alias: str = "longest_streak"
+) -> DataFrame:
+    """Longest run of rows, in ``date`` order, for which ``condition`` is true; true rows come first within a date.
+
+    A date is two counts, so rows leave their task as partial aggregates. A group is then folded along its dates,
+    of which a month has a few dozen.
+    """
+    hit = flag(condition)
+    dates = df.groupBy(*keys, date).agg(F.count_if(hit).alias("_hits"), F.count_if(~hit).alias("_others"))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(date).alias("date"), F.col("_hits"), F.col("_others"))))
+    start = F.struct(F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("best"))
 
+    def step(state: Column, row: Column) -> Column:
+        run = state["run"] + row["_hits"]
+        after = F.when(row["_others"] > 0, F.lit(0).cast("long")).otherwise(run)
+        return F.struct(after.alias("run"), F.greatest(state["best"], run).alias("best"))
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group, by one aggregation with map-side combine."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+    return dates.groupBy(*keys).agg(F.aggregate(rows, start, step)["best"].alias(alias))
 
 
 def longest_true_streak(
@@ -26,30 +37,19 @@ def longest_true_streak(
     condition: Column,
     order_by: Sequence[str],
     alias: str = "longest_streak",
-    group_rows: int | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
     partitions: int | None = None,
 ) -> DataFrame:
     """Longest run of consecutive rows, in ``order_by`` order, for which ``condition`` is true.
 
-    The largest group is measured first (or given as ``group_rows``). Up to ``max_group_rows`` one
-    shuffle by group is enough. With a larger group the rows are range-partitioned by group and order
-    instead, so that a group of any size is spread over as many tasks as its rows need. Each piece of
-    a group is reduced to four numbers (run at its head, run at its tail, best run inside, breaks);
-    pieces are then chained, at most one per partition and group.
+    Rows are range-partitioned by group and order, so that a group of any size is spread over as many tasks as its
+    rows need. Each piece of a group is reduced to four numbers (run at its head, run at its tail, best run
+    inside, breaks); pieces are then chained, at most one per partition and group.
     ``order_by`` should be unique within a group for a reproducible result.
     """
     keys, order_by = list(keys), list(order_by)
     rows = df.select(*keys, *order_by, flag(condition).cast("int").alias("_hit"))
-    if group_rows is None:
-        group_rows = largest_group(df, keys)
-    if group_rows <= max_group_rows:
-        pieces = rows.withColumn("_piece", F.lit(0))
-    else:
-        target = [partitions] if partitions else []
-        pieces = rows.repartitionByRange(*target, *keys, *order_by).withColumn(
-            "_piece", F.spark_partition_id()
-        )
+    target = [partitions] if partitions else []
+    pieces = rows.repartitionByRange(*target, *keys, *order_by).withColumn("_piece", F.spark_partition_id())
 
     along = Window.partitionBy(*keys, "_piece").orderBy(*order_by).rowsBetween(
         Window.unboundedPreceding, Window.currentRow

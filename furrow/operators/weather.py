@@ -24,9 +24,8 @@ from furrow.functions.numeric import (
     vapour_pressure_deficit,
 )
 from furrow.functions.text import strip
-from furrow.operators.joins import same_keys, size_checked_join, with_group_stats
-from furrow.operators.streaks import MAX_GROUP_ROWS, longest_true_streak
-from furrow.session import cut_lineage
+from furrow.operators.joins import join_on, with_group_stats
+from furrow.operators.streaks import longest_dated_streak, longest_true_streak
 
 # --- fixed values: canonical columns and the header names accepted for them, best first ----------
 WEATHER_ALIASES = {
@@ -199,7 +198,6 @@ def monthly_weather(
     order_by: Sequence[str] = (),
     limits: WeatherThresholds = WeatherThresholds(),
     date_formats: Sequence[str] = DEFAULT_FORMATS,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Monthly measures per county, crop, year and month.
 
@@ -209,7 +207,8 @@ def monthly_weather(
     measures that do not simply shift with the unit are aggregated for both units. So the daily rows
     are shuffled as partial aggregates only and no group is ever collected.
 
-    ``order_by`` breaks ties between rows of one date for the dry streak.
+    For the dry streak, rows of one date are ordered by their precipitation, missing last. ``order_by`` gives them
+    another order; then the few columns that the streak needs are shuffled row by row.
     """
     if "county_id" not in scope:
         raise ValueError("the scope must contain county_id")
@@ -245,22 +244,12 @@ def monthly_weather(
         F.avg(solar).alias("solar"),
         sum_or_zero(solar).alias("solar_sum"),
         (F.stddev_pop(mean) + F.stddev_pop(rain) + F.stddev_pop(solar)).alias("volatility"),
-        F.count(F.lit(1)).alias("rows"),
     )
-    # Written once: its row counts decide how the streaks are computed.
-    by_kind = cut_lineage(by_kind)
-    streaks = longest_true_streak(
-        readings,
-        groups,
-        celsius["dry_day"],
-        ["date", *order_by],
-        alias="dry_streak",
-        group_rows=by_kind.agg(F.max("rows")).first()[0] or 0,
-        max_group_rows=max_group_rows,
-    ).toDF(*[f"_s_{g}" for g in groups], "dry_streak")
-    by_kind = by_kind.join(
-        streaks, same_keys(by_kind, streaks, [(g, f"_s_{g}") for g in groups]), "left"
-    ).drop(*[f"_s_{g}" for g in groups])
+    if order_by:
+        streaks = longest_true_streak(readings, groups, celsius["dry_day"], ["date", *order_by], alias="dry_streak")
+    else:
+        streaks = longest_dated_streak(readings, groups, celsius["dry_day"], "date", alias="dry_streak")
+    by_kind = join_on(by_kind, streaks, groups, "left")
 
     # One row per month and row kind from here on: a scope has a few dozen rows.
     in_scope = Window.partitionBy(*scope)
@@ -358,7 +347,7 @@ def with_anomalies(
                 "climatology needs its keys and either baseline columns or monthly temperature "
                 "and precipitation"
             )
-        based = size_checked_join(monthly, baseline, keys, "left")
+        based = join_on(monthly, baseline, keys, "left")
     return based.withColumns(
         {
             "weather_temperature_anomaly": F.col("weather_temp_mean") - F.col(temperature),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,19 +11,18 @@ from pyspark.sql import functions as F
 from furrow.functions.codes import MODALITIES, fips_list
 from furrow.functions.text import fips_code
 from furrow.operators.assemble import (
-    ANCHOR_ROWS,
     modality_features,
     modality_records,
     monthly_means,
 )
-from furrow.operators.joins import size_checked_join
-from furrow.operators.labels import in_counties, usable_anchors
-from furrow.operators.scenes import colour_features, index_features
+from furrow.operators.labels import anchors_of_cells, in_counties, rejected_cells, usable_anchors
+from furrow.operators.scenes import colour_features, index_features, scenes_without_valid_pixels
 from furrow.operators.season import index_season, vegetation_season, weather_season
 from furrow.operators.weather import SEASON_SCOPE, weather_features, weather_readings
-from furrow.sources.paths import LABEL_FILES, select_label_paths
-from furrow.sources.sinks import write_jsonl_splits, write_manifest
-from furrow.sources.tables import read_anchors
+from furrow.session import cut_lineage, tuned
+from furrow.sources.paths import LABEL_FILES, pruned, select_label_paths
+from furrow.sources.sinks import write_jsonl, write_jsonl_splits, write_manifest
+from furrow.sources.tables import read_label_cells
 
 SEASON = ("county_id", "year")
 
@@ -42,7 +42,11 @@ def weather_season_of(daily: DataFrame, **options) -> tuple[DataFrame, DataFrame
 
 
 def season_features(raw: DataFrame, modality: str, **options) -> DataFrame:
-    """Feature map per county and year of one raw modality."""
+    """Feature map per county and year of one raw modality.
+
+    Features describe the county, whatever crop a raw row names, so there is one summary per county and year.
+    """
+    raw = raw.withColumn("crop_type", F.lit(None).cast("string"))
     if modality == "weather":
         monthly, summary = weather_season_of(raw, **options)
     else:
@@ -50,14 +54,17 @@ def season_features(raw: DataFrame, modality: str, **options) -> DataFrame:
     return modality_features(monthly, summary, modality, SEASON)
 
 
-def only_needed_seasons(
-    raw: DataFrame, anchor_rows: DataFrame, max_rows: int = ANCHOR_ROWS
-) -> DataFrame:
+def only_needed_seasons(raw: DataFrame, anchor_rows: DataFrame) -> DataFrame:
     """Raw rows of the county-years that have an anchor, before anything is computed from them."""
     seasons = anchor_rows.select(
         fips_code(F.col("county_id")).alias("county_id"), F.col("year").cast("int").alias("year")
     ).distinct()
-    return size_checked_join(raw, seasons, list(SEASON), "left_semi", max_rows)
+    return raw.join(seasons, list(SEASON), "left_semi")
+
+
+def only_needed_partitions(raw: DataFrame, years: Sequence[int], fips_codes: Sequence[str]) -> DataFrame:
+    """The years and states of a job, where the raw table is laid out by them; these filters reach the scan."""
+    return pruned(raw, years, fips_codes) if {"year", "state_abbr"} <= set(raw.columns) else raw
 
 
 def record_table(anchor_rows: DataFrame, raw: DataFrame, modality: str, **options) -> DataFrame:
@@ -74,6 +81,18 @@ def record_table(anchor_rows: DataFrame, raw: DataFrame, modality: str, **option
     return modality_records(usable, season_features(needed, modality, **options))
 
 
+def write_rejects(labels: DataFrame, raw: Mapping[str, DataFrame], path: str) -> dict[str, int]:
+    """Write what the export leaves out, as JSON lines, and return the number of rows by kind and reason."""
+    parts = [labels.select(F.lit("label").alias("kind"), F.concat_ws(" ", "source_path", "county_id").alias("source"), "reason")]
+    if "ndvi" in raw:
+        empty = scenes_without_valid_pixels(raw["ndvi"])
+        parts.append(empty.select(F.lit("ndvi").alias("kind"), F.col("scene_id").alias("source"), F.lit("no valid pixel").alias("reason")))
+    rows = cut_lineage(reduce(DataFrame.unionByName, parts))
+    write_jsonl(rows, path)
+    counted = rows.groupBy("kind", "reason").count().orderBy("kind", "reason").collect()
+    return {f"{r['kind']}: {r['reason']}": r["count"] for r in counted}
+
+
 def label_paths(spark: SparkSession, root: str) -> DataFrame:
     """Label files below ``root`` as relative paths."""
     listing = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{LABEL_FILES}")
@@ -95,9 +114,12 @@ def run_export(
 ) -> dict[str, dict[str, int]]:
     """Export every modality in ``raw`` (loaded scenes, or daily weather rows).
 
-    Label files are found below ``root``. Writes ``<output>/<modality>/split=<split>`` and
-    ``<output>/manifest`` and returns the rows written per modality and split.
+    Label files are found below ``root``. Raw tables with ``year`` and ``state_abbr`` columns are read for the wanted
+    years and states only. Writes ``<output>/<modality>/split=<split>``, ``<output>/rejects`` (labels that are
+    no number and index scenes without a valid pixel, with reasons) and ``<output>/manifest``, which counts both,
+    and returns the rows written per modality and split.
     """
+    tuned(spark)
     wanted = fips_list(fips_codes)
     if not wanted:
         raise ValueError("at least one county code is needed")
@@ -105,9 +127,13 @@ def run_export(
     paths = [r["path"] for r in select_label_paths(label_paths(spark, root), years, crops).collect()]
     if not paths:
         raise ValueError(f"no label files of these years and crops below {root}")
-    anchor_rows = in_counties(read_anchors(spark, root, paths, target_kind), wanted)
+    cells = read_label_cells(spark, root, paths)
+    # Decided once; the modalities start from these few columns.
+    anchor_rows = cut_lineage(in_counties(anchors_of_cells(cells, target_kind), wanted).drop("features"))
     if anchor_rows.isEmpty():
         raise ValueError("no label rows of the requested counties")
+    raw = {modality: only_needed_partitions(df, years, wanted) for modality, df in raw.items()}
+    rejects = write_rejects(in_counties(rejected_cells(cells, target_kind), wanted), raw, f"{output}/rejects")
 
     counts = {
         modality: write_jsonl_splits(record_table(anchor_rows, df, modality), f"{output}/{modality}")
@@ -123,6 +149,7 @@ def run_export(
         "crops": list(crops),
         "modalities": list(raw),
         "selected_fips": wanted,
+        "rejected": rejects,
     }
     write_manifest(table, f"{output}/manifest", settings)
     return counts

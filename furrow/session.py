@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
-# Adaptive execution splits hot partitions of sort-merge joins and re-plans joins by real sizes.
+# Adaptive execution splits hot partitions of sort-merge joins, and broadcasts a side once its real size is known
+# to be under spark.sql.autoBroadcastJoinThreshold.
 ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -23,17 +22,12 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder of its own.
-    """
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``, else one in the warehouse, shared too."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="furrow-checkpoint-"))
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        context.setCheckpointDir(named or f"{warehouse.rstrip('/')}/furrow-checkpoints")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -11,10 +11,14 @@ from furrow.operators.rasters import index_scenes, luma, rgb_scenes, settled
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Image files through Spark's ``image`` source; unreadable files are left out."""
-    source = spark.read.format("image").option("dropInvalid", True)
-    return source.load(path).select(
-        F.col("image.origin").alias("scene_id"),
+    """Image files through Spark's ``image`` source; an unreadable file makes the job fail.
+
+    :func:`unreadable_images` lists such files.
+    """
+    broken = F.concat(F.lit("not a readable image: "), F.col("image.origin"))
+    known = F.when(F.col("image.height") > 0, F.col("image.origin")).otherwise(F.raise_error(broken))
+    return spark.read.format("image").load(path).select(
+        known.alias("scene_id"),
         F.col("image.height").alias("height"),
         F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("channels"),
@@ -22,6 +26,12 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def unreadable_images(spark: SparkSession, path: str) -> DataFrame:
+    """Files that :func:`read_images` fails on."""
+    images = spark.read.format("image").load(path)
+    return images.filter(F.coalesce(F.col("image.height"), F.lit(-1)) <= 0).select(F.col("image.origin").alias("file"))
+
+
 def _bytes(data: Column) -> Column:
     """Unsigned bytes of a binary: in Latin-1 every byte is the character of its value."""
     letters = F.split(F.decode(data, "ISO-8859-1"), "")
@@ -56,13 +66,24 @@ def index_from_images(images: DataFrame) -> DataFrame:
     )
 
 
+def read_container(spark: SparkSession, path: str) -> DataFrame:
+    """A stored container with the ``file`` of every row."""
+    return spark.read.parquet(path).withColumn("file", F.col("_metadata.file_path"))
+
+
 def container_scenes(container: DataFrame, modality: str, on_bad: str = "fail") -> DataFrame:
     """Scenes of a stored container: ``county_id``, ``date`` key, ``grid_index`` and pixels.
 
-    ``file`` (where present) keeps grids of different files apart. County filters on the result reach
-    the scan. The crop is not known here; features are computed once per county and season.
+    ``file`` (where present; see :func:`read_container`) keeps grids of different files apart. Two rows of the same
+    identity, in which missing parts count too, make the job fail. County filters on the result reach the
+    scan. The crop is not known here; features are computed once per county and season.
     """
     identity = [c for c in ("file", "county_id", "date", "grid_index") if c in container.columns]
+    scene_id = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in identity])
+    repeated = container.groupBy(scene_id.alias("_repeated")).count().filter("count > 1").select("_repeated")
+    container = container.withColumn("_scene_id", scene_id)
+    container = container.join(repeated, F.col("_scene_id") == F.col("_repeated"), "left")
+    message = F.concat(F.lit("repeated scene: "), F.col("_repeated"))
     year = (
         F.col("year").cast("int")
         if "year" in container.columns
@@ -70,7 +91,7 @@ def container_scenes(container: DataFrame, modality: str, on_bad: str = "fail")
     )
     shape = [c for c in ("height", "width", "channels", "data") if c in container.columns]
     scenes = container.select(
-        F.concat_ws("|", *identity).alias("scene_id"),
+        F.when(F.col("_repeated").isNull(), F.col("_scene_id")).otherwise(F.raise_error(message)).alias("scene_id"),
         fips_code(F.col("county_id")).alias("county_id"),
         F.lit(None).cast("string").alias("crop_type"),
         year.alias("year"),

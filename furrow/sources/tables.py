@@ -2,29 +2,48 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furrow.functions.codes import split_of_year
 from furrow.functions.text import fips_code
-from furrow.operators.labels import anchors
+from furrow.operators.labels import anchors_of_cells
 from furrow.sources.paths import with_label_path_fields
 
 
-def read_csv(spark: SparkSession, paths: Sequence[str], infer: bool = False) -> DataFrame:
-    """CSV files with the same header.
+def read_csv(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """CSV files with the same header, all columns as text.
 
     Spark binds columns by position; ``enforceSchema=False`` makes it compare every file's header
     with the schema and fail on a difference instead of mixing columns up.
     """
-    reader = spark.read.option("header", True).option("inferSchema", infer)
-    schema = reader.csv(paths[0]).schema
-    return (
-        spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(list(paths))
+    reader = spark.read.option("header", True)
+    if columns is None:
+        columns = reader.csv(paths[0]).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return reader.schema(schema).option("enforceSchema", False).csv(list(paths))
+
+
+def csv_layouts(spark: SparkSession, paths: Sequence[str]) -> list[tuple[list[str], list[str]]]:
+    """Headers of CSV files with the files that have them, from one job over all files.
+
+    A file's first line is the first one of the piece that starts at its beginning. One row per header, with
+    the names of its files, goes to the driver.
+    """
+    lines = spark.read.text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
     )
+    heads = lines.withColumn("at", F.monotonically_increasing_id()).filter("start = 0")
+    headers = heads.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header")
+    return [(next(csv.reader([r["header"]])), [unquote(f) for f in r["files"]]) for r in groups.collect()]
 
 
 def read_csv_by_name(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -32,11 +51,7 @@ def read_csv_by_name(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
     Files are grouped by header, so there is one read per layout and not one per file.
     """
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        header = tuple(spark.read.option("header", True).csv(path).columns)
-        layouts.setdefault(header, []).append(path)
-    frames = [read_csv(spark, group) for group in layouts.values()]
+    frames = [read_csv(spark, files, header) for header, files in csv_layouts(spark, paths)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -61,41 +76,24 @@ def read_county_weather(
     return df if fips_codes is None else df.filter(F.col("county_id").isin(list(fips_codes)))
 
 
-def read_anchors(
-    spark: SparkSession, root: str, paths: Sequence[str], target_kind: str, **options
-) -> DataFrame:
-    """Anchors of the selected label files below ``root``; year, crop and split come from the path."""
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    known = with_label_path_fields(listed, on_unknown="fail")
-    rows = known.withColumn("split", split_of_year(F.col("year"), on_unknown="fail")).collect()
-
-    by_crop: dict[tuple, list] = {}
-    for row in rows:
-        file = f"{root.rstrip('/')}/{row['path']}"
-        header = tuple(spark.read.option("header", True).csv(file).columns)
-        by_crop.setdefault((row["crop_type"], header), []).append((file, row))
-    parts = []
-    for (crop, _), files in by_crop.items():
-        frame = read_csv(spark, [f for f, _ in files], infer=True)
-        # The file's URI is percent-encoded, but a plus sign in it stands for itself.
-        uri = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-        full_to_listed = F.create_map(*[F.lit(x) for f, row in files for x in (f, row["path"])])
-        listed_names = F.map_values(
-            F.map_filter(full_to_listed, lambda full, _: F.endswith(F.url_decode(uri), full))
-        )
-        relative = F.element_at(listed_names, 1)
-        frame = frame.withColumn("source_path", relative)
-        fields = with_label_path_fields(frame.withColumn("path", F.col("source_path")))
-        parts.append(
-            anchors(
-                fields.drop("path", "crop_type"),
-                crop_type=crop,
-                target_kind=target_kind,
-                **options,
-            )
-        )
-    return reduce(_union_records, parts)
-
-
-def _union_records(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.unionByName(b, allowMissingColumns=True)
+def read_label_cells(spark: SparkSession, root: str, paths: Sequence[str]) -> DataFrame:
+    """Rows of the selected label files below ``root``, of any crops and headers, as one table.
+
+    ``cells`` maps a file's columns to its texts; source_path, year, crop_type and split come from the file's path.
+    """
+    base = root.rstrip("/")
+    plain_base = re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", base)
+    # The file's URI is percent-encoded, but a plus sign in it stands for itself.
+    uri = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    inside = F.substring_index(F.regexp_replace(uri, r"^[a-z0-9]+:(//[^/]*)?", ""), f"{plain_base}/", -1)
+    frames = []
+    for header, files in csv_layouts(spark, [f"{base}/{p}" for p in paths]):
+        cells = F.create_map(*[x for c in header for x in (F.lit(c), F.col("`" + c.replace("`", "``") + "`"))])
+        frames.append(read_csv(spark, files, header).select(inside.alias("path"), cells.alias("cells")))
+    known = with_label_path_fields(reduce(DataFrame.union, frames), on_unknown="fail")
+    return known.withColumn("split", split_of_year(F.col("year"), on_unknown="fail")).withColumnRenamed("path", "source_path")
+
+
+def read_anchors(spark: SparkSession, root: str, paths: Sequence[str], target_kind: str) -> DataFrame:
+    """Anchors of the selected label files below ``root``."""
+    return anchors_of_cells(read_label_cells(spark, root, paths), target_kind)

@@ -148,6 +148,33 @@ ORACLES["dry_streak"] = (
     _with(RAW, STREAKS.replace("{source}", "raw"))
     + f"SELECT {_KEYS}, CAST(streak AS BIGINT) AS longest_streak FROM streaks"
 )
+_BY_RAIN = STREAKS.replace(
+    "ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity",
+    "ORDER BY l_shipdate, rain NULLS LAST",
+)
+ORACLES["weather_monthly_untied"] = ORACLES["weather_monthly"].replace(
+    "ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity",
+    "ORDER BY l_shipdate, rain NULLS LAST",
+)
+ORACLES["dry_streak_dated"] = (
+    _with(RAW, _BY_RAIN.replace("{source}", "raw"))
+    + f"SELECT {_KEYS}, CAST(streak AS BIGINT) AS longest_streak FROM streaks"
+)
+ORACLES["weather_limits"] = (
+    _with(RAW, KEPT, DAYS, _BY_RAIN.replace("{source}", "days").replace("rain < 1.0", "rain < 12.0"))
+    + f"""SELECT county_id, yr AS year, mon AS month, {_r('sum(greatest(0.0, c - 4.5))', 'weather_gdd')},
+      count(*) FILTER (WHERE cx >= 22.0) AS weather_extreme_heat_days,
+      {_r('sum(greatest(0.0, 3.0 - cn))', 'weather_cold_stress_degree_days')},
+      {_r('sum(greatest(0.0, c - 22.0))', 'weather_heat_stress_degree_days')},
+      count(*) FILTER (WHERE rain >= 25.0) AS weather_rainy_days, count(*) FILTER (WHERE rain < 12.0) AS weather_dry_days,
+      CAST(max(streak) AS BIGINT) AS weather_max_dry_streak
+    FROM days JOIN streaks USING (county_id, yr, mon) GROUP BY county_id, yr, mon"""
+)
+ORACLES["weather_own_climatology"] = (
+    _with(*WEATHER, "given AS (SELECT mon AS m, avg(tm) AS bt, avg(p) AS br FROM monthly WHERE yr < 1997 GROUP BY mon)")
+    + f"SELECT {_KEYS}, {_r('tm - bt', 'weather_temperature_anomaly')}, {_r('p - br', 'weather_rainfall_anomaly')}"
+    + " FROM monthly LEFT JOIN given ON mon = m"
+)
 ORACLES["weather_anomaly"] = (
     _with(*WEATHER, _BASE)
     + f"SELECT {_KEYS}, {_r('ta', 'weather_temperature_anomaly')}, {_r('ra', 'weather_rainfall_anomaly')} FROM based"

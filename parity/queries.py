@@ -54,8 +54,9 @@ from furrow.operators.scenes import (
     scenes_without_valid_pixels,
 )
 from furrow.operators.season import index_season, vegetation_season, weather_season
-from furrow.operators.streaks import longest_true_streak
+from furrow.operators.streaks import longest_dated_streak, longest_true_streak
 from furrow.operators.weather import (
+    WeatherThresholds,
     climatology_of,
     daily_measures,
     in_celsius,
@@ -110,6 +111,37 @@ def dry_streak(spark, sf):
     return longest_true_streak(rows, keys, F.col("precipitation") < 1.0, ["date", *TIES])
 
 
+def weather_monthly_untied(spark, sf):
+    """Without tie keys: rows of one date by precipitation."""
+    return rounded(monthly_weather(weather_daily(spark, sf)))
+
+
+def dry_streak_dated(spark, sf):
+    rows = weather_readings(weather_daily(spark, sf))
+    return longest_dated_streak(rows, ["county_id", "year", "month"], F.col("precipitation") < 1.0, "date")
+
+
+def weather_limits(spark, sf):
+    """Other thresholds than the defaults."""
+    limits = WeatherThresholds(base_temperature=4.5, heat=22.0, frost=3.0, dry_below=12.0, rainy_from=25.0)
+    out = monthly_weather(weather_daily(spark, sf), limits=limits)
+    return rounded(
+        out.select(
+            "county_id", "year", "month", "weather_gdd", "weather_extreme_heat_days", "weather_cold_stress_degree_days",
+            "weather_heat_stress_degree_days", "weather_rainy_days", "weather_dry_days", "weather_max_dry_streak",
+        )
+    )
+
+
+def weather_own_climatology(spark, sf):
+    """A climatology of monthly measures, averaged first."""
+    monthly = _monthly(spark, sf)
+    out = with_anomalies(monthly, monthly.where("year < 1997"))
+    return rounded(
+        out.select("county_id", "year", "month", "weather_temperature_anomaly", "weather_rainfall_anomaly")
+    )
+
+
 def weather_anomaly(spark, sf):
     out = with_anomalies(_monthly(spark, sf))
     return rounded(
@@ -464,7 +496,8 @@ def prediction_checks(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        weather_monthly, dry_streak, weather_anomaly, weather_given_climatology, weather_climatology,
+        weather_monthly, weather_monthly_untied, dry_streak, dry_streak_dated, weather_limits,
+        weather_own_climatology, weather_anomaly, weather_given_climatology, weather_climatology,
         weather_lags, daily_rows_kept, celsius_rows, day_measures, readings_of_headers,
         season_weather, season_weather_all_years, ndvi_statistics, ndvi_features, ndvi_rejected,
         ndvi_patches, patch_areas, patch_boundaries, index_levels_loaded, rgb_loaded, hsv_pixels,

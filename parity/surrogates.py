@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.session import tuned
+
 TIES = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
 SIDE = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def weather_daily(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,6 @@ from furrow.functions.codes import (
     health_score,
     label_column,
     label_unit,
-    split_for,
     split_of_year,
     state_abbr,
     state_coded,
@@ -18,10 +17,12 @@ from furrow.functions.dates import month_of_date_key
 from furrow.functions.text import key_text, numeric_code, strip, zero_pad
 from furrow.operators.labels import (
     anchors,
+    anchors_of_cells,
     choose_label_rows,
     county_id_of,
     county_ids,
     in_counties,
+    rejected_cells,
     rejected_labels,
     split_counts,
     usable_anchors,
@@ -34,6 +35,8 @@ from furrow.sources.paths import (
     with_label_path_fields,
 )
 
+from furrow.sources.tables import read_label_cells
+
 YIELD = "YIELD, MEASURED IN BU / ACRE"
 PATH = "USDA/data/2017/Corn/USDA_Corn_County_2017.csv"
 
@@ -44,38 +47,71 @@ def values(spark, column, inputs, kind="string"):
 
 
 def label_rows(spark):
+    """A county row with a total, the same county by practice, and a state row."""
     return spark.createDataFrame(
         [
-            (1, 3, "ALABAMA", "BALDWIN", "CORN", "COUNTY", "TOTAL", "SURVEY", 162.5, " keep me ", 7),
-            (1, 5, "ALABAMA", "OTHER", "CORN", "STATE", "TOTAL", "SURVEY", 155.0, "drop me", 8),
+            (28, 151, "Mississippi", "Washington", "County", "Total", "Census", 88.25, "\tlate frost ", 41),
+            (28, 151, "Mississippi", "Washington", "County", "Irrigated", "Census", 97.0, "other practice", 12),
+            (28, None, "Mississippi", None, "State", "Total", "Census", 71.5, "whole state", 5),
         ],
-        f"state_ansi int, county_ansi int, state_name string, county_name string, commodity_desc string,"
-        f" agg_level_desc string, domain_desc string, source_desc string, `{YIELD}` double,"
-        f" extra_signal string, extra_number int",
+        f"state_ansi int, county_ansi int, state_name string, county_name string, agg_level_desc string,"
+        f" domain_desc string, source_desc string, `{YIELD}` double, remark string, reports int",
     )
 
 
 def test_anchor_of_a_county_row(spark):
     out = anchors(
-        label_rows(spark), crop_type="corn", target_kind="yield", year=2017, split="train", source_path=PATH
+        label_rows(spark), crop_type="corn", target_kind="yield", year=2019, split="train", source_path=PATH
     ).collect()
     assert len(out) == 1
     row = out[0].asDict(recursive=True)
-    assert row["county_id"] == "01003" and row["state_ansi"] == "01" and row["county_ansi"] == "003"
-    assert row["target_value"] == 162.5 and row["target_unit"] == "BU / ACRE"
-    assert row["split"] == "train" and row["year"] == 2017 and row["source_path"] == PATH
-    assert row["source_desc"] == "SURVEY"
-    assert row["features"] == {"extra_signal": "keep me", "extra_number": 7}
+    assert (row["county_id"], row["state_ansi"], row["county_ansi"]) == ("28151", "28", "151")
+    assert row["target_value"] == 88.25 and row["target_unit"] == "BU / ACRE"
+    assert (row["split"], row["year"], row["source_path"], row["source_desc"]) == ("train", 2019, PATH, "Census")
+    assert row["features"] == {"remark": "late frost", "reports": 41}
 
 
 def test_features_absent_when_all_missing(spark):
-    df = label_rows(spark).withColumns(
-        {"extra_signal": F.lit("  "), "extra_number": F.lit(None).cast("int")}
-    )
+    df = label_rows(spark).withColumns({"remark": F.lit("  "), "reports": F.lit(None).cast("int")})
     row = anchors(df, crop_type="Corn", target_kind="yield", year=2021, source_path="p").first()
     assert row["features"] is None and row["split"] == "validation"
 
 
+def write_label_file(root, crop, year, header, *rows):
+    folder = root / "USDA Crop Dataset" / crop / str(year)
+    folder.mkdir(parents=True, exist_ok=True)
+    path = folder / f"USDA_{crop}_County_{year}.csv"
+    path.write_text("\n".join([header, *rows]) + "\n")
+    return str(path.relative_to(root))
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_label_files_with_mixed_values(spark, tmp_path, turn):
+    """Whole numbers in one file, decimals and text in others; two crops share a column with other kinds of values."""
+    root = tmp_path / "a b+c"
+    root.mkdir()
+    paths = [
+        write_label_file(root, "Corn", 2017, f'state_ansi,county_ansi,"{YIELD}",extra', "1,3,162,5", "1,5,(D),7"),
+        write_label_file(root, "Corn", 2018, f'state_ansi,county_ansi,"{YIELD}",extra', "1,3,170.5,2.5", "1,5,171,"),
+        write_label_file(root, "Soybeans", 2018, f'extra,county_ansi,state_ansi,"{YIELD}"', "abc,7,2,40", "007,9,2,41.25"),
+    ]
+    cells = read_label_cells(spark, str(root), paths[::turn])
+    found = anchors_of_cells(cells, "yield").select("crop_type", "year", "county_id", "target_value", F.to_json(F.struct("features")))
+    assert sorted(map(tuple, found.collect())) == [
+        ("corn", 2017, "01003", 162.0, '{"features":{"extra":5}}'),
+        ("corn", 2018, "01003", 170.5, '{"features":{"extra":2.5}}'),
+        ("corn", 2018, "01005", 171.0, "{}"),
+        ("soybeans", 2018, "02007", 40.0, '{"features":{"extra":"abc"}}'),
+        ("soybeans", 2018, "02009", 41.25, '{"features":{"extra":7}}'),
+    ]
+    rejected = rejected_cells(cells, "yield").collect()
+    assert [tuple(r) for r in rejected] == [(paths[0], "01005", "(D)", "not numeric")]
+    assert {r["source_path"] for r in cells.collect()} == set(paths)
+    bad = write_label_file(root, "Cotton", 2018, "state_ansi,county_ansi", "1,3")
+    with pytest.raises(Exception, match="label column is missing"):
+        anchors_of_cells(read_label_cells(spark, str(root), [*paths, bad]), "yield").collect()
+
+
 def test_bad_targets_are_rejected_or_fail(spark):
     df = spark.createDataFrame(
         [("1", "3", "1.5", "a"), ("1", "4", "(D)", "a"), ("1", "5", "inf", "a"), ("1", "6", " ", "a"), ("1", "7", None, "a")],
@@ -89,8 +125,7 @@ def test_bad_targets_are_rejected_or_fail(spark):
         anchors(df, crop_type="corn", target_kind="yield", on_bad_target="fail").collect()
 
 
-@pytest.mark.parametrize("max_scopes", [100, 1])
-def test_label_choice_per_source(spark, max_scopes):
+def test_label_choice_per_source(spark):
     rows = [
         ("a", 1.0, "County", "TOTAL", 1), ("a", 2.0, "COUNTY", "x", 2), ("a", 3.0, "STATE", "TOTAL", 3),
         ("a", float("nan"), "COUNTY", "TOTAL", 4),
@@ -101,7 +136,7 @@ def test_label_choice_per_source(spark, max_scopes):
     df = spark.createDataFrame(
         rows, "source_path string, t double, agg_level_desc string, domain_desc string, i int"
     )
-    got = choose_label_rows(df, "t", max_scopes=max_scopes)
+    got = choose_label_rows(df, "t")
     assert sorted(r["i"] for r in got.collect()) == [1, 5, 7, 10]
     plain = choose_label_rows(df.drop("agg_level_desc", "domain_desc"), "t")
     assert plain.count() == 8
@@ -152,8 +187,8 @@ def test_code_tables(spark):
         "train", "train", "validation", "test", None,
     ]
     assert state_coded("22") == "LA" and crop_named("Winter_Wheat") == "winter wheat"
-    assert split_for(2021) == "validation" and fips_list(["1003", " 22007", "", "1003"]) == ["01003", "22007"]
-    for wrong in (lambda: state_coded("03"), lambda: crop_named("rye"), lambda: split_for(2016)):
+    assert fips_list(["1003", " 22007", "", "1003"]) == ["01003", "22007"]
+    for wrong in (lambda: state_coded("03"), lambda: crop_named("rye")):
         with pytest.raises(ValueError):
             wrong()
     with pytest.raises(Exception, match="unknown crop"):
