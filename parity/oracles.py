@@ -822,3 +822,59 @@ ORACLES["prediction_checks"] = """
 SELECT c_custkey, 0 AS n_warnings, concat_ws(',', CASE WHEN c_acctbal < 0 THEN 'predicted_yield' END,
   CASE WHEN c_custkey % 3 = 0 THEN 'unit' END, CASE WHEN c_custkey % 4 = 0 THEN 'model_name' END) AS reasons
 FROM customer"""
+
+ORACLES["weather_records"] = (
+    _with(
+        *WEATHER,
+        LABELS,
+        """
+        seasons AS (SELECT county_id, yr, count(*) AS months, max(p) FILTER (mon = 3) AS march, sum(hs) AS heat
+                    FROM monthly GROUP BY county_id, yr)""",
+    )
+    + f"""SELECT s.county_id, 'corn' AS crop_type, s.yr AS year, CAST(c_custkey AS VARCHAR) AS source_path,
+      {_r('c_acctbal', 'target_value')}, CAST(months AS DOUBLE) AS months, CAST(months AS DOUBLE) AS feature_rows,
+      {_r('march', 'march_rain')}, {_r('heat', 'heat_stress')}
+    FROM anchors a JOIN seasons s ON lpad(CAST(c_custkey % 20 AS VARCHAR), 5, '0') = s.county_id AND 1992 + c_custkey % 7 = s.yr"""
+)
+ORACLES["container_features"] = (
+    _with(PIXELS, LOADED)
+    + f"""SELECT 'file' || CAST(scene_id AS BIGINT) % 2 || '|1003|'
+      || CASE WHEN CAST(scene_id AS BIGINT) % 10 <> 0 THEN '2019-05-01' ELSE '?' END || '|' || CAST(scene_id AS BIGINT) // 2 AS scene_id,
+      '01003' AS county_id, CAST(CASE WHEN CAST(scene_id AS BIGINT) % 10 <> 0 THEN 5 END AS INTEGER) AS month,
+      {_r('avg(v)', 'mean')}, {_r('max(v)', 'highest')}
+    FROM ix GROUP BY scene_id"""
+)
+ORACLES["label_features_mixed"] = f"""
+SELECT CAST(c_custkey AS VARCHAR) AS source_path, CASE WHEN c_custkey % 2 = 0 THEN 'corn' ELSE 'cotton' END AS crop_type,
+  lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 500 AS VARCHAR), 3, '0') AS county_id,
+  {_r('c_acctbal', 'target_value')}, CASE WHEN c_custkey % 2 = 0 THEN 'BU / ACRE' ELSE 'LB / ACRE' END AS target_unit,
+  CASE c_custkey % 4 WHEN 0 THEN 'BIGINT' WHEN 1 THEN 'DOUBLE' WHEN 2 THEN 'STRING' END AS kind,
+  CASE c_custkey % 4 WHEN 0 THEN CAST(c_custkey AS VARCHAR) WHEN 1 THEN c_custkey || '.5' WHEN 2 THEN 'no. ' || c_custkey END AS extra
+FROM customer WHERE c_custkey % 11 <> 0
+"""
+ORACLES["record_lines"] = r"""
+SELECT c_custkey, '{"id":' || c_custkey
+  || CASE WHEN c_custkey % 3 <> 0 THEN ',"name":"\"' || c_name || '\\"' ELSE '' END
+  || CASE WHEN c_custkey % 4 <> 0 THEN ',"balance":' || CAST(CAST(c_acctbal AS DOUBLE) AS VARCHAR) ELSE '' END
+  || ',"features":{"segment":' || CASE WHEN c_custkey % 5 <> 0 THEN '"' || c_mktsegment || '"' ELSE 'null' END || '}'
+  || CASE WHEN c_custkey % 4 = 0 THEN ',"balance":null' ELSE '' END || '}' AS line
+FROM customer
+"""
+_CORE_NDVI = [
+    "ndvi_mean", "ndvi_median", "ndvi_std", "ndvi_p25", "ndvi_p75", "ndvi_above_0_3_ratio", "ndvi_above_0_5_ratio",
+    "ndvi_low_ratio",
+]
+ORACLES["core_ndvi"] = f"SELECT county_id, crop_type, year, month, {', '.join(_CORE_NDVI)} FROM ({ORACLES['scene_month_means']})"
+_CORE_AG = [
+    "ag_green_pixel_ratio", "ag_vegetation_area_percent", "ag_brown_yellow_pixel_ratio", "ag_soil_exposure_ratio",
+    "ag_texture_entropy", "ag_edge_density",
+]
+ORACLES["core_ag"] = (
+    _with(*COLOUR, COLOUR_MONTHS) + f"SELECT {_MONTH_KEYS}, " + ", ".join(_r(c, c) for c in _CORE_AG) + " FROM cm"
+)
+ORACLES["dates_assembled"] = f"""
+SELECT strftime(d, '%Y-%m-%d') AS date, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, l_orderkey, l_linenumber, l_partkey,
+  {_r('l_extendedprice', 'l_extendedprice')}, {_r('l_quantity', 'l_quantity')}
+FROM (SELECT *, try_cast(strftime(l_shipdate, '%Y-%m-') || lpad(CAST(CASE WHEN l_orderkey % 9 = 0 THEN 31 ELSE day(l_shipdate) END AS VARCHAR), 2, '0')
+  AS DATE) AS d FROM lineitem) WHERE d IS NOT NULL
+"""

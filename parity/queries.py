@@ -28,6 +28,7 @@ from furrow.operators.checks import INPUT_RULES, PREDICTION_RULES, predictions,
 from furrow.operators.fusion import fusion_features
 from furrow.operators.labels import (
     anchors,
+    anchors_of_cells,
     choose_label_rows,
     county_ids,
     in_counties,
@@ -66,8 +67,10 @@ from furrow.operators.weather import (
     with_anomalies,
     with_lags,
 )
+from furrow.plans.export import record_table
 from furrow.sources.paths import select_label_paths, with_label_path_fields
 from furrow.sources.scenes import container_scenes, tensor_scenes
+from furrow.sources.sinks import record_json
 from parity.surrogates import (
     TIES,
     climatology,
@@ -470,6 +473,107 @@ def core_weather(spark, sf):
     return rounded(core_features(with_anomalies(_monthly(spark, sf)), "weather"), drop=("crop_type",))
 
 
+def weather_records(spark, sf):
+    """Daily rows of two crops and label anchors to one record per anchor."""
+    crop = F.when(F.col("l_linenumber") % 2 == 0, "corn").otherwise("soybeans")
+    raw = weather_daily(spark, sf).withColumn("crop_type", crop)
+    key = F.col("features.c_custkey")
+    moved = _anchors(spark, sf).withColumns(
+        {
+            "county_id": F.lpad((key % 20).cast("string"), 5, "0"),
+            "year": (1992 + key % 7).cast("int"),
+            "split": F.lit("train"),
+            "source_path": key.cast("string"),
+        }
+    )
+    value = lambda k: F.col("features")[k]
+    out = record_table(moved, raw, "weather")
+    return rounded(
+        out.select(
+            "county_id", "crop_type", "year", "source_path", "target_value",
+            value("weather_available_months").alias("months"),
+            value("weather_feature_rows").alias("feature_rows"),
+            value("weather_m03_weather_total_precipitation").alias("march_rain"),
+            value("weather_heat_stress_total").alias("heat_stress"),
+        )
+    )
+
+
+def container_features(spark, sf):
+    """Two stored files whose grids have the same keys, one of them without a date."""
+    scenes = index_scene_table(spark, sf)
+    vec = F.col("scene_id").cast("long")
+    container = scenes.select(
+        F.concat(F.lit("file"), (vec % 2).cast("string")).alias("file"),
+        F.lit("1003").alias("county_id"),
+        F.when(vec % 10 != 0, F.lit("2019-05-01")).alias("date"),
+        F.floor(vec / 2).alias("grid_index"), "height", "width", "data",
+    )
+    mean = F.aggregate("data", F.lit(0.0), lambda a, v: a + v) / F.size("data")
+    loaded = container_scenes(container, "ndvi")
+    return rounded(loaded.select("scene_id", "county_id", "month", mean.alias("mean"), F.array_max("data").alias("highest")))
+
+
+def label_features_mixed(spark, sf):
+    """customer as label cells of two crops whose extra column holds numbers and text."""
+    key = F.col("c_custkey")
+    text = key.cast("string")
+    extra = (
+        F.when(key % 4 == 0, text)
+        .when(key % 4 == 1, F.concat(text, F.lit(".50")))
+        .when(key % 4 == 2, F.concat(F.lit(" no. "), text))
+        .otherwise("  ")
+    )
+    crop = F.when(key % 2 == 0, "Corn").otherwise("Cotton")
+    target = F.when(key % 2 == 0, TARGET).otherwise("YIELD, MEASURED IN LB / ACRE")
+    acres = F.when(key % 11 == 0, "(D)").otherwise(F.col("c_acctbal").cast("string"))
+    cells = F.map_from_arrays(
+        F.array(F.lit("state_ansi"), F.lit("county_ansi"), target, F.lit("extra")),
+        F.array(F.col("c_nationkey").cast("string"), (key % 500).cast("string"), acres, extra),
+    )
+    rows = table(spark, sf, "customer").select(
+        text.alias("source_path"), F.lit(2018).alias("year"), F.lit("train").alias("split"), crop.alias("crop_type"),
+        cells.alias("cells"),
+    )
+    out = anchors_of_cells(rows, "yield")
+    value = F.try_element_at("features", F.lit("extra"))
+    return rounded(
+        out.select(
+            "source_path", "crop_type", "county_id", "target_value", "target_unit",
+            F.schema_of_variant(value).alias("kind"), value.cast("string").alias("extra"),
+        )
+    )
+
+
+def record_lines(spark, sf):
+    """JSON text of records: missing fields left out, but for those that are always written."""
+    customer = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit(' "'), F.col("c_name"), F.lit("\\ "))).alias("name"),
+        F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).otherwise(float("nan")).alias("balance"),
+        F.create_map(F.lit("segment"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment"))).alias("features"),
+    )
+    return customer.select(F.col("id").alias("c_custkey"), record_json(customer, keep_nulls=("balance",)).alias("line"))
+
+
+def core_ndvi(spark, sf):
+    return rounded(core_features(_index_monthly(spark, sf), "ndvi"))
+
+
+def core_ag(spark, sf):
+    return rounded(core_features(_colour_monthly(spark, sf), "ag"))
+
+
+def dates_assembled(spark, sf):
+    """lineitem with its date in three columns; every ninth order's day does not exist."""
+    day = F.when(F.col("l_orderkey") % 9 == 0, 31).otherwise(F.dayofmonth("l_shipdate"))
+    rows = table(spark, sf, "lineitem").select(
+        F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), day.alias("day"),
+        F.col("l_quantity").alias("tmean"), *TIES,
+    )
+    return rounded(weather_readings(rows).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "year", "month", *TIES))
+
+
 # --- fusion and checks --------------------------------------------------------------------------
 def fusion_flat(spark, sf):
     return rounded(fusion_features(fusion_inputs(spark, sf)))
@@ -506,6 +610,7 @@ QUERIES = {
         label_rejects, label_usable, label_county_ids, label_in_counties, label_split_counts,
         label_paths_selected, label_path_fields, code_lookups, date_key_months, normalised_keys,
         joined_modalities, month_wide, month_keys_values, distinct_month_keys, anchor_records,
-        core_weather, fusion_flat, input_checks, prediction_checks,
+        core_weather, weather_records, container_features, label_features_mixed, record_lines, core_ndvi,
+        core_ag, dates_assembled, fusion_flat, input_checks, prediction_checks,
     )
 }
