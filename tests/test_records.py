@@ -27,21 +27,23 @@ from furrow.operators.checks import (
     with_reasons,
 )
 from furrow.operators.fusion import fusion_features
-from furrow.plans.export import record_table, run_export
+from furrow.plans.export import only_needed_partitions, record_table, run_export
 from furrow.sources.scenes import (
     container_scenes,
     index_from_images,
+    read_container,
     read_images,
     rgb_from_images,
     tensor_scenes,
+    unreadable_images,
 )
 from furrow.sources.sinks import record_json, write_jsonl, write_jsonl_splits
 from furrow.sources.tables import read_county_weather, read_csv_by_name, read_weather
 
 ANCHOR = {
-    "split": "train", "county_id": "01003", "crop_type": "corn", "year": 2017, "target_kind": "yield",
-    "target_value": 162.5, "target_unit": "BU / ACRE", "source_path": "p.csv", "state_ansi": "01",
-    "county_ansi": "003", "state_name": "ALABAMA", "county_name": "BALDWIN",
+    "split": "train", "county_id": "28151", "crop_type": "corn", "year": 2017, "target_kind": "yield",
+    "target_value": 88.25, "target_unit": "BU / ACRE", "source_path": "p.csv", "state_ansi": "28",
+    "county_ansi": "151", "state_name": "Mississippi", "county_name": "Washington",
 }
 KEYS = "county_id string, crop_type string, year int, month int"
 
@@ -100,8 +102,8 @@ def test_month_map_and_columns(spark):
 
 def test_records_join_and_envelope(spark, tmp_path):
     rows = [{}, {"crop_type": "cotton", "state_name": None}, {"county_id": "9"}, {"split": "none"}, {"year": None}]
-    monthly = spark.createDataFrame([("01003", None, 2017, 2, 0.5), ("00009", None, 2018, 1, 1.0)], KEYS + ", ndvi_x double")
-    summary = spark.createDataFrame([("01003", None, 2017, None)], "county_id string, crop_type string, year int, ndvi_slope double")
+    monthly = spark.createDataFrame([("28151", None, 2017, 2, 0.5), ("00009", None, 2018, 1, 1.0)], KEYS + ", ndvi_x double")
+    summary = spark.createDataFrame([("28151", None, 2017, None)], "county_id string, crop_type string, year int, ndvi_slope double")
     features = modality_features(monthly, summary, "ndvi")
     out = modality_records(anchor_table(spark, *rows), features)
     assert sorted(r["crop_type"] for r in out.collect()) == ["corn", "cotton"]
@@ -110,7 +112,7 @@ def test_records_join_and_envelope(spark, tmp_path):
         "ndvi_m02_ndvi_x": 0.5, "ndvi_month_count": 1.0, "ndvi_observation_count": 1.0, "ndvi_slope": None,
         "ndvi_available_months": 1.0, "ndvi_feature_rows": 1.0,
     }
-    assert "state_name" not in got["cotton"] and got["corn"]["state_name"] == "ALABAMA"
+    assert "state_name" not in got["cotton"] and got["corn"]["state_name"] == "Mississippi"
 
 
 def test_core_features(spark):
@@ -220,14 +222,14 @@ def test_image_files(spark, tmp_path):
 
 
 def test_csv_layouts(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("date,FIPS Code,tmean\n2017-01-01,1003,280\n")
+    (tmp_path / "a.csv").write_text("date,FIPS Code,tmean\n2017-01-01,28151,280\n")
     (tmp_path / "b.csv").write_text("tmean,date,FIPS Code\n281,2017-01-02,22007\n")
     paths = [str(tmp_path / n) for n in ("a.csv", "b.csv")]
     assert sorted((r["date"], r["tmean"]) for r in read_csv_by_name(spark, paths).collect()) == [
         ("2017-01-01", "280"), ("2017-01-02", "281"),
     ]
-    assert read_county_weather(spark, paths, ["01003"]).first()["county_id"] == "01003"
-    assert read_county_weather(spark, paths[:1], same_header=True).first()["county_id"] == "01003"
+    assert read_county_weather(spark, paths, ["28151"]).first()["county_id"] == "28151"
+    assert read_county_weather(spark, paths[:1], same_header=True).first()["county_id"] == "28151"
     with pytest.raises(Exception):
         read_weather(spark, *paths).collect()
 
@@ -243,19 +245,19 @@ WEATHER = (
     "date,FIPS Code,Daily/Monthly,Avg Temperature (K),Max Temperature (K),Min Temperature (K),"
     "Precipitation (kg m**-2),Relative Humidity (%),Wind Speed (m s**-1),"
     "Downward Shortwave Radiation Flux (W m**-2)\n"
-    "2017-01-01,01003,Monthly,290.0,295.0,285.0,4.0,65.0,3.0,150.0\n"
-    "2017-02-01,01003,Monthly,294.0,300.0,286.0,6.0,70.0,4.0,175.0\n"
-    "2016-02-01,01003,Monthly,294.0,300.0,286.0,6.0,70.0,4.0,175.0\n"
+    "2017-01-01,28151,Monthly,283.5,289.0,278.25,7.5,61.0,2.0,140.0\n"
+    "2017-02-01,28151,Monthly,286.5,292.0,280.0,3.25,64.0,2.5,160.0\n"
+    "2016-02-01,28151,Monthly,287.0,293.0,281.0,9.0,66.0,3.5,155.0\n"
 )
 
 
 def containers(spark):
     shape = "county_id string, date string, grid_index int, height int, width int, channels int, "
     ag = spark.createDataFrame(
-        [("01003", "2017-02-01", i, 2, 2, 3, [v] * 12) for i, v in enumerate((64, 192))], shape + "data array<int>"
+        [("28151", "2017-02-01", i, 2, 2, 3, [v] * 12) for i, v in enumerate((40, 120))], shape + "data array<int>"
     )
     ndvi = spark.createDataFrame(
-        [("01003", "2017-02-01", i, 2, 2, 1, [v] * 4) for i, v in enumerate((0.25, 0.75))], shape + "data array<float>"
+        [("28151", "2017-02-01", i, 2, 2, 1, [v] * 4) for i, v in enumerate((0.1, 0.5))], shape + "data array<float>"
     )
     return ag, ndvi
 
@@ -264,10 +266,10 @@ def test_three_modalities_export(spark, tmp_path):
     y = '"YIELD, MEASURED IN BU / ACRE"'
     write_labels(
         tmp_path, "Corn", 2017, f"state_ansi,county_ansi,agg_level_desc,domain_desc,{y},note",
-        ["1,3,COUNTY,TOTAL,162.5,a+b", "1,5,COUNTY,TOTAL,100,", "1,,STATE,TOTAL,150,"],
+        ["28,151,COUNTY,TOTAL,88.25,a+b", "28,151,COUNTY,TOTAL,(D),", "28,5,COUNTY,TOTAL,100,", "28,,STATE,TOTAL,71.5,"],
     )
-    write_labels(tmp_path, "Soybeans", 2017, f"county_ansi,state_ansi,{y}", ["3,1,40.5"])
-    write_labels(tmp_path, "Cotton", 2017, "state_ansi,county_ansi", ["1,3"])
+    write_labels(tmp_path, "Soybeans", 2017, f"county_ansi,state_ansi,{y}", ["151,28,33.75"])
+    write_labels(tmp_path, "Cotton", 2017, "state_ansi,county_ansi", ["28,151"])
     (tmp_path / "w.csv").write_text(WEATHER)
     weather = read_county_weather(spark, [str(tmp_path / "w.csv")])
     ag, ndvi = containers(spark)
@@ -276,31 +278,73 @@ def test_three_modalities_export(spark, tmp_path):
     }
     counts = run_export(
         spark, str(tmp_path), str(tmp_path / "out"), raw, years=[2017], crops=["corn", "soybeans"],
-        fips_codes=["1003"],
+        fips_codes=["28151"],
     )
     assert counts == {m: {"train": 2, "validation": 0, "test": 0} for m in raw}
     got = {m: {r["crop_type"]: r for r in lines(tmp_path / "out" / m / "split=train")} for m in raw}
     corn = got["ag"]["corn"]
-    assert corn["county_id"] == "01003" and corn["target_value"] == 162.5
+    assert corn["county_id"] == "28151" and corn["target_value"] == 88.25
     assert corn["source_path"] == "USDA Crop Dataset/Corn/2017/USDA_Corn_County_2017.csv"
     assert got["ag"]["soybeans"]["source_path"].endswith("USDA_Soybean_County_2017.csv")
     assert corn["features"]["ag_available_months"] == 1 and corn["features"]["ag_growth_slope"] == 0.0
-    assert corn["features"]["ag_m02_ag_mean_brightness"] == pytest.approx(128 / 255)
+    assert corn["features"]["ag_m02_ag_mean_brightness"] == pytest.approx(80 / 255)
     index = got["ndvi"]["corn"]["features"]
-    assert index["ndvi_m02_ndvi_mean"] == pytest.approx(0.5) and index["ndvi_feature_rows"] == 1
+    assert index["ndvi_m02_ndvi_mean"] == pytest.approx(0.3) and index["ndvi_feature_rows"] == 1
     assert index["ndvi_stability_score"] is None
     rain = got["weather"]["corn"]["features"]
     assert rain["weather_available_months"] == 2 and "weather_m01_weather_gdd" in rain
-    assert rain["weather_temperature_trend_slope"] == pytest.approx(4.0)
-    assert rain["weather_m02_weather_rainfall_lag_1"] == 4.0
+    assert rain["weather_temperature_trend_slope"] == pytest.approx(3.0)
+    assert rain["weather_m02_weather_rainfall_lag_1"] == 7.5
     manifest = lines(tmp_path / "out" / "manifest")[0]
-    assert manifest["selected_fips"] == ["01003"]
+    assert manifest["selected_fips"] == ["28151"]
+    assert manifest["rejected"] == {"label: not numeric": 1}
+    rejects = lines(tmp_path / "out" / "rejects")
+    assert [r["source"] for r in rejects] == ["USDA Crop Dataset/Corn/2017/USDA_Corn_County_2017.csv 28151"]
     assert manifest["modality_stats"]["ag"] == {"split_counts": {"test": 0, "train": 2, "validation": 0}, "rows_written": 2}
 
 
+def test_export_reads_wanted_partitions_only(spark, tmp_path):
+    _, ndvi = containers(spark)
+    stored = ndvi.withColumn("year", F.lit(2017)).crossJoin(spark.createDataFrame([("MS",), ("LA",)], "state_abbr string"))
+    stored.write.partitionBy("year", "state_abbr").parquet(str(tmp_path / "ndvi"))
+    table = only_needed_partitions(read_container(spark, str(tmp_path / "ndvi")), [2017, 2018], ["28151"])
+    scenes = container_scenes(table, "ndvi")
+    plan = scenes._jdf.queryExecution().executedPlan().toString()
+    scans = plan.split("PartitionFilters: ")[1:]
+    assert scans and all("year" in s.split("PushedFilters")[0] and "state_abbr" in s.split("PushedFilters")[0] for s in scans)
+    assert scenes.count() == 2
+    weather = spark.createDataFrame([("28151",)], "county_id string")
+    assert only_needed_partitions(weather, [2017], ["28151"]) is weather
+
+
+def test_one_record_per_anchor_whatever_the_raw_crops(spark):
+    rows = [("28151", crop, f"2017-{m:02d}-{d:02d}", 10.0 + d, 1.0 * m) for crop in ("corn", "wheat") for m in (4, 5) for d in (1, 2)]
+    raw = spark.createDataFrame(rows, "county_id string, crop_type string, date string, tmean double, prcp double")
+    got = record_table(anchor_table(spark, {}, {"crop_type": "cotton"}), raw, "weather").collect()
+    assert sorted(r["crop_type"] for r in got) == ["corn", "cotton"]
+    assert all(r["features"]["weather_feature_rows"] == 2 and r["features"]["weather_m05_weather_total_precipitation"] == 20.0 for r in got)
+
+
+def test_repeated_scenes_fail(spark):
+    _, ndvi = containers(spark)
+    both = ndvi.unionByName(ndvi)
+    with pytest.raises(Exception, match="repeated scene"):
+        container_scenes(both, "ndvi").collect()
+    apart = ndvi.withColumn("file", F.lit("a")).unionByName(ndvi.withColumn("file", F.lit("b")))
+    assert container_scenes(apart, "ndvi").select("scene_id").distinct().count() == 4
+
+
+def test_unreadable_images_fail_and_are_listed(spark, tmp_path):
+    (tmp_path / "good.png").write_bytes(png([[0, 255, 10]], 1))
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    with pytest.raises(Exception, match="not a readable image"):
+        read_images(spark, str(tmp_path)).collect()
+    assert [r["file"].rsplit("/", 1)[1] for r in unreadable_images(spark, str(tmp_path)).collect()] == ["bad.png"]
+
+
 def test_tensor_months(spark):
     df = spark.createDataFrame(
-        [("t", "01003", None, 2017, [[(1, 2, [0.1, 0.2])], [(1, 2, [0.3, 0.4]), (1, 1, [0.6])]])],
+        [("t", "28151", None, 2017, [[(1, 2, [0.1, 0.2])], [(1, 2, [0.3, 0.4]), (1, 1, [0.6])]])],
         "tensor_id string, county_id string, crop_type string, year int,"
         " tensor array<array<struct<height int, width int, data array<double>>>>",
     )
