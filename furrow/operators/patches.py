@@ -4,20 +4,22 @@ A *mask table* has one row per scene with at least one true pixel: ``scene_id``,
 and ``cells``, the sorted positions of the true pixels. Scenes without a true pixel have no row.
 
 True pixels are first merged to horizontal runs and contacts between runs of neighbouring lines, all
-inside the scene's row (:func:`patch_graphs`). What is left is a small graph over all scenes, on which
-alternating large-star / small-star steps (Kiveris et al., 2014) run until every patch is a star.
+inside the scene's row. Patches are then put together from the contacts, a batch of scenes at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furrow.functions.numeric import flag
 from furrow.operators.rasters import settled
-from furrow.session import cut_lineage
-
-STEPS_PER_ROUND = 3
 
 
 def mask_of_pixels(pixels: DataFrame, condition: Column) -> DataFrame:
@@ -107,11 +109,53 @@ def _boundary() -> Column:
     return F.size(F.filter("cells", on_edge))
 
 
+PATCHES = "array<struct<patch:int,area:long>>"
+
+
+def joined_runs(size: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The first run of every run's patch, from pairs of touching runs.
+
+    All patches of all scenes grow at once: labels of touching runs are merged to the smaller one and followed to
+    their root until nothing changes.
+    """
+    label = np.arange(size)
+    while True:
+        a, b = label[left], label[right]
+        if (a == b).all():
+            return label
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _labelled(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Replace the runs and contacts of a batch of scenes by their patches, in the order of first positions."""
+    names = batch.schema.names
+    runs, contacts = batch.column(names.index("runs")), batch.column(names.index("contacts"))
+    run_scene = np.repeat(np.arange(len(runs)), pc.list_value_length(runs).to_numpy(zero_copy_only=False))
+    pair_scene = np.repeat(np.arange(len(contacts)), pc.list_value_length(contacts).to_numpy(zero_copy_only=False))
+    first, last = (f.to_numpy(zero_copy_only=False).astype(np.int64) for f in runs.flatten().flatten())
+    a, b = (f.to_numpy(zero_copy_only=False).astype(np.int64) for f in contacts.flatten().flatten())
+    key = (run_scene << 32) | first
+    place = lambda cell: np.searchsorted(key, (pair_scene << 32) | cell)
+    label = joined_runs(len(key), place(a), place(b))
+    area = np.bincount(label, last - first + 1, len(key)).astype(np.int64)
+    roots = np.flatnonzero(label == np.arange(len(key)))
+    offsets = np.searchsorted(run_scene[roots], np.arange(len(runs) + 1)).astype(np.int32)
+    fields = [pa.array(first[roots], pa.int32()), pa.array(area[roots], pa.int64())]
+    patches = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, ["patch", "area"]))
+    kept = [i for i, n in enumerate(names) if n not in ("runs", "contacts")]
+    return pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], patches], [*[names[i] for i in kept], "patches"])
+
+
 def patch_graphs(masks: DataFrame) -> DataFrame:
-    """One compact row per mask: ``runs``, ``contacts`` and the mask's, boundary's and scene's pixels.
+    """One compact row per mask: ``patches`` (first position and area of each) and the mask's, boundary's and
+    scene's pixels.
 
-    Computed once, within the rows, into the checkpoint folder; everything below reads it from there
-    instead of going back to the pixels.
+    All is decided within the scene's row: array functions find runs and contacts, and patches are put together
+    for a batch of scenes at a time. Nothing is shuffled, and no scene waits for another.
     """
     graphs = settled(
         _with_runs(masks),
@@ -119,95 +163,28 @@ def patch_graphs(masks: DataFrame) -> DataFrame:
         mask_pixels=F.size("cells").cast("long"),
         boundary_pixels=_boundary().cast("long"),
         scene_pixels=F.col("height").cast("long") * F.col("width"),
-    )
-    return cut_lineage(
-        graphs.select(
-            "scene_id", "runs", "contacts", "mask_pixels", "boundary_pixels", "scene_pixels"
-        )
-    )
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = F.explode(
-        F.array(
-            F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
-            F.struct(F.col("b").alias("u"), F.col("a").alias("v")),
-        )
-    )
-    sides = edges.select("scene_id", both.alias("e")).select("scene_id", "e.u", "e.v")
-    lowest = F.least(F.col("u"), F.min("v").over(Window.partitionBy("scene_id", "u")))
-    return (
-        sides.withColumn("m", lowest)
-        .filter(F.col("v") > F.col("u"))
-        .select("scene_id", F.col("v").alias("a"), F.col("m").alias("b"))
-        .distinct()
-    )
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    lowest = F.min("b").over(Window.partitionBy("scene_id", "a"))
-    moved = F.explode(F.array(F.col("a"), F.col("b")))
-    return (
-        edges.withColumn("m", lowest)
-        .select("scene_id", moved.alias("a"), F.col("m").alias("b"))
-        .filter(F.col("a") != F.col("b"))
-        .distinct()
-    )
-
-
-def _all_stars(edges: DataFrame) -> bool:
-    """Whether every node has one lower neighbour and that neighbour has none."""
-    roles = F.explode(
-        F.array(
-            F.struct(F.col("a").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("root")),
-            F.struct(F.col("b").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("root")),
-        )
-    )
-    return (
-        edges.select("scene_id", roles.alias("n"))
-        .groupBy("scene_id", "n.node")
-        .agg(F.sum("n.leaf").alias("leaf"), F.max("n.root").alias("root"))
-        .filter((F.col("leaf") > 1) | ((F.col("leaf") > 0) & (F.col("root") > 0)))
-        .isEmpty()
-    )
-
-
-def star_roots(edges: DataFrame) -> DataFrame:
-    """Component of every node that has an edge: ``scene_id``, node ``a``, smallest node ``b``.
-
-    ``edges`` has ``a > b``. A round shuffles once, by scene; its steps only sort within the
-    partitions, since every key starts with the scene. Rounds end in the checkpoint folder.
-    """
-    while True:
-        edges = edges.repartition("scene_id")
-        for _ in range(STEPS_PER_ROUND):
-            edges = _small_star(_large_star(edges))
-        edges = cut_lineage(edges)
-        if _all_stars(edges):
-            return edges
+    ).select("scene_id", "mask_pixels", "boundary_pixels", "scene_pixels", "runs", "contacts")
+    schema = T.StructType([*graphs.schema.fields[:4], T.StructField("patches", T.DataType.fromDDL(PATCHES))])
+    return graphs.mapInArrow(lambda batches: map(_labelled, batches), schema)
 
 
 def patch_sizes(graphs: DataFrame) -> DataFrame:
     """Pixels of every patch: ``scene_id``, ``patch`` (its first position) and ``area``."""
-    edges = graphs.select("scene_id", F.inline("contacts").alias("a", "b"))
-    roots = star_roots(edges).select(
-        F.col("scene_id").alias("_scene"), F.col("a").alias("_run"), F.col("b").alias("_root")
-    )
-    runs = graphs.select("scene_id", F.inline("runs").alias("first", "last"))
-    joined = runs.join(
-        roots, (F.col("scene_id") == F.col("_scene")) & (F.col("first") == F.col("_run")), "left"
-    )
-    return joined.groupBy("scene_id", F.coalesce("_root", "first").alias("patch")).agg(
-        F.sum(F.col("last") - F.col("first") + 1).alias("area")
-    )
-
-
-def patch_stats(graphs: DataFrame) -> DataFrame:
-    """Number, mean, population deviation and maximum of a scene's patch areas."""
-    area = F.col("area").cast("double")
-    return patch_sizes(graphs).groupBy("scene_id").agg(
-        F.count(F.lit(1)).alias("patches"),
-        F.avg(area).alias("mean_area"),
-        F.stddev_pop(area).alias("std_area"),
-        F.max(area).alias("max_area"),
+    return graphs.select("scene_id", F.inline("patches"))
+
+
+def patch_stats(graphs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Number, mean, population deviation and maximum of a scene's patch areas, from its row alone."""
+    areas = F.transform("patches", lambda p: p["area"].cast("double"))
+    rows = settled(graphs.select("scene_id", *keep, "patches"), _areas=areas)
+    total = lambda value: F.aggregate(F.transform("_areas", value), F.lit(0.0), lambda a, v: a + v)
+    n = F.size("_areas")
+    means = settled(rows, mean_area=total(lambda v: v) / n)
+    return means.select(
+        "scene_id",
+        *keep,
+        n.cast("long").alias("patches"),
+        "mean_area",
+        F.sqrt(total(lambda v: F.pow(v - F.col("mean_area"), 2)) / n).alias("std_area"),
+        F.array_max("_areas").alias("max_area"),
     )

@@ -178,9 +178,8 @@ def index_features(
     """All features of vegetation-index scenes, one row per scene."""
     stats = index_statistics(scenes, limits, on_empty)
     graphs = patch_graphs(mask_above(scenes, limits.healthy))
-    patches = patch_stats(graphs).select("scene_id", "patches", "max_area")
-    size = graphs.select("scene_id", "scene_pixels")
-    joined = _with_scene(_with_scene(stats, patches), size)
+    patches = patch_stats(graphs, ["scene_pixels"]).select("scene_id", "patches", "max_area", "scene_pixels")
+    joined = _with_scene(stats, patches)
     largest = F.coalesce(F.col("max_area") / F.col("scene_pixels"), F.lit(0.0))
     return joined.withColumns(
         {
@@ -248,8 +247,8 @@ def colour_features(
 ) -> DataFrame:
     """All features of RGB scenes, one row per scene."""
     graphs = patch_graphs(green_masks(scenes, limits))
-    edges = graphs.select("scene_id", "mask_pixels", "boundary_pixels")
-    joined = _with_scene(_with_scene(colour_statistics(scenes, limits), patch_stats(graphs)), edges)
+    patches = patch_stats(graphs, ["mask_pixels", "boundary_pixels"])
+    joined = _with_scene(colour_statistics(scenes, limits), patches)
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
     area, edge = zero("mask_pixels").cast("double"), zero("boundary_pixels").cast("double")
     mean, spread = zero("mean_area"), zero("std_area")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +21,14 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     """
     broken = F.concat(F.lit("not a readable image: "), F.col("image.origin"))
     known = F.when(F.col("image.height") > 0, F.col("image.origin")).otherwise(F.raise_error(broken))
-    return spark.read.format("image").load(path).select(
+    images = spark.read.format("image").load(path).select(
         known.alias("scene_id"),
         F.col("image.height").alias("height"),
         F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("channels"),
-        _bytes(F.col("image.data")).alias("levels"),
+        F.col("image.data").alias("levels"),
     )
+    return images.mapInArrow(_unsigned, "scene_id string, height int, width int, channels int, levels array<short>")
 
 
 def unreadable_images(spark: SparkSession, path: str) -> DataFrame:
@@ -32,11 +37,11 @@ def unreadable_images(spark: SparkSession, path: str) -> DataFrame:
     return images.filter(F.coalesce(F.col("image.height"), F.lit(-1)) <= 0).select(F.col("image.origin").alias("file"))
 
 
-def _bytes(data: Column) -> Column:
-    """Unsigned bytes of a binary: in Latin-1 every byte is the character of its value."""
-    letters = F.split(F.decode(data, "ISO-8859-1"), "")
-    unsigned = F.transform(letters, lambda c: F.when(c == "\x00", 0).otherwise(F.ascii(c)).cast("short"))
-    return F.slice(unsigned, F.lit(1), F.length(data))
+def _unsigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turn the last column, binaries, into lists of their bytes."""
+    for batch in batches:
+        data = [np.frombuffer(v.as_buffer(), np.uint8).astype(np.int16) if v.is_valid else None for v in batch.columns[-1]]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(data, pa.list_(pa.int16()))], batch.schema.names)
 
 
 def _cell(p: Column, band: int) -> Column:
