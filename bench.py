@@ -17,7 +17,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession
 
+from furrow.operators.rasters import index_scenes
+from furrow.operators.scenes import index_features
 from parity.queries import QUERIES
+from parity.surrogates import tile_scene_table
 
 HEADLINE = [
     "weather_monthly", "dry_streak", "weather_anomaly", "weather_lags", "day_measures",
@@ -27,6 +30,14 @@ HEADLINE = [
 ]
 
 
+def tile_features(spark: SparkSession, sf_dir: str):
+    """All features of vegetation tiles of 128x128 pixels, 256 embeddings each."""
+    return index_features(index_scenes(tile_scene_table(spark, sf_dir)))
+
+
+MORE = {"tile_features": tile_features}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
@@ -43,11 +54,11 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
-    for name in HEADLINE:
+    for name, query in [*((n, QUERIES[n]) for n in HEADLINE), *MORE.items()]:
         taken = []
         for _ in range(runs + 1):
             start = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            query(spark, sf_dir).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - start)
         times[name] = round(statistics.median(taken[1:]), 3)
         print(name, times[name], file=sys.stderr, flush=True)

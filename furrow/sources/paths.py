@@ -18,7 +18,7 @@ from furrow.functions.codes import (
     crop_aliases,
     crop_named,
     plain_key,
-    state_coded,
+    states_of,
 )
 from furrow.functions.text import key_text
 
@@ -85,7 +85,7 @@ def modality_patterns(
     """Directory patterns of a modality, one per year and state; none without county codes."""
     if modality not in MODALITIES:
         raise ValueError(f"unknown modality: {modality!r}")
-    states = sorted({state_coded(code[:2]) for code in fips_codes})
+    states = states_of(fips_codes)
     template = WEATHER_DIRECTORY if modality == "weather" else SCENE_DIRECTORY
     return [
         template.format(folder=modality.upper(), year=year, state=state, suffix=suffix)
@@ -96,5 +96,5 @@ def modality_patterns(
 
 def pruned(table: DataFrame, years: Sequence[int], fips_codes: Sequence[str]) -> DataFrame:
     """The same selection on a table partitioned by ``year`` and ``state_abbr``."""
-    states = sorted({state_coded(code[:2]) for code in fips_codes})
+    states = states_of(fips_codes)
     return table.filter(F.col("year").isin(list(years)) & F.col("state_abbr").isin(states))

@@ -115,6 +115,20 @@ def index_scene_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tile_scene_table(spark: SparkSession, sf_dir: str, vectors: int = 256, width: int = 128) -> DataFrame:
+    """embeddings as tiles: the values of 256 neighbours fill 128 rows of 128 pixels; the last tile may be lower."""
+    tile = F.floor(F.col("vec_id") / vectors)
+    part = F.struct("vec_id", F.transform("embedding", lambda x: x.cast("double") * 4.0).alias("v"))
+    rows = table(spark, sf_dir, "embeddings").groupBy(tile.alias("tile")).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    data = F.flatten(F.transform("parts", lambda p: p["v"]))
+    height = F.floor(F.size(data) / width).cast("int")
+    return rows.select(
+        F.col("tile").cast("string").alias("scene_id"), F.lit("00001").alias("county_id"), F.lit(None).cast("string").alias("crop_type"),
+        F.lit(2020).alias("year"), F.lit(1).alias("month"), height.alias("height"), F.lit(width).alias("width"),
+        F.slice(data, F.lit(1), height * width).alias("data"),
+    )
+
+
 def rgb_scene_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as 8x8 RGB scenes: three different roundings of each value."""
     level = lambda x, k: (F.floor(F.abs(x.cast("double")) * k).cast("int") % 256).cast("int")

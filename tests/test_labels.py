@@ -11,7 +11,7 @@ from furrow.functions.codes import (
     label_unit,
     split_of_year,
     state_abbr,
-    state_coded,
+    states_of,
 )
 from furrow.functions.dates import month_of_date_key
 from furrow.functions.text import key_text, numeric_code, strip, zero_pad
@@ -186,9 +186,9 @@ def test_code_tables(spark):
     assert values(spark, split_of_year, [2017, 2020, 2021, 2022, 2016], "int") == [
         "train", "train", "validation", "test", None,
     ]
-    assert state_coded("22") == "LA" and crop_named("Winter_Wheat") == "winter wheat"
+    assert states_of(["22007", "1003", "01005"]) == ["AL", "LA"] and crop_named("Winter_Wheat") == "winter wheat"
     assert fips_list(["1003", " 22007", "", "1003"]) == ["01003", "22007"]
-    for wrong in (lambda: state_coded("03"), lambda: crop_named("rye")):
+    for wrong in (lambda: states_of(["03001"]), lambda: crop_named("rye")):
         with pytest.raises(ValueError):
             wrong()
     with pytest.raises(Exception, match="unknown crop"):
