@@ -118,7 +118,7 @@ def index_scene_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tile_scene_table(spark: SparkSession, sf_dir: str, vectors: int = 256, width: int = 128) -> DataFrame:
     """embeddings as tiles: the values of 256 neighbours fill 128 rows of 128 pixels; the last tile may be lower."""
     tile = F.floor(F.col("vec_id") / vectors)
-    part = F.struct("vec_id", F.transform("embedding", lambda x: x.cast("double") * 4.0).alias("v"))
+    part = F.struct("vec_id", F.transform("embedding", lambda x: x.cast("double") * 1.5).alias("v"))
     rows = table(spark, sf_dir, "embeddings").groupBy(tile.alias("tile")).agg(F.sort_array(F.collect_list(part)).alias("parts"))
     data = F.flatten(F.transform("parts", lambda p: p["v"]))
     height = F.floor(F.size(data) / width).cast("int")
