@@ -24,10 +24,10 @@ from .suffix_sort import repeated
 
 LENGTH = 100
 GRAM = 32
-BUFFER = 1 << 20
+BUFFER = 1 << 19
 PIECE_STRINGS = 1 << 11
 COMBINE_PIECES = 1 << 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 NO_ID = (1 << 63) - 1
 
 
