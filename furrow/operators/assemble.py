@@ -102,14 +102,14 @@ def month_map(
 ) -> DataFrame:
     """One map per season: ``{prefix}_m{MM}_{column}`` -> value, plus the month and row counts.
 
-    A month without rows has no keys; a missing value is a key with NULL. Of several rows of a month
+    A month without rows has no keys; a missing value is a key with NULL. Rows without a month are left out. Of several rows of a month
     the last in ``order_by`` order counts. Rows are folded to one per month first, with map-side
     combine, so that the map is put together from a dozen rows.
     """
     columns = _feature_columns(monthly)
     values = F.struct(*[_number(c).alias(c) for c in columns])
     rank = F.struct(*order_by) if order_by else values
-    months = monthly.groupBy(*keys, "month").agg(
+    months = monthly.filter(F.col("month").isNotNull()).groupBy(*keys, "month").agg(
         F.max_by(values, rank).alias("last"), F.count(F.lit(1)).alias("rows")
     )
     name = lambda c: F.concat(F.lit(f"{prefix}_m"), F.lpad(F.col("month").cast("string"), 2, "0"), F.lit(f"_{c}"))

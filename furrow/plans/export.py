@@ -47,6 +47,8 @@ def season_features(raw: DataFrame, modality: str, **options) -> DataFrame:
     Features describe the county, whatever crop a raw row names, so there is one summary per county and year.
     """
     raw = raw.withColumn("crop_type", F.lit(None).cast("string"))
+    if "month" in raw.columns:
+        raw = raw.filter(F.col("month").isNotNull())
     if modality == "weather":
         monthly, summary = weather_season_of(raw, **options)
     else:
@@ -84,6 +86,10 @@ def record_table(anchor_rows: DataFrame, raw: DataFrame, modality: str, **option
 def write_rejects(labels: DataFrame, raw: Mapping[str, DataFrame], path: str) -> dict[str, int]:
     """Write what the export leaves out, as JSON lines, and return the number of rows by kind and reason."""
     parts = [labels.select(F.lit("label").alias("kind"), F.concat_ws(" ", "source_path", "county_id").alias("source"), "reason")]
+    for modality, df in raw.items():
+        if {"scene_id", "month"} <= set(df.columns):
+            dateless = df.filter(F.col("month").isNull())
+            parts.append(dateless.select(F.lit(modality).alias("kind"), F.col("scene_id").alias("source"), F.lit("no month").alias("reason")))
     if "ndvi" in raw:
         empty = scenes_without_valid_pixels(raw["ndvi"])
         parts.append(empty.select(F.lit("ndvi").alias("kind"), F.col("scene_id").alias("source"), F.lit("no valid pixel").alias("reason")))
@@ -116,7 +122,7 @@ def run_export(
 
     Label files are found below ``root``. Raw tables with ``year`` and ``state_abbr`` columns are read for the wanted
     years and states only. Writes ``<output>/<modality>/split=<split>``, ``<output>/rejects`` (labels that are
-    no number and index scenes without a valid pixel, with reasons) and ``<output>/manifest``, which counts both,
+    no number, scenes without a month, index scenes without a valid pixel, with reasons) and ``<output>/manifest``, which counts both,
     and returns the rows written per modality and split.
     """
     tuned(spark)

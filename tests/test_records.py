@@ -257,7 +257,7 @@ def containers(spark):
         [("28151", "2017-02-01", i, 2, 2, 3, [v] * 12) for i, v in enumerate((40, 120))], shape + "data array<int>"
     )
     ndvi = spark.createDataFrame(
-        [("28151", "2017-02-01", i, 2, 2, 1, [v] * 4) for i, v in enumerate((0.1, 0.5))], shape + "data array<float>"
+        [("28151", d, i, 2, 2, 1, [v] * 4) for i, (d, v) in enumerate((("2017-02-01", 0.1), ("2017-02-01", 0.5)))], shape + "data array<float>"
     )
     return ag, ndvi
 
@@ -273,8 +273,9 @@ def test_three_modalities_export(spark, tmp_path):
     (tmp_path / "w.csv").write_text(WEATHER)
     weather = read_county_weather(spark, [str(tmp_path / "w.csv")])
     ag, ndvi = containers(spark)
+    odd = ndvi.limit(1).withColumns({"date": F.lit("2017 spring"), "grid_index": F.lit(7)})
     raw = {
-        "ag": container_scenes(ag, "ag"), "ndvi": container_scenes(ndvi, "ndvi"), "weather": weather,
+        "ag": container_scenes(ag, "ag"), "ndvi": container_scenes(ndvi.unionByName(odd), "ndvi"), "weather": weather,
     }
     counts = run_export(
         spark, str(tmp_path), str(tmp_path / "out"), raw, years=[2017], crops=["corn", "soybeans"],
@@ -297,9 +298,9 @@ def test_three_modalities_export(spark, tmp_path):
     assert rain["weather_m02_weather_rainfall_lag_1"] == 7.5
     manifest = lines(tmp_path / "out" / "manifest")[0]
     assert manifest["selected_fips"] == ["28151"]
-    assert manifest["rejected"] == {"label: not numeric": 1}
+    assert manifest["rejected"] == {"label: not numeric": 1, "ndvi: no month": 1}
     rejects = lines(tmp_path / "out" / "rejects")
-    assert [r["source"] for r in rejects] == ["USDA Crop Dataset/Corn/2017/USDA_Corn_County_2017.csv 28151"]
+    assert [r["source"] for r in rejects if r["kind"] == "label"] == ["USDA Crop Dataset/Corn/2017/USDA_Corn_County_2017.csv 28151"]
     assert manifest["modality_stats"]["ag"] == {"split_counts": {"test": 0, "train": 2, "validation": 0}, "rows_written": 2}
 
 
