@@ -9,19 +9,19 @@ their order and the number of ids before each.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bpe import SPACES, character_class, class_top
+from .bpe import byte_letters
 from .common import attempt_file, opened, shared_folder
 from .token_coder import Frequencies, checksum, decode_blocks, encode_blocks
 
@@ -29,27 +29,160 @@ MAGIC = b"TOKENS1\n"
 BLOCK_IDS = 4096
 LANES = 2048
 FILE_IDS = 1 << 24
-KEPT_PIECES = 600_000
+TABLE_BITS = 22
+KEPT_PIECES = 2_000_000
 END_ID = 0
 
 
 # ------------------------------------------------------------------------------------------------
 # Tokenizing
 # ------------------------------------------------------------------------------------------------
+OTHER, LETTER, NUMBER, SPACE, UNKNOWN = range(5)
+# Contractions that are pieces of their own: an apostrophe and these letters.
+SHORT_ENDINGS = [(c,) for c in "stmd"] + [tuple(e) for e in ("re", "ve", "ll")]
+
+
+@cache
+def character_kinds() -> np.ndarray:
+    """Kind of every code point; unknown are those this Python's tables do not assign."""
+    kinds = np.fromiter((KIND_OF.get(unicodedata.category(chr(c)), OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    kinds[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
+    return kinds
+
+
+KIND_OF = {
+    **{c: LETTER for c in ("Lu", "Ll", "Lt", "Lm", "Lo")},
+    **{c: NUMBER for c in ("Nd", "Nl", "No")},
+    "Cn": UNKNOWN,
+}
+
+
+def piece_starts(codes: np.ndarray, kinds: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+    """Where the pieces begin into which a byte-level tokenizer splits texts; ``text_starts`` of non-empty texts.
+
+    A run of letters, numbers or signs is a piece, with a space right before it. Of other white space before such a
+    run the last character is a piece and the rest one; at a text's end all is one. An apostrophe without a
+    space before it makes a piece with the ending of a contraction that follows.
+    """
+    n = len(codes)
+    begins = np.zeros(n, bool)
+    begins[text_starts] = True
+    run = np.ones(n, bool)
+    run[1:] = kinds[1:] != kinds[:-1]
+    run |= begins
+    space = kinds == SPACE
+    starts = run.copy()
+    # Characters after white space of the same text.
+    after = np.flatnonzero(run & ~space & ~begins)
+    after = after[space[after - 1]]
+    starts[after - 1] = True
+    starts[after[codes[after - 1] == 0x20]] = False
+    quote = np.flatnonzero(starts & (codes == 0x27))
+    for ending in SHORT_ENDINGS:
+        size = len(ending)
+        at = quote[quote + size < n]
+        # The apostrophe is a run of its own, and the letters are in one run with it before them, in the same text.
+        fits = (kinds[at + 1] == LETTER) & ~begins[at + 1]
+        for k, letter in enumerate(ending, 1):
+            fits &= codes[at + k] == ord(letter)
+        if size == 2:
+            fits &= ~begins[at + 2]
+        at = at[fits]
+        starts[at + 1] = False
+        rest = at + 1 + size
+        rest = rest[rest < n]
+        # What follows the ending begins a piece, unless it is white space or a sign that did so anyway.
+        starts[rest[kinds[rest] == LETTER]] = True
+    return np.flatnonzero(starts)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 @cache
-def piece_pattern(top: int) -> re.Pattern:
-    """How a byte-level tokenizer splits text, for texts whose characters are at most ``top``."""
-    letters, numbers = character_class("L", top), character_class("N", top)
-    space = f"[{SPACES}]"
-    words = f" ?[{letters}]+| ?[{numbers}]+| ?[^{SPACES}{letters}{numbers}]+"
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|{words}|{space}+(?![^{SPACES}])|{space}+")
+def _hash_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for every code point, and powers of a base and of its inverse modulo 2^64."""
+    values = _mixed(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    powers = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        steps = np.full(BATCH_CHARS + 1, base, np.uint64)
+        steps[0] = 1
+        powers.append(np.cumprod(steps, dtype=np.uint64))
+    return values, *powers
+
+
+BASE = 0x9E3779B97F4A7C15
+BATCH_CHARS = 1 << 20
+
+
+class PieceTable:
+    """Ids of known pieces by a 64-bit hash of their characters, in open addressing."""
+
+    def __init__(self, bits: int = TABLE_BITS):
+        self.mask = np.int64((1 << bits) - 1)
+        self.hashes = np.zeros(1 << bits, np.uint64)
+        self.numbers = np.zeros(1 << bits, np.int32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes[:] = 0
+        self.size, self.filled = 0, 0
+        self.begin, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.ids = np.zeros(1 << 14, np.uint16)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each piece, -1 for unknown ones."""
+        out = np.full(len(hashes), -1, np.int64)
+        open_at, slot = np.arange(len(hashes)), hashes.view(np.int64) & self.mask
+        wanted = hashes
+        while len(open_at):
+            there = self.hashes.take(slot)
+            hit = there == wanted
+            out[open_at[hit]] = self.numbers.take(slot[hit])
+            on = ~hit & (there != 0)
+            open_at, slot, wanted = open_at[on], (slot[on] + 1) & self.mask, wanted[on]
+        return out
+
+    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        """Enter new pieces; hashes are distinct and unknown."""
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids))
+        ends = self.filled + np.cumsum(lengths, dtype=np.int64)
+        numbers = self.size + np.arange(len(ids))
+        while self.size + len(ids) > len(self.begin):
+            self.begin, self.length = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.length, 2 * len(self.length))
+        while len(ids) and ends[-1] > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.begin[numbers], self.length[numbers] = ends - lengths, lengths
+        if len(ids):
+            self.ids[self.filled : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.uint16, int(lengths.sum()))
+            self.filled = int(ends[-1])
+        self.size += len(ids)
+        slot = hashes.view(np.int64) & self.mask
+        while len(hashes):
+            free = self.hashes.take(slot) == 0
+            self.hashes[slot[free]] = hashes[free]
+            mine = self.hashes.take(slot) == hashes
+            self.numbers[slot[mine]] = numbers[mine]
+            hashes, numbers, slot = hashes[~mine], numbers[~mine], (slot[~mine] + 1) & self.mask
+
+    def gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after the other, and where each ends."""
+        lengths = self.length.take(numbers).astype(np.int64)
+        ends = np.cumsum(lengths)
+        places = np.repeat(self.begin.take(numbers) - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.ids.take(places), ends
 
 
 class PieceTokenizer:
     """A tokenizer file of the tokenizers library; each distinct piece of text is encoded by it once.
 
-    Pieces are what its pre-tokenizer splits texts into, and are encoded independently of each other. Texts
-    with a special token's string, or with characters newer than this Python knows, are encoded whole.
+    Pieces are what its pre-tokenizer splits texts into, and are encoded independently of each other. They are known
+    by a 64-bit hash; a table of a million pieces holds two of one hash with a chance under 1 in 10^7. Texts with a
+    special token's string, with characters newer than this Python knows, or of over a million characters are
+    encoded whole.
     """
 
     def __init__(self, path: str):
@@ -57,32 +190,73 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        self.known: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
-        for encoding in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = encoding.ids
-            yield struct.pack(f"<{len(ids)}H", *ids)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 16-bit numbers."""
-        whole = [i for i, t in enumerate(texts) if (self.special and self.special.search(t)) or _unknown_letters(t)]
-        skipped = set(whole)
-        split = [[] if i in skipped else piece_pattern(class_top(t)).findall(t) for i, t in enumerate(texts)]
-        if len(self.known) > KEPT_PIECES:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        self.known.update(zip(new, self._encoded(new)))
-        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
-        for i, ids in zip(whole, self._encoded([texts[i] for i in whole])):
-            out[i] = ids
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        self.letters = {b: letter for b, letter in enumerate(byte_letters())}
+        self.table = PieceTable()
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merged(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of single pieces, by the tokenizer's model alone: their bytes as the letters that stand for them."""
+        written = [p.encode("utf-8", "replace").decode("latin-1").translate(self.letters) for p in pieces]
+        return [[token.id for token in self.model.tokenize(w)] for w in written]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        out: list[np.ndarray] = [np.array([], np.uint16)] * len(texts)
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if len(text) > BATCH_CHARS or any(s in text for s in self.specials):
+                out[i] = np.array(self._encoded([text])[0], np.uint16)
+                continue
+            if size + len(text) > BATCH_CHARS:
+                self._encode_some(texts, held, out)
+                held, size = [], 0
+            held.append(i)
+            size += len(text)
+        if held:
+            self._encode_some(texts, held, out)
         return out
 
-
-def _unknown_letters(text: str) -> bool:
-    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text) if ord(c) > 0x2FF)
+    def _encode_some(self, texts: list[str], which: list[int], out: list[np.ndarray]) -> None:
+        joined = "".join([texts[i] for i in which])
+        codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
+        sizes = np.array([len(texts[i]) for i in which])
+        begins = np.cumsum(sizes) - sizes
+        kinds = character_kinds().take(codes)
+        if (kinds == UNKNOWN).any():
+            odd = np.unique(np.searchsorted(begins, np.flatnonzero(kinds == UNKNOWN), side="right") - 1)
+            for i in [which[k] for k in odd]:
+                out[i] = np.array(self._encoded([texts[i]])[0], np.uint16)
+            left = sorted(set(range(len(which))) - set(odd.tolist()))
+            if left:
+                self._encode_some(texts, [which[k] for k in left], out)
+            return
+        starts = piece_starts(codes, kinds, begins)
+        ends = np.append(starts[1:], len(codes))
+        values, up, down = _hash_tables()
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values.take(codes) * down[: len(codes)], dtype=np.uint64)])
+        hashes = np.maximum(_mixed((sums[ends] - sums[starts]) * up[starts]), np.uint64(1))
+        numbers = self.table.find(hashes)
+        if (numbers < 0).any():
+            if self.table.size + len(hashes) > KEPT_PIECES:
+                self.table.clear()
+                numbers[:] = -1
+            missing = np.flatnonzero(numbers < 0)
+            new, first = np.unique(hashes[missing], return_index=True)
+            first = missing[first]
+            self.table.add(new, self._merged([joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]))
+            numbers[missing] = self.table.find(hashes[missing])
+        ids, id_ends = self.table.gathered(numbers)
+        # Texts begin with a piece of their own.
+        piece = np.append(np.searchsorted(starts, begins), len(starts))
+        bounds = np.concatenate([[0], id_ends])[piece]
+        for k, i in enumerate(which):
+            out[i] = ids[bounds[k] : bounds[k + 1]]
 
 
 @cache
@@ -159,7 +333,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str) -> list[tuple[str
         store.create_dir(base, recursive=True)
         encoder, part, seq = tokenizer_at(tokenizer), TaskContext.get().partitionId(), 0
         doc_ids, documents, held = [], [], 0
-        end = END_ID.to_bytes(2, "little")
+        end = np.array([END_ID], np.uint16)
 
         def flush() -> pa.RecordBatch:
             nonlocal doc_ids, documents, held, seq
@@ -180,7 +354,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str) -> list[tuple[str
                     continue
                 doc_ids += batch.column(0).slice(first, len(texts)).to_pylist()
                 for ids in encoder.encode(texts):
-                    documents.append(np.frombuffer(ids + end, "<u2"))
+                    documents.append(np.concatenate([ids, end]))
                     held += len(documents[-1])
                 texts, size, first = [], 0, i + 1
                 if held >= FILE_IDS:

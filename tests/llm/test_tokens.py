@@ -53,10 +53,27 @@ def test_stored_edge_cases(spark):
     assert token_store.stored_tokens(spark.createDataFrame([], "doc_id long, text string"), BYTES).count() == 0
 
 
-def test_small_files(spark, monkeypatch, documents):
+def test_pieces_of_odd_texts(monkeypatch):
+    tokenizer, rng = Tokenizer.from_file(BYTES), random.Random(6)
+    pool = ["'", "s", "t", "re", "ve", "ll", "d", "m", " ", "  ", "\n", "\t", "a", "7", "²", "!", "é", "\u00a0", "'S", "\u3000", "x1"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 14))) for _ in range(6000)]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in token_store.PieceTokenizer(BYTES).encode(texts)] == want
+    # A table that is too small for all pieces starts anew, batches are short, and hashes meet in its slots.
+    monkeypatch.setattr(token_store, "KEPT_PIECES", 300)
+    monkeypatch.setattr(token_store, "BATCH_CHARS", 512)
+    token_store._hash_tables.cache_clear()
+    small = token_store.PieceTokenizer(BYTES)
+    small.table = token_store.PieceTable(10)
+    assert [ids.tolist() for ids in small.encode(texts)] == want
+    token_store._hash_tables.cache_clear()
+
+
+def test_files_of_few_ids(spark, monkeypatch, documents):
+    rows = sorted(documents)[:40]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     monkeypatch.setattr(token_store, "FILE_IDS", 500)
-    sizes = [len(ids) for ids in token_store.PieceTokenizer(BYTES).encode([t for _, t in documents])]
-    assert len(sizes) == len(documents)
+    assert sorted(map(tuple, token_store.stored_tokens(frame, BYTES).collect())) == want_stored(rows)
 
 
 @pytest.mark.parametrize("kind", ["random", "skewed", "constant", "all ids", "periodic"])
