@@ -29,7 +29,8 @@ LOW_WORD = np.uint64(0xFFFFFFFF)
 BITS32 = np.uint64(32)
 # First weights of a prediction by confidence, and the most and least a weight may be.
 FIRST_WEIGHTS = np.array([TOTAL * (c + 1) // (2 * c + 24) for c in range(MOST_SURE + 1)], np.int64)
-LEAST_WEIGHT, MOST_WEIGHT = TOTAL >> 9, TOTAL - (TOTAL >> 4)
+# What a weight tends to after wrong and after right predictions.
+LIMITS = np.array([TOTAL >> 9, TOTAL - (TOTAL >> 4)], np.int64)
 
 
 class Frequencies:
@@ -127,10 +128,8 @@ class LaneModel:
             (self.entries[0], self.at_one, self.found_one, self.right_one, self.weights[0], self.by_one, self.weight_one),
             (self.entries[1], self.at_two, self.found_two, self.right_two, self.weights[1], self.by_two, self.two),
         ):
-            sure = found & MOST_SURE
-            entries[at] = np.where(right, found + (sure < MOST_SURE), np.where(sure > 1, found - sure + (sure >> 1), fresh))
-            moved = weight + ((right * TOTAL - weight) >> RATE)
-            weights[by] = np.minimum(np.maximum(moved, LEAST_WEIGHT), MOST_WEIGHT)
+            entries[at] = np.where(right, found + ((found & MOST_SURE) < MOST_SURE), fresh)
+            weights[by] = weight + ((LIMITS.take(right.view(np.int8)) - weight) >> RATE)
         self.before, self.last = self.last, ids.astype(np.int64)
 
 
