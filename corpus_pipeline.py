@@ -37,6 +37,7 @@ def string_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them."""
+    ready(spark)
     return mixing.mixed_documents(docs)
 
 

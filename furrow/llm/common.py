@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import posixpath
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from furrow.session import tuned
+
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 10_000
 
@@ -23,16 +23,12 @@ HAS_WORD = f"[^{SPACES}]"
 def ready(spark: SparkSession) -> None:
     """Settings for tasks in Python: batches bounded by bytes, and workers that find this package.
 
-    Texts can be long, so what a task hands to Python at once is bounded. Workers started from now on import
-    the package from where the driver has it; on a cluster it is installed or sent with ``--py-files``, and the extra
-    path does no harm.
+    Texts can be long, so what a task hands to Python at once is bounded. Joins with a hot key are split even where
+    that takes another shuffle.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    known = environment.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+    tuned(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,6 +28,8 @@ BUFFER = 1 << 19
 PIECE_STRINGS = 1 << 11
 COMBINE_PIECES = 1 << 20
 SHARD_BYTES = 1 << 20
+HOT_PIECES = 1000
+PLACES_PER_PART = 9
 NO_ID = (1 << 63) - 1
 
 
@@ -56,19 +58,10 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def buffer_pieces(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
-    """Pieces of the documents in ``data`` that end at ``ends``: start, strings, gram (hash), content (hash), multi.
-
-    ``multi`` tells that the least k-gram occurs at several places of a piece, without which no string of
-    it can repeat within the piece. Fewer than ``BUFFER`` bytes at once.
-    """
-    n = len(data) - LENGTH + 1
-    none = {k: np.array([], np.int64) for k in ("start", "strings", "gram", "content", "multi")}
-    if n <= 0:
-        return none
-    up, down = _powers()
-    value = BYTE_HASH[data]
-    grams, size = value, 1
+def least_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every k-gram of ``data``, and for every string of ``LENGTH`` the place of its least one, the first of equals."""
+    up, _ = _powers()
+    grams, size = BYTE_HASH[data], 1
     while size < GRAM:
         grams = grams[:-size] * up[size] + grams[size:]
         size *= 2
@@ -82,10 +75,25 @@ def buffer_pieces(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     if width < span:
         rest = span - width
         least = np.minimum(least[:-rest], least[rest:])
+    return grams, (least & low).astype(np.int64)
+
+
+def buffer_pieces(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
+    """Pieces of the documents in ``data`` that end at ``ends``: start, strings, gram (hash), content (hash), multi.
+
+    ``multi`` tells that the least k-gram occurs at several places of a piece, without which no string of
+    it can repeat within the piece. Fewer than ``BUFFER`` bytes at once.
+    """
+    n = len(data) - LENGTH + 1
+    none = {k: np.array([], np.int64) for k in ("start", "strings", "gram", "content", "multi")}
+    if n <= 0:
+        return none
+    up, down = _powers()
+    value = BYTE_HASH[data]
+    grams, place = least_grams(data)
     at = np.arange(n)
     document = np.searchsorted(ends, at, side="right")
     whole = at + LENGTH <= ends[np.minimum(document, len(ends) - 1)]
-    place = (least & low).astype(np.int64)
     moved = np.r_[True, (place[1:] != place[:-1]) | (document[1:] != document[:-1]) | ~whole[:-1]]
     runs = np.flatnonzero(moved & whole)
     if not len(runs):
@@ -214,11 +222,30 @@ SPANS = "doc long, slot long, first long, stop long"
 SPAN_SCHEMA = pa.schema([("doc", pa.int64()), ("slot", pa.int64()), ("first", pa.int64()), ("stop", pa.int64())])
 
 
+def split_piece(content: bytes) -> list[tuple[int, int, int]]:
+    """A piece cut by where its strings have their least k-gram: part, first string, strings.
+
+    Equal strings have it at the same place, so they are in equal parts. Neighbouring places share a part.
+    """
+    _, place = least_grams(np.frombuffer(content, np.uint8))
+    part = (place - np.arange(len(place))) // PLACES_PER_PART
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    return list(zip((part[first] + 1).tolist(), first.tolist(), np.diff(np.r_[first, len(part)]).tolist()))
+
+
 def _piece_bytes(docs: DataFrame, suspects: DataFrame) -> DataFrame:
-    """Add the bytes of suspects. The pieces of one document are a list, as long as the document at most."""
-    listed = suspects.groupBy("doc", "slot").agg(F.collect_list(F.struct("gram", "start", "strings")).alias("pieces"))
+    """Bytes of suspects: gram, part, doc, slot, start, content.
+
+    Pieces of a k-gram that has very many are cut, which splits the k-gram's shard; others are part 0. The pieces of one
+    document are a list, as long as the document at most.
+    """
+    hot = suspects.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PIECES).select("gram", F.lit(True).alias("hot"))
+    marked = suspects.join(hot, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    listed = marked.groupBy("doc", "slot").agg(F.collect_list(F.struct("gram", "start", "strings", "hot")).alias("pieces"))
     joined = docs.select("doc", "slot", "text").join(listed, ["doc", "slot"])
-    schema = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("slot", pa.int64()), ("start", pa.int64()), ("content", pa.binary())])
+    schema = pa.schema(
+        [("gram", pa.int64()), ("part", pa.int32()), ("doc", pa.int64()), ("slot", pa.int64()), ("start", pa.int64()), ("content", pa.binary())]
+    )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,28 +253,29 @@ def _piece_bytes(docs: DataFrame, suspects: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 content = row["text"].encode("utf-8", "replace")
                 for p in row["pieces"]:
-                    part = content[p["start"] : p["start"] + p["strings"] + LENGTH - 1]
-                    rows.append((p["gram"], row["doc"], row["slot"], p["start"], part))
+                    piece = content[p["start"] : p["start"] + p["strings"] + LENGTH - 1]
+                    for part, first, strings in split_piece(piece) if p["hot"] else [(0, 0, p["strings"])]:
+                        cut_out = piece[first : first + strings + LENGTH - 1]
+                        rows.append((p["gram"], part, row["doc"], row["slot"], p["start"] + first, cut_out))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return joined.mapInArrow(task, "gram long, doc long, slot long, start long, content binary")
+    return joined.mapInArrow(task, "gram long, part int, doc long, slot long, start long, content binary")
 
 
 def sorted_spans(parts: DataFrame) -> DataFrame:
     """Spans of ``parts`` whose strings also start earlier, by the suffix order of each shard.
 
-    A shard is filled with whole k-grams; one k-gram's different pieces are never split, and the sorter moves its
-    queues to disk when they are many.
+    A shard is filled with whole parts of k-grams; the sorter moves its queues to disk when a part is large.
     """
 
     def spans(held: list[tuple]) -> pa.RecordBatch:
-        number, offset = repeated([h[4] for h in held], LENGTH)
-        begin = np.array([h[3] for h in held], np.int64)[number] + offset
+        number, offset = repeated([h[5] for h in held], LENGTH)
+        begin = np.array([h[4] for h in held], np.int64)[number] + offset
         new = np.r_[True, (number[1:] != number[:-1]) | (offset[1:] != offset[:-1] + 1)] if len(number) else np.array([], bool)
         first = np.flatnonzero(new)
         last = np.r_[first[1:], len(number)] - 1
-        key = np.array([h[1:3] for h in held], np.int64).reshape(-1, 2)[number[first]]
+        key = np.array([h[2:4] for h in held], np.int64).reshape(-1, 2)[number[first]]
         columns = [key[:, 0], key[:, 1], begin[first], begin[last] + LENGTH]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=SPAN_SCHEMA)
 
@@ -256,19 +284,19 @@ def sorted_spans(parts: DataFrame) -> DataFrame:
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
             for row in zip(*columns):
-                if size >= SHARD_BYTES and row[0] != held[-1][0]:
+                if size >= SHARD_BYTES and row[:2] != held[-1][:2]:
                     yield spans(held)
                     held, size = [], 0
                 # Equal rows of the table give equal pieces at one place: one of them counts.
-                if row[:4] != before:
+                if row[:5] != before:
                     held.append(row)
-                    size += len(row[4])
-                before = row[:4]
+                    size += len(row[5])
+                before = row[:5]
         if held:
             yield spans(held)
 
-    order = ["gram", "doc", "slot", "start"]
-    return parts.repartition("gram").sortWithinPartitions(*order).mapInArrow(task, SPANS)
+    order = ["gram", "part", "doc", "slot", "start"]
+    return parts.repartition("gram", "part").sortWithinPartitions(*order).mapInArrow(task, SPANS)
 
 
 # ------------------------------------------------------------------------------------------------

@@ -52,9 +52,10 @@ def planted(seed):
     return rows
 
 
-@pytest.mark.parametrize("buffer", [1 << 20, 1 << 10])
-def test_planted_repeats(spark, monkeypatch, buffer):
+@pytest.mark.parametrize("buffer, hot", [(1 << 19, 1000), (1 << 10, 1000), (1 << 19, 1), (1 << 19, 5)])
+def test_planted_repeats(spark, monkeypatch, buffer, hot):
     monkeypatch.setattr(suffix_dedup, "BUFFER", buffer)
+    monkeypatch.setattr(suffix_dedup, "HOT_PIECES", hot)
     suffix_dedup._POWERS.clear()
     rows = planted(buffer)
     shuffled = random.Random(1).sample(rows, len(rows))
