@@ -32,7 +32,7 @@ GREEN_TO_BROWN_CAP = 100.0
 
 @dataclass(frozen=True)
 class IndexThresholds:
-    """Vegetation-index limits."""
+    """Vegetation-index limits; the defaults are fixed values."""
 
     valid_min: float = -0.2
     valid_max: float = 1.0
@@ -213,7 +213,7 @@ def colour_statistics(
         F.count_if(green_mask(limits)).alias("green"),
         F.count_if(brown_mask(limits)).alias("brown"),
         F.count_if(soil_mask(limits)).alias("soil"),
-        F.count_if(murky_mask(limits)).alias("murky"),
+        F.count_if(murky_mask()).alias("murky"),
         F.sum("val").alias("val"),
         F.sum("sat").alias("sat"),
     )

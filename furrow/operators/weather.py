@@ -61,7 +61,7 @@ SERIES_SCOPE = ("county_id", "crop_type")
 
 @dataclass(frozen=True)
 class WeatherThresholds:
-    """Degrees Celsius and millimetres."""
+    """Degrees Celsius and millimetres; the defaults are fixed values."""
 
     base_temperature: float = 10.0
     heat: float = 35.0
