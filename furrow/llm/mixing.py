@@ -18,6 +18,7 @@ MOST_COPIES = 2
 STEPS = 60
 NEAR = 1e-6
 FIXES = 4
+PARTS = 64
 UNIT = 1 << 30
 
 
@@ -112,6 +113,16 @@ def tilts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("key", "scale", "tilt")
 
 
+def _with_source(docs: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:
+    """Join the one row of each document's source to it; ``part`` deals a source's documents out.
+
+    A source may hold a third of all documents, so its row is there once per part, and parts are joined.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+    dealt = docs.withColumn("part", F.pmod("row", F.lit(PARTS)).cast("int"))
+    return dealt.join(sources.select("*", every), ["key", "part"], how)
+
+
 def _closer(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """Change one document of every source by one copy where that brings its words nearer to the target."""
     taken = docs.groupBy("key").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"))
@@ -119,9 +130,10 @@ def _closer(docs: DataFrame, targets: DataFrame) -> DataFrame:
     up = F.when(F.col("short") > 0, 1).otherwise(-1)
     left = F.abs(F.abs(F.col("short")) - F.col("size"))
     free = F.when(F.col("short") > 0, F.col("copies") < MOST_COPIES).otherwise(F.col("copies") > 0)
-    better = docs.join(short, "key").where(free & (F.col("size") > 0) & (left < F.abs("short")))
+    better = _with_source(docs, short).where(free & (F.col("size") > 0) & (left < F.abs("short")))
     order = F.struct(left.alias("left"), F.col("mark"), F.col("doc_id"), F.col("row"), up.alias("up"))
-    chosen = better.groupBy("key").agg(F.min(order).alias("best")).select(F.col("best.row").alias("row"), F.col("best.up").alias("up"))
+    of_parts = better.groupBy("key", "part").agg(F.min(order).alias("best"))
+    chosen = of_parts.groupBy("key").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"), F.col("best.up").alias("up"))
     return docs.join(chosen, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("up", F.lit(0))).drop("up")
 
 
@@ -143,7 +155,7 @@ def mixed_copies(docs: DataFrame) -> DataFrame:
     top = F.log(F.lit(float(MOST_COPIES)))
     power = F.when(F.col("tilt") == float("inf"), top).otherwise(F.col("tilt") * F.col("size") / F.col("scale"))
     rate = F.coalesce(F.round(F.exp(F.least(power, top)) * UNIT), F.lit(UNIT)).cast("long")
-    rated = sized.join(found, "key", "left").select(
+    rated = _with_source(sized, found, "left").select(
         *sized.columns, F.when(F.col("size") == 0, F.lit(UNIT)).otherwise(rate).alias("rate")
     )
     # Parts of a copy add up along the documents of a source by size, so errors of neighbours cancel out.
@@ -154,7 +166,7 @@ def mixed_copies(docs: DataFrame) -> DataFrame:
     rounded = along.select(*sized.columns, F.least(whole + more, F.lit(MOST_COPIES)).cast("long").alias("copies"))
     for _ in range(FIXES):
         rounded = cut(_closer(rounded, targets))
-    return rounded.join(targets, "key").select("row", "doc_id", "mark", "size", "source_size", "target", "copies")
+    return _with_source(rounded, targets).select("row", "doc_id", "mark", "size", "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
