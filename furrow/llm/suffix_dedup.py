@@ -5,7 +5,8 @@ into pieces of consecutive strings with the same least k-gram, and pieces meet b
 are in pieces of one shard. Equal pieces are told by a hash of their bytes and only the earliest goes on; the strings of
 the others all start earlier. Pieces whose k-gram no other piece shares are done. What is left, different pieces with a
 common k-gram, is sorted by :mod:`suffix_sort`, and of suffixes with a common prefix of ``LENGTH`` all but the earliest
-start a removed string.
+start a removed string. No shard grows with the table: different pieces of one k-gram beyond ``HOT_BYTES`` are dealt by a
+hash of each of their strings instead, of which all but the earliest are removed as they stream by.
 
 Rows that are shuffled hold a few numbers per piece; of texts, only left pieces go to shards.
 """
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, with_running_total, written
@@ -29,6 +31,8 @@ PIECE_STRINGS = 1 << 11
 COMBINE_PIECES = 1 << 20
 SHARD_BYTES = 1 << 20
 HOT_PIECES = 1000
+HOT_BYTES = 8 << 20
+KEY_ROWS = 1 << 18
 PLACES_PER_PART = 9
 NO_ID = (1 << 63) - 1
 
@@ -233,42 +237,97 @@ def split_piece(content: bytes) -> list[tuple[int, int, int]]:
     return list(zip((part[first] + 1).tolist(), first.tolist(), np.diff(np.r_[first, len(part)]).tolist()))
 
 
+def string_keys(content: bytes) -> np.ndarray:
+    """A hash of every string of a piece."""
+    up, down = _powers()
+    data = np.frombuffer(content, np.uint8)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_HASH[data] * down[: len(data)], dtype=np.uint64)])
+    return _mixed((sums[LENGTH:] - sums[:-LENGTH]) * up[: len(data) - LENGTH + 1]).view(np.int64)
+
+
+WHOLE, PLACES, STRINGS = 0, 1, 2
+
+
 def _piece_bytes(docs: DataFrame, suspects: DataFrame) -> DataFrame:
     """Bytes of suspects: gram, part, doc, slot, start, content.
 
-    Pieces of a k-gram that has very many are cut, which splits the k-gram's shard; others are part 0. The pieces of one
-    document are a list, as long as the document at most.
+    Pieces of a k-gram that has very many are cut, which splits the k-gram's shard; others are part 0. Where a k-gram's
+    pieces are too large for one shard, every string is a row without content, and its hash is the part. Of equal ones in a
+    task only the earliest is such a row; the others are spans already, rows with empty content, the document as gram and
+    the stop as part. The pieces of one document are a list, as long as the document at most.
     """
-    hot = suspects.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PIECES).select("gram", F.lit(True).alias("hot"))
-    marked = suspects.join(hot, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    # A part has a piece's strings in runs, which start ten strings apart or more and have 99 bytes more than strings.
+    size = F.sum(11 * F.col("strings") + LENGTH - 1)
+    way = F.when(F.col("bytes") > HOT_BYTES, STRINGS).otherwise(PLACES)
+    sizes = suspects.groupBy("gram").agg(F.count("*").alias("n"), size.alias("bytes"))
+    hot = sizes.where(F.col("n") > HOT_PIECES).select("gram", way.alias("hot"))
+    marked = suspects.join(hot, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(WHOLE)))
     listed = marked.groupBy("doc", "slot").agg(F.collect_list(F.struct("gram", "start", "strings", "hot")).alias("pieces"))
     joined = docs.select("doc", "slot", "text").join(listed, ["doc", "slot"])
     schema = pa.schema(
-        [("gram", pa.int64()), ("part", pa.int32()), ("doc", pa.int64()), ("slot", pa.int64()), ("start", pa.int64()), ("content", pa.binary())]
+        [("gram", pa.int64()), ("part", pa.int64()), ("doc", pa.int64()), ("slot", pa.int64()), ("start", pa.int64()), ("content", pa.binary())]
     )
 
+    def keyed(pieces: list[tuple]) -> pa.RecordBatch:
+        counts = [len(p[4]) for p in pieces]
+        gram, doc, slot, begin = (np.repeat(np.array([p[i] for p in pieces], np.int64), counts) for i in range(4))
+        rows = np.stack([gram, np.concatenate([p[4] for p in pieces]), doc, slot, begin + np.concatenate([np.arange(n) for n in counts])])
+        rows = rows[:, np.lexsort(rows[::-1])]
+        new = np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]
+        first = rows[:, np.maximum.accumulate(np.where(new, np.arange(rows.shape[1]), 0))]
+        # Equal rows of the table are one occurrence.
+        doc, slot, start = (later := rows[2:, (rows != first).any(axis=0)])[:, np.lexsort(later[::-1])]
+        run = np.r_[True, (doc[1:] != doc[:-1]) | (slot[1:] != slot[:-1]) | (start[1:] > start[:-1] + 1)][: len(doc)]
+        last = np.r_[np.flatnonzero(run)[1:], len(doc)][: run.sum()] - 1
+        spans = np.stack([doc[run], start[last] + LENGTH, doc[run], slot[run], start[run]])
+        columns = [pa.array(c) for c in np.concatenate([rows[:, new], spans], axis=1)]
+        content = pa.array([None] * int(new.sum()) + [b""] * spans.shape[1], pa.binary())
+        return pa.RecordBatch.from_arrays([*columns, content], schema=schema)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n_keys = [], 0
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
                 content = row["text"].encode("utf-8", "replace")
                 for p in row["pieces"]:
                     piece = content[p["start"] : p["start"] + p["strings"] + LENGTH - 1]
-                    for part, first, strings in split_piece(piece) if p["hot"] else [(0, 0, p["strings"])]:
+                    if p["hot"] == STRINGS:
+                        keys.append((p["gram"], row["doc"], row["slot"], p["start"], string_keys(piece)))
+                        n_keys += p["strings"]
+                        if n_keys >= KEY_ROWS:
+                            yield keyed(keys)
+                            keys, n_keys = [], 0
+                        continue
+                    for part, first, strings in split_piece(piece) if p["hot"] == PLACES else [(WHOLE, 0, p["strings"])]:
                         cut_out = piece[first : first + strings + LENGTH - 1]
                         rows.append((p["gram"], part, row["doc"], row["slot"], p["start"] + first, cut_out))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        if keys:
+            yield keyed(keys)
 
-    return joined.mapInArrow(task, "gram long, part int, doc long, slot long, start long, content binary")
+    return joined.mapInArrow(task, "gram long, part long, doc long, slot long, start long, content binary")
 
 
 def sorted_spans(parts: DataFrame) -> DataFrame:
     """Spans of ``parts`` whose strings also start earlier, by the suffix order of each shard.
 
-    A shard is filled with whole parts of k-grams; the sorter moves its queues to disk when a part is large.
+    A shard is filled with whole parts of k-grams, none much larger than ``HOT_BYTES``. Rows without content are equal
+    strings if their gram and part are; the first is kept and none is held. Rows with empty content are spans.
     """
 
+    def copies(string: tuple | None, batch: pa.RecordBatch) -> tuple[tuple, pa.RecordBatch]:
+        """``string`` is the latest first copy; rows are in order."""
+        lead = np.array(string if string is not None else [], np.int64).reshape(5, -1)
+        rows = np.concatenate([lead, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]])], axis=1)
+        new = np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]
+        first = rows[:, np.maximum.accumulate(np.where(new, np.arange(rows.shape[1]), 0))]
+        # Equal rows of the table are one occurrence.
+        _, _, doc, slot, start = rows[:, (rows != first).any(axis=0)]
+        columns = [doc, slot, start, start + LENGTH]
+        return tuple(first[:, -1].tolist()), pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=SPAN_SCHEMA)
+
     def spans(held: list[tuple]) -> pa.RecordBatch:
         number, offset = repeated([h[5] for h in held], LENGTH)
         begin = np.array([h[4] for h in held], np.int64)[number] + offset
@@ -280,8 +339,16 @@ def sorted_spans(parts: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=SPAN_SCHEMA)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, before = [], 0, None
+        held, size, before, string = [], 0, None, None
         for batch in batches:
+            length = pc.fill_null(pc.binary_length(batch.column(5)), -1)
+            keys, ready_spans = batch.filter(pc.equal(length, -1)), batch.filter(pc.equal(length, 0))
+            if keys.num_rows:
+                string, found = copies(string, keys)
+                yield found
+            if ready_spans.num_rows:
+                yield pa.RecordBatch.from_arrays([ready_spans.column(i) for i in (2, 3, 4, 1)], schema=SPAN_SCHEMA)
+            batch = batch.filter(pc.greater(length, 0))
             columns = [c.to_pylist() for c in batch.columns]
             for row in zip(*columns):
                 if size >= SHARD_BYTES and row[:2] != held[-1][:2]:

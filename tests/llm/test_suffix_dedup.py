@@ -65,6 +65,38 @@ def test_planted_repeats(spark, monkeypatch, buffer, hot):
     assert got == plain_result(rows)
 
 
+def hot_rows(seed, n=150):
+    """A passage and a phrase under 100 bytes, each with other neighbours in every text; one text twice, one as two rows."""
+    rng = random.Random(seed)
+    prose = lambda k: "".join(rng.choice("abcdefgh é") for _ in range(k))
+    passage, phrase = prose(160), prose(80)
+    texts = [prose(150) + (passage, phrase)[i % 2] + prose(150) + "-" * (i % 3 * 60) for i in range(n)]
+    texts += [texts[0], prose(20) + phrase * 4 + prose(120)]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("limit", [8 << 20, 40_000, 0])
+def test_no_shard_grows_with_a_hot_gram(spark, monkeypatch, limit):
+    monkeypatch.setattr(suffix_dedup, "HOT_PIECES", 3)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", limit)
+    monkeypatch.setattr(suffix_dedup, "KEY_ROWS", 1000)
+    rows = hot_rows(11)
+    frame = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string").repartition(4)
+    got = sorted(set(map(tuple, suffix_dedup.deduplicated_digests(frame).collect())))
+    assert got == plain_result(rows)
+
+
+def test_parts_of_a_hot_gram_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_PIECES", 3)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 12_000)
+    frame = spark.createDataFrame(hot_rows(12), "doc_id long, text string")
+    keyed = suffix_dedup.keyed_documents(frame)
+    suspects = suffix_dedup.met_pieces(suffix_dedup.text_pieces(keyed)).where("suspect").drop("suspect")
+    parts = suffix_dedup._piece_bytes(keyed, suspects)
+    largest = parts.groupBy("gram", "part").agg({"content": "count"}).selectExpr("max(`count(content)`)").first()[0]
+    assert 0 < largest * 108 <= 12_000 and parts.where("content IS NULL").count() > 0
+
+
 def test_repeated_rows_and_null_ids(spark):
     a, b = planted(2)[8][1], planted(3)[8][1]
     frame = spark.createDataFrame([(None, a), (5, a), (5, a), (7, b), (7, a)], "doc_id long, text string")
