@@ -13,12 +13,16 @@ from furrow.llm.common import table, ready, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter, and null texts, go."""
+    """Documents with a language; those without a letter, and null texts, go. No other goes, labelled or not: if no
+    language could be learned, all texts with a letter stay."""
     ready(spark)
     profiles = language.learn_profiles(docs.select("doc_id", "text", "lang"))
     names = docs.columns
     rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row"))
-    kept = language.identify(rows, profiles).where(F.col("lang_pred") != language.UNKNOWN)
+    if profiles:
+        kept = language.identify(rows, profiles).where(F.col("lang_pred") != language.UNKNOWN)
+    else:
+        kept = language.with_letters(rows)
     return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in names])
 
 

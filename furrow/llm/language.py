@@ -152,6 +152,18 @@ def identify(docs: DataFrame, profiles: list[tuple[str, int, int]], settings: Pr
     return rows.mapInArrow(task, schema)
 
 
+def with_letters(docs: DataFrame, settings: ProfileSettings = ProfileSettings()) -> DataFrame:
+    """Rows of ``docs`` whose ``text`` has n-grams to tell a language by, known or not."""
+    at = docs.columns.index("text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [len(gram_counts(t.as_py() or "", settings.grams)[0]) > 0 for t in batch.column(at)]
+            yield batch.filter(pa.array(found, pa.bool_()))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
 def predicted_languages(docs: DataFrame, settings: ProfileSettings = ProfileSettings()) -> DataFrame:
     """Predict the language of every row of ``docs(doc_id, text, lang)``.
 

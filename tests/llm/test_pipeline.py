@@ -106,3 +106,10 @@ def test_odd_tables(spark, rows):
         docs = spark.createDataFrame(stage(spark, docs, SF).toArrow())
     n = docs.count()
     assert n == (1 if rows and rows[0][1] else 0) or n == 2
+
+
+def test_unlabelled_texts_stay(spark):
+    rows = [(i, t, None, "s", 1) for i, t in enumerate(["some words here", "漢字", None, "", "12 34 -", "a"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.known_language(spark, docs, SF)
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[1], rows[5]]
