@@ -126,3 +126,18 @@ def with_running_total(df: DataFrame, order: list[str], value: str, out: str) ->
         .withColumn(out, F.col("_offset") + F.coalesce(F.sum(value).over(within), F.lit(0)))
         .select(*names, out)
     )
+
+
+def joined_beside_hot(left: DataFrame, right: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row per key and a row for every key of ``left``.
+
+    Rows of ``right`` that are ``hot`` (a condition few rows can meet by their definition) are broadcast, and what they
+    match is not shuffled; the rest is a plain join. ``left`` is read twice and should be a written table.
+    """
+    values = [c for c in right.columns if c not in keys]
+    few = right.where(hot).select(*keys, F.struct(*values).alias("_few"))
+    marked = left.join(F.broadcast(few), keys, "left")
+    names = [*left.columns, *values]
+    beside = marked.where("_few IS NOT NULL").select(*left.columns, *[F.col(f"_few.{c}").alias(c) for c in values])
+    rest = marked.where("_few IS NULL").drop("_few").join(right.where(~hot), keys)
+    return beside.select(*names).unionByName(rest.select(*names))

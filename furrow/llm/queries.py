@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language, line_quality, mixing, simhash, suffix_dedup, token_store, topk, url_reputation, warc
+from . import bpe, language, line_quality, mixing, sharding, simhash, suffix_dedup, token_store, topk, url_reputation, variants, warc
 from .common import table
 
 # Fixed values of the contract: verdict, host, path.
@@ -74,6 +74,16 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes."""
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the frequent word they are a variant of."""
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_topk": op2_topk,
@@ -85,4 +95,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_quality": op8_line_quality,
     "op9_warc": op9_warc,
     "op10_url_reputation": op10_url_reputation,
+    "op12_sharding": op12_sharding,
+    "op13_variants": op13_variants,
 }
