@@ -84,4 +84,30 @@ SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'c
 FROM ruled r LEFT JOIN judged USING (host)
 """
 
-ORACLES: dict[str, str] = {"op2_topk": OP2, "op8_line_quality": OP8, "op9_warc": OP9, "op10_url_reputation": OP10}
+OP11 = """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+           FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+coded AS (SELECT c, n, c - ((c % 5) + 5) % 5 AS base,
+            xor(list_reduce([4294967295] || flatten(list_transform(string_split(c::VARCHAR, ''), lambda s: [ascii(s)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+              lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 9 AS h FROM own),
+k AS (SELECT o.*, least(h, coalesce(b.n, 0)) AS head FROM coded o LEFT JOIN own b ON o.base = b.c),
+turns AS (SELECT k.c, i AS d, r, x FROM k JOIN t ON t.c = k.base WHERE i <= head
+          UNION ALL SELECT k.c, i - h + head, r, x FROM k JOIN t ON t.c = k.c WHERE i > h),
+paths AS (SELECT c, d, x, sha256(string_agg(length(r) || ':' || length(x) || ':' || r || x, '') OVER (PARTITION BY c ORDER BY d)) AS p FROM turns
+          UNION ALL SELECT c, 0, '', '' FROM k),
+rows AS (SELECT *, lag(p) OVER (PARTITION BY c ORDER BY d) AS q, lead(p) OVER (PARTITION BY c ORDER BY d) IS NULL AS ends FROM paths),
+nodes AS (SELECT p, min(q) AS q, min(d) AS d, min(c) AS conv_id, count(*) AS n, (count(*) - 1) * min(strlen(x)) AS s,
+            sha256(coalesce(string_agg(CASE WHEN ends THEN c::VARCHAR END, ',' ORDER BY c), '')) AS e FROM rows GROUP BY p),
+kids AS (SELECT q AS p, count(*) AS n_children FROM nodes WHERE q IS NOT NULL GROUP BY q),
+whole AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (p)),
+held AS (SELECT r.p, sum(CASE WHEN n.conv_id = c THEN s ELSE 0 END) OVER w AS s, sum(CASE WHEN n.conv_id = c AND n_children = 0 THEN 1 ELSE 0 END) OVER w AS l
+         FROM rows r JOIN whole n USING (p) WINDOW w AS (PARTITION BY c ORDER BY r.d DESC)),
+sums AS (SELECT p, sum(s) AS s, sum(l) AS l FROM held GROUP BY p)
+SELECT n.conv_id, n.d::BIGINT AS depth, a.conv_id AS parent_conv_id, n.n AS n_convs, n.n_children, sums.l::BIGINT AS n_leaves,
+  sums.s::BIGINT AS saved_tokens, n.e AS ends_sha256
+FROM whole n JOIN sums USING (p) LEFT JOIN nodes a ON n.q = a.p
+"""
+
+ORACLES: dict[str, str] = {"op2_topk": OP2, "op8_line_quality": OP8, "op9_warc": OP9, "op10_url_reputation": OP10, "op11_prefix_trie": OP11}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language, line_quality, mixing, sharding, simhash, suffix_dedup, token_store, topk, url_reputation, variants, warc
+from . import bpe, language, line_quality, mixing, prefix_trie, sharding, simhash, suffix_dedup, token_store, topk, url_reputation, variants, warc
 from .common import table
 
 # Fixed values of the contract: verdict, host, path.
@@ -74,6 +74,11 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
     return sharding.sharded(table(spark, sf_dir, "documents"))
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_quality": op8_line_quality,
     "op9_warc": op9_warc,
     "op10_url_reputation": op10_url_reputation,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_sharding": op12_sharding,
     "op13_variants": op13_variants,
 }
