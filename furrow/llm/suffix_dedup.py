@@ -2,11 +2,13 @@
 
 A string of ``LENGTH`` bytes that occurs twice holds the same least k-gram (by hash) both times. So every document is cut
 into pieces of consecutive strings with the same least k-gram, and pieces meet by it: all occurrences of a string
-are in pieces of one shard. Equal pieces are told by a hash of their bytes and only the earliest goes on; the strings of
-the others all start earlier. Pieces whose k-gram no other piece shares are done. What is left, different pieces with a
+are in pieces of one shard. Equal pieces are told by a 128-bit BLAKE2b digest of their bytes and only the earliest goes on; the
+strings of the others all start earlier. Copies that a task meets itself are not shuffled by their k-gram, so a passage that very
+many documents share is one row a task. Pieces whose k-gram no other piece shares are done. What is left, different pieces with a
 common k-gram, is sorted by :mod:`suffix_sort`, and of suffixes with a common prefix of ``LENGTH`` all but the earliest
-start a removed string. No shard grows with the table: different pieces of one k-gram beyond ``HOT_BYTES`` are dealt by a
-hash of each of their strings instead, of which all but the earliest are removed as they stream by.
+start a removed string. No shard grows with the table: different pieces of one k-gram beyond ``HOT_BYTES`` are dealt by the
+digest of each of their strings instead, of which all but the earliest are removed as they stream by. The least k-grams
+are chosen by a plain hash, which decides no equality.
 
 Rows that are shuffled hold a few numbers per piece; of texts, only left pieces go to shards.
 """
@@ -28,7 +30,7 @@ LENGTH = 100
 GRAM = 32
 BUFFER = 1 << 19
 PIECE_STRINGS = 1 << 11
-COMBINE_PIECES = 1 << 20
+KNOWN_COPIES = 1 << 15
 SHARD_BYTES = 1 << 20
 HOT_PIECES = 1000
 HOT_BYTES = 8 << 20
@@ -62,6 +64,12 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def digests(parts: list[bytes]) -> np.ndarray:
+    """128-bit BLAKE2b digests as rows of two numbers: what equality of bytes rests on."""
+    joined = b"".join([hashlib.blake2b(p, digest_size=16).digest() for p in parts])
+    return np.frombuffer(joined, np.int64).reshape(-1, 2)
+
+
 def least_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every k-gram of ``data``, and for every string of ``LENGTH`` the place of its least one, the first of equals."""
     up, _ = _powers()
@@ -83,17 +91,15 @@ def least_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def buffer_pieces(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
-    """Pieces of the documents in ``data`` that end at ``ends``: start, strings, gram (hash), content (hash), multi.
+    """Pieces of the documents in ``data`` that end at ``ends``: start, strings, gram (hash), content and rest (digest), multi.
 
     ``multi`` tells that the least k-gram occurs at several places of a piece, without which no string of
     it can repeat within the piece. Fewer than ``BUFFER`` bytes at once.
     """
     n = len(data) - LENGTH + 1
-    none = {k: np.array([], np.int64) for k in ("start", "strings", "gram", "content", "multi")}
+    none = {k: np.array([], np.int64) for k in ("start", "strings", "gram", "content", "rest", "multi")}
     if n <= 0:
         return none
-    up, down = _powers()
-    value = BYTE_HASH[data]
     grams, place = least_grams(data)
     at = np.arange(n)
     document = np.searchsorted(ends, at, side="right")
@@ -117,16 +123,46 @@ def buffer_pieces(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
         step = (np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)) * PIECE_STRINGS
         strings = np.minimum(strings[which] - step, PIECE_STRINGS)
         start, gram, multi = start[which] + step, gram[which], multi[which]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * down[: len(data)], dtype=np.uint64)])
-    content = _mixed((sums[start + strings + LENGTH - 1] - sums[start]) * up[start])
-    return {"start": start, "strings": strings, "gram": gram.view(np.int64), "content": content.view(np.int64), "multi": multi.astype(np.int64)}
-
-
-PIECES = "gram long, content long, doc long, slot long, start long, strings int, multi int"
-PIECE_SCHEMA = pa.schema(
-    [("gram", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("slot", pa.int64()), ("start", pa.int64()),
-     ("strings", pa.int32()), ("multi", pa.int32())]
-)
+    whole = data.tobytes()
+    content = digests([whole[a:b] for a, b in zip(start.tolist(), (start + strings + LENGTH - 1).tolist())])
+    return {
+        "start": start, "strings": strings, "gram": gram.view(np.int64), "content": content[:, 0], "rest": content[:, 1],
+        "multi": multi.astype(np.int64),
+    }
+
+
+PIECES = "gram long, content long, rest long, doc long, slot long, start long, strings int, multi int"
+PIECE_SCHEMA = pa.schema([(c, pa.int64()) for c in ("gram", "content", "rest", "doc", "slot", "start")] + [("strings", pa.int32()), ("multi", pa.int32())])
+COPY = -1  # in place of ``multi``: a copy of a piece that the task has met at an earlier place
+
+
+class MetPieces:
+    """The places of pieces that a task has met several times, at most ``KNOWN_COPIES`` of them."""
+
+    def __init__(self) -> None:
+        self.places: dict[tuple[int, int], tuple[int, int, int]] = {}
+
+    def copies(self, content: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which rows are later than an equal piece; ``content`` and ``place`` have two and three columns."""
+        order = np.lexsort((*place.T[::-1], *content.T))
+        ordered, places = content[order], place[order]
+        new = np.r_[True, (ordered[1:] != ordered[:-1]).any(axis=1)]
+        first = places[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        later = (places != first).any(axis=1)
+        starts = np.flatnonzero(new)
+        several = np.diff(np.r_[starts, len(order)]) > 1
+        for i in starts[np.isin(ordered[starts, 0], np.fromiter((k[0] for k in self.places), np.int64, len(self.places)))]:
+            key, here = tuple(ordered[i].tolist()), tuple(places[i].tolist())
+            if (known := self.places.get(key)) is not None:
+                later[i] |= known < here
+                self.places[key] = min(known, here)
+        if len(self.places) > KNOWN_COPIES:
+            self.places.clear()
+        for i in starts[several]:
+            self.places.setdefault(tuple(ordered[i].tolist()), tuple(places[i].tolist()))
+        out = np.zeros(len(order), bool)
+        out[order] = later
+        return out
 
 
 def text_pieces(docs: DataFrame) -> DataFrame:
@@ -134,7 +170,7 @@ def text_pieces(docs: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # doc, slot, offset of the part in its text, bytes
-        size = 0
+        size, met = 0, MetPieces()
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size
@@ -145,7 +181,11 @@ def text_pieces(docs: DataFrame) -> DataFrame:
             begins = np.r_[0, ends[:-1]]
             key = np.array([h[:3] for h in held], np.int64).reshape(-1, 3)[document]
             start = found["start"] - begins[document] + key[:, 2]
-            columns = [found["gram"], found["content"], key[:, 0], key[:, 1], start, found["strings"], found["multi"]]
+            copy = met.copies(np.stack([found["content"], found["rest"]], axis=1), np.stack([key[:, 0], key[:, 1], start], axis=1))
+            # Copies are done; they are spread by their place.
+            gram = np.where(copy, _mixed((key[:, 0] + start).astype(np.uint64)).view(np.int64), found["gram"])
+            multi = np.where(copy, COPY, found["multi"])
+            columns = [gram, found["content"], found["rest"], key[:, 0], key[:, 1], start, found["strings"], multi]
             held, size = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECE_SCHEMA)], schema=PIECE_SCHEMA)
 
@@ -184,21 +224,27 @@ def met_pieces(pieces: DataFrame) -> DataFrame:
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # gram, content, doc, slot, start, strings of the latest first copy
+        last = None  # gram, content, rest, doc, slot, start, strings of the latest first copy
         waiting = False  # that copy is its k-gram's only one so far
 
+        def rows_of(suspect: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([suspect, *columns], MET_SCHEMA)], schema=MET_SCHEMA)
+
         for batch in batches:
-            if not batch.num_rows:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            done = columns[-1] == COPY
+            if done.any():
+                yield rows_of(np.zeros(done.sum(), bool), [columns[i][done] for i in (0, 3, 4, 5, 6)])
+                columns = [c[~done] for c in columns]
+            if not len(columns[0]):
                 continue
-            gram, content, doc, slot, start, strings, multi = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            gram, content, rest, doc, slot, start, strings, multi = columns
             if last is not None:
                 lead = [np.array([v]) for v in last]
-                gram, content, doc, slot, start, strings = (
-                    np.concatenate([a, b]) for a, b in zip(lead, (gram, content, doc, slot, start, strings))
-                )
+                gram, content, rest, doc, slot, start, strings = (np.concatenate([a, b]) for a, b in zip(lead, columns))
                 multi = np.r_[0, multi]
             new_gram = np.r_[True, gram[1:] != gram[:-1]]
-            new = new_gram | np.r_[True, content[1:] != content[:-1]]
+            new = new_gram | np.r_[True, (content[1:] != content[:-1]) | (rest[1:] != rest[:-1])]
             at = np.arange(len(gram))
             first = np.maximum.accumulate(np.where(new, at, 0))
             # Equal rows have the same place: they are one occurrence.
@@ -214,11 +260,10 @@ def met_pieces(pieces: DataFrame) -> DataFrame:
             rows = suspect | ~(new | same)
             tail = first[-1]
             waiting = not suspect[tail] and not (last is not None and not waiting and group[tail] == 0)
-            last = [v[tail] for v in (gram, content, doc, slot, start, strings)]
-            columns = [suspect[rows], gram[rows], doc[rows], slot[rows], start[rows], strings[rows]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, MET_SCHEMA)], schema=MET_SCHEMA)
+            last = [v[tail] for v in (gram, content, rest, doc, slot, start, strings)]
+            yield rows_of(suspect[rows], [v[rows] for v in (gram, doc, slot, start, strings)])
 
-    order = ["gram", "content", "doc", "slot", "start"]
+    order = ["gram", "content", "rest", "doc", "slot", "start"]
     return pieces.repartition("gram").sortWithinPartitions(*order).mapInArrow(task, MET)
 
 
@@ -238,21 +283,18 @@ def split_piece(content: bytes) -> list[tuple[int, int, int]]:
 
 
 def string_keys(content: bytes) -> np.ndarray:
-    """A hash of every string of a piece."""
-    up, down = _powers()
-    data = np.frombuffer(content, np.uint8)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_HASH[data] * down[: len(data)], dtype=np.uint64)])
-    return _mixed((sums[LENGTH:] - sums[:-LENGTH]) * up[: len(data) - LENGTH + 1]).view(np.int64)
+    """The digest of every string of a piece."""
+    return digests([content[i : i + LENGTH] for i in range(len(content) - LENGTH + 1)])
 
 
 WHOLE, PLACES, STRINGS = 0, 1, 2
 
 
 def _piece_bytes(docs: DataFrame, suspects: DataFrame) -> DataFrame:
-    """Bytes of suspects: gram, part, doc, slot, start, content.
+    """Bytes of suspects: gram, part, rest, doc, slot, start, content.
 
     Pieces of a k-gram that has very many are cut, which splits the k-gram's shard; others are part 0. Where a k-gram's
-    pieces are too large for one shard, every string is a row without content, and its hash is the part. Of equal ones in a
+    pieces are too large for one shard, every string is a row without content, and its digest is part and rest. Of equal ones in a
     task only the earliest is such a row; the others are spans already, rows with empty content, the document as gram and
     the stop as part. The pieces of one document are a list, as long as the document at most.
     """
@@ -264,22 +306,21 @@ def _piece_bytes(docs: DataFrame, suspects: DataFrame) -> DataFrame:
     marked = suspects.join(hot, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(WHOLE)))
     listed = marked.groupBy("doc", "slot").agg(F.collect_list(F.struct("gram", "start", "strings", "hot")).alias("pieces"))
     joined = docs.select("doc", "slot", "text").join(listed, ["doc", "slot"])
-    schema = pa.schema(
-        [("gram", pa.int64()), ("part", pa.int64()), ("doc", pa.int64()), ("slot", pa.int64()), ("start", pa.int64()), ("content", pa.binary())]
-    )
+    schema = pa.schema([*((c, pa.int64()) for c in ("gram", "part", "rest", "doc", "slot", "start")), ("content", pa.binary())])
 
     def keyed(pieces: list[tuple]) -> pa.RecordBatch:
         counts = [len(p[4]) for p in pieces]
         gram, doc, slot, begin = (np.repeat(np.array([p[i] for p in pieces], np.int64), counts) for i in range(4))
-        rows = np.stack([gram, np.concatenate([p[4] for p in pieces]), doc, slot, begin + np.concatenate([np.arange(n) for n in counts])])
+        keys = np.concatenate([p[4] for p in pieces])
+        rows = np.stack([gram, keys[:, 0], keys[:, 1], doc, slot, begin + np.concatenate([np.arange(n) for n in counts])])
         rows = rows[:, np.lexsort(rows[::-1])]
-        new = np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]
+        new = np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)]
         first = rows[:, np.maximum.accumulate(np.where(new, np.arange(rows.shape[1]), 0))]
         # Equal rows of the table are one occurrence.
-        doc, slot, start = (later := rows[2:, (rows != first).any(axis=0)])[:, np.lexsort(later[::-1])]
+        doc, slot, start = (later := rows[3:, (rows != first).any(axis=0)])[:, np.lexsort(later[::-1])]
         run = np.r_[True, (doc[1:] != doc[:-1]) | (slot[1:] != slot[:-1]) | (start[1:] > start[:-1] + 1)][: len(doc)]
         last = np.r_[np.flatnonzero(run)[1:], len(doc)][: run.sum()] - 1
-        spans = np.stack([doc[run], start[last] + LENGTH, doc[run], slot[run], start[run]])
+        spans = np.stack([doc[run], start[last] + LENGTH, np.zeros(run.sum(), np.int64), doc[run], slot[run], start[run]])
         columns = [pa.array(c) for c in np.concatenate([rows[:, new], spans], axis=1)]
         content = pa.array([None] * int(new.sum()) + [b""] * spans.shape[1], pa.binary())
         return pa.RecordBatch.from_arrays([*columns, content], schema=schema)
@@ -301,53 +342,53 @@ def _piece_bytes(docs: DataFrame, suspects: DataFrame) -> DataFrame:
                         continue
                     for part, first, strings in split_piece(piece) if p["hot"] == PLACES else [(WHOLE, 0, p["strings"])]:
                         cut_out = piece[first : first + strings + LENGTH - 1]
-                        rows.append((p["gram"], part, row["doc"], row["slot"], p["start"] + first, cut_out))
+                        rows.append((p["gram"], part, 0, row["doc"], row["slot"], p["start"] + first, cut_out))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         if keys:
             yield keyed(keys)
 
-    return joined.mapInArrow(task, "gram long, part long, doc long, slot long, start long, content binary")
+    return joined.mapInArrow(task, "gram long, part long, rest long, doc long, slot long, start long, content binary")
 
 
 def sorted_spans(parts: DataFrame) -> DataFrame:
     """Spans of ``parts`` whose strings also start earlier, by the suffix order of each shard.
 
     A shard is filled with whole parts of k-grams, none much larger than ``HOT_BYTES``. Rows without content are equal
-    strings if their gram and part are; the first is kept and none is held. Rows with empty content are spans.
+    strings if their gram and digest are; the first is kept and none is held. Rows with empty content are spans.
     """
 
     def copies(string: tuple | None, batch: pa.RecordBatch) -> tuple[tuple, pa.RecordBatch]:
         """``string`` is the latest first copy; rows are in order."""
-        lead = np.array(string if string is not None else [], np.int64).reshape(5, -1)
-        rows = np.concatenate([lead, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]])], axis=1)
-        new = np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]
+        lead = np.array(string if string is not None else [], np.int64).reshape(6, -1)
+        rows = np.concatenate([lead, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]])], axis=1)
+        new = np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)]
         first = rows[:, np.maximum.accumulate(np.where(new, np.arange(rows.shape[1]), 0))]
         # Equal rows of the table are one occurrence.
-        _, _, doc, slot, start = rows[:, (rows != first).any(axis=0)]
+        _, _, _, doc, slot, start = rows[:, (rows != first).any(axis=0)]
         columns = [doc, slot, start, start + LENGTH]
         return tuple(first[:, -1].tolist()), pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=SPAN_SCHEMA)
 
     def spans(held: list[tuple]) -> pa.RecordBatch:
-        number, offset = repeated([h[5] for h in held], LENGTH)
-        begin = np.array([h[4] for h in held], np.int64)[number] + offset
-        new = np.r_[True, (number[1:] != number[:-1]) | (offset[1:] != offset[:-1] + 1)] if len(number) else np.array([], bool)
-        first = np.flatnonzero(new)
-        last = np.r_[first[1:], len(number)] - 1
-        key = np.array([h[2:4] for h in held], np.int64).reshape(-1, 2)[number[first]]
+        number, offset = repeated([h[6] for h in held], LENGTH)
+        begin = np.array([h[5] for h in held], np.int64)[number] + offset
+        # A shard may hold no repeat: there are no spans then, and no last one.
+        first = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (offset[1:] != offset[:-1] + 1)][: len(number)])
+        last = np.r_[first[1:], len(number)][: len(first)] - 1
+        key = np.array([h[3:5] for h in held], np.int64).reshape(-1, 2)[number[first]]
         columns = [key[:, 0], key[:, 1], begin[first], begin[last] + LENGTH]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=SPAN_SCHEMA)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, before, string = [], 0, None, None
         for batch in batches:
-            length = pc.fill_null(pc.binary_length(batch.column(5)), -1)
+            length = pc.fill_null(pc.binary_length(batch.column(6)), -1)
             keys, ready_spans = batch.filter(pc.equal(length, -1)), batch.filter(pc.equal(length, 0))
             if keys.num_rows:
                 string, found = copies(string, keys)
                 yield found
             if ready_spans.num_rows:
-                yield pa.RecordBatch.from_arrays([ready_spans.column(i) for i in (2, 3, 4, 1)], schema=SPAN_SCHEMA)
+                yield pa.RecordBatch.from_arrays([ready_spans.column(i) for i in (3, 4, 5, 1)], schema=SPAN_SCHEMA)
             batch = batch.filter(pc.greater(length, 0))
             columns = [c.to_pylist() for c in batch.columns]
             for row in zip(*columns):
@@ -355,14 +396,14 @@ def sorted_spans(parts: DataFrame) -> DataFrame:
                     yield spans(held)
                     held, size = [], 0
                 # Equal rows of the table give equal pieces at one place: one of them counts.
-                if row[:5] != before:
+                if row[:6] != before:
                     held.append(row)
-                    size += len(row[5])
-                before = row[:5]
+                    size += len(row[6])
+                before = row[:6]
         if held:
             yield spans(held)
 
-    order = ["gram", "part", "doc", "slot", "start"]
+    order = ["gram", "part", "rest", "doc", "slot", "start"]
     return parts.repartition("gram", "part").sortWithinPartitions(*order).mapInArrow(task, SPANS)
 
 

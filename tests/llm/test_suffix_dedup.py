@@ -147,3 +147,59 @@ def test_suffix_order_and_common_prefixes():
         for a, b, n in zip(at, at[1:], shared[1:]):
             x, y = key(a)[0], key(b)[0]
             assert n == next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+
+
+@pytest.fixture
+def scattered(spark):
+    """Many shuffle partitions that are not put together, as on a cluster."""
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_shards_without_a_repeat(spark, scattered):
+    phrase, other = "".join(chr(97 + i * i % 23) for i in range(95)), "".join(chr(65 + i * 7 % 25) for i in range(60))
+    for texts in ([f"{phrase}0", f"1{phrase}"], [f"{other} - {other}"], [f"x{phrase}y", f"a{phrase}b", "z" * 40]):
+        rows = [(i, t + " end of text " * 9 if i else t) for i, t in enumerate(texts)]
+        got = sorted(map(tuple, suffix_dedup.deduplicated_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+        assert got == plain_result(rows)
+
+
+def test_whole_table_over_many_partitions(spark, scattered):
+    rows = list(map(tuple, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()))
+    assert sorted(map(tuple, QUERIES["op5_suffix_dedup"](spark, SF).collect())) == plain_result(rows)
+    few = spark.createDataFrame(rows[:10], "doc_id long, text string")
+    assert sorted(map(tuple, suffix_dedup.deduplicated_digests(few).collect())) == plain_result(rows[:10])
+
+
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_built_collisions_remove_nothing(spark, monkeypatch, hot):
+    """Two texts whose polynomial hashes modulo 2^64 agree for any base, with a common least 32-gram before them."""
+    monkeypatch.setattr(suffix_dedup, "HOT_PIECES", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 0 if hot == 1 else 8 << 20)
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: 98, 98: 97})
+    turned = word.translate({97: 98, 98: 97})
+    rows = [(1, word + turned), (2, turned + word), (3, "q" + word)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffix_dedup.deduplicated_digests(frame).collect())) == plain_result(rows)
+
+
+@pytest.mark.parametrize("known", [1 << 15, 0])
+def test_copies_met_in_a_task(spark, monkeypatch, known):
+    monkeypatch.setattr(suffix_dedup, "KNOWN_COPIES", known)
+    monkeypatch.setattr(suffix_dedup, "BUFFER", 1 << 11)
+    suffix_dedup._POWERS.clear()
+    rng = random.Random(6)
+    passage = planted(6)[0][1]
+    rows = [(i, planted(i % 3)[8][1][: rng.randrange(200)] + passage + str(i) * 60) for i in range(60)]
+    shuffled = [*rng.sample(rows, len(rows)), rows[4], rows[4]]
+    frame = spark.createDataFrame(shuffled, "doc_id long, text string").coalesce(2)
+    got = sorted(set(map(tuple, suffix_dedup.deduplicated_digests(frame).collect())))
+    suffix_dedup._POWERS.clear()
+    assert got == plain_result(rows)
