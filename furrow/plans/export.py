@@ -15,6 +15,7 @@ from furrow.operators.assemble import (
     modality_records,
     monthly_means,
 )
+from furrow.operators.joins import rows_of_keys
 from furrow.operators.labels import anchors_of_cells, in_counties, rejected_cells, usable_anchors
 from furrow.operators.scenes import colour_features, index_features, scenes_without_valid_pixels
 from furrow.operators.season import index_season, vegetation_season, weather_season
@@ -57,11 +58,12 @@ def season_features(raw: DataFrame, modality: str, **options) -> DataFrame:
 
 
 def only_needed_seasons(raw: DataFrame, anchor_rows: DataFrame) -> DataFrame:
-    """Raw rows of the county-years that have an anchor, before anything is computed from them."""
-    seasons = anchor_rows.select(
-        fips_code(F.col("county_id")).alias("county_id"), F.col("year").cast("int").alias("year")
-    ).distinct()
-    return raw.join(seasons, list(SEASON), "left_semi")
+    """Raw rows of the county-years that have an anchor, where they are read and before anything is computed from them.
+
+    With very many county-years a few others may be left; they find no anchor later.
+    """
+    seasons = anchor_rows.select(fips_code(F.col("county_id")).alias("county_id"), "year")
+    return rows_of_keys(raw, seasons, {"county_id": "string", "year": "int"})
 
 
 def only_needed_partitions(raw: DataFrame, years: Sequence[int], fips_codes: Sequence[str]) -> DataFrame:

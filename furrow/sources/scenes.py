@@ -85,10 +85,9 @@ def container_scenes(container: DataFrame, modality: str, on_bad: str = "fail")
     """
     identity = [c for c in ("file", "county_id", "date", "grid_index") if c in container.columns]
     scene_id = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in identity])
-    repeated = container.groupBy(scene_id.alias("_repeated")).count().filter("count > 1").select("_repeated")
-    container = container.withColumn("_scene_id", scene_id)
-    container = container.join(repeated, F.col("_scene_id") == F.col("_repeated"), "left")
-    message = F.concat(F.lit("repeated scene: "), F.col("_repeated"))
+    # One value, from the identities alone; pixels are neither read for it nor joined with it.
+    repeated = container.groupBy(scene_id.alias("id")).count().filter("count > 1").agg(F.min("id").alias("id")).scalar()
+    message = F.concat(F.lit("repeated scene: "), repeated)
     year = (
         F.col("year").cast("int")
         if "year" in container.columns
@@ -96,7 +95,7 @@ def container_scenes(container: DataFrame, modality: str, on_bad: str = "fail")
     )
     shape = [c for c in ("height", "width", "channels", "data") if c in container.columns]
     scenes = container.select(
-        F.when(F.col("_repeated").isNull(), F.col("_scene_id")).otherwise(F.raise_error(message)).alias("scene_id"),
+        F.when(repeated.isNull(), scene_id).otherwise(F.raise_error(message)).alias("scene_id"),
         fips_code(F.col("county_id")).alias("county_id"),
         F.lit(None).cast("string").alias("crop_type"),
         year.alias("year"),
