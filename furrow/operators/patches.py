@@ -150,6 +150,11 @@ def _labelled(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], patches], [*[names[i] for i in kept], "patches"])
 
 
+def runs_and_contacts(masks: DataFrame) -> DataFrame:
+    """Add ``runs`` of true pixels and ``contacts`` between runs of neighbouring lines to a mask table."""
+    return settled(_with_runs(masks), contacts=_contacts())
+
+
 def patch_graphs(masks: DataFrame) -> DataFrame:
     """One compact row per mask: ``patches`` (first position and area of each) and the mask's, boundary's and
     scene's pixels.

@@ -518,6 +518,41 @@ ORACLES["grey_texture"] = (
 )
 ORACLES["grey_edges"] = _with(RGB, EDGES) + f"SELECT scene_id, {_r('edge', 'edge_density')} FROM edges"
 
+# ------------------------------------------------------------------------------------------------
+# Scenes in tiles
+# ------------------------------------------------------------------------------------------------
+TILES = """
+tl AS (
+  SELECT *, 32 * y + x AS p FROM (
+    SELECT CAST(vec_id // 16 AS VARCHAR) AS scene_id, vec_id % 16 // 4 * 8 + k // 8 AS y, vec_id % 4 * 8 + k % 8 AS x,
+      CAST(embedding[k + 1] AS DOUBLE) AS e
+    FROM (SELECT *, unnest(range(64)) AS k FROM embeddings)))
+"""
+_BOX = """
+box AS (
+  SELECT a.scene_id, a.p, any_value(a.v) AS own, sum(b.v) AS around, count(*) AS cells
+  FROM lv a JOIN lv b ON a.scene_id = b.scene_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1
+  GROUP BY a.scene_id, a.p)
+"""
+ORACLES["tiled_patch_areas"] = (
+    _with(TILES, _reach("SELECT scene_id, p, y, x FROM tl WHERE e * 4.0 > 0.3"), recursive=True)
+    + "SELECT scene_id, patch // 32 AS y, patch % 32 AS x, area FROM areas"
+)
+ORACLES["tiled_edges"] = (
+    _with(TILES, "lv AS (SELECT *, CAST(floor(abs(e) * 700.0) AS INTEGER) % 256 AS v FROM tl)", _BOX)
+    + "SELECT scene_id, " + _r("count(*) FILTER (CASE WHEN cells = 9 THEN 9 * own - around > 12 ELSE own > 12 END) / count(*)", "edge_density")
+    + " FROM box GROUP BY scene_id"
+)
+ORACLES["tiled_boundaries"] = (
+    _with(TILES, "lv AS (SELECT *, CAST(e * 4.0 > -0.5 AS INTEGER) AS v FROM tl)", _BOX)
+    + "SELECT scene_id, count(*) FILTER (own = 1 AND around < 9) AS boundary_pixels FROM box GROUP BY scene_id"
+)
+ORACLES["tiled_quantiles"] = (
+    _with(TILES)
+    + "SELECT scene_id, " + ", ".join(_r(f"quantile_cont(e * 4.0, {q / 100})", f"q{q}") for q in (25, 50, 75))
+    + " FROM tl WHERE e * 4.0 BETWEEN -0.2 AND 1.0 GROUP BY scene_id"
+)
+
 # ------------------------------------------------------------------------------------------------
 # Months and seasons of scenes
 # ------------------------------------------------------------------------------------------------

@@ -56,6 +56,7 @@ from furrow.operators.scenes import (
 )
 from furrow.operators.season import index_season, vegetation_season, weather_season
 from furrow.operators.streaks import longest_dated_streak, longest_true_streak
+from furrow.operators.tiles import tile_boundaries, tile_edge_density, tile_patch_sizes, tile_quantiles
 from furrow.operators.weather import (
     WeatherThresholds,
     climatology_of,
@@ -80,6 +81,7 @@ from parity.surrogates import (
     label_rows,
     rgb_scene_table,
     table,
+    tiled_scenes,
     weather_daily,
     weather_headers,
 )
@@ -337,6 +339,25 @@ def tensor_months(spark, sf):
     )
 
 
+# --- scenes in tiles ----------------------------------------------------------------------------
+def tiled_patch_areas(spark, sf):
+    return tile_patch_sizes(tiled_scenes(spark, sf), 0.3)
+
+
+def tiled_edges(spark, sf):
+    level = lambda x: F.floor(F.abs(x) * 700.0).cast("int") % 256
+    tiles = tiled_scenes(spark, sf, 1.0).withColumn("data", F.transform("data", level))
+    return rounded(tile_edge_density(tiles))
+
+
+def tiled_boundaries(spark, sf):
+    return tile_boundaries(tiled_scenes(spark, sf), -0.5)
+
+
+def tiled_quantiles(spark, sf):
+    return rounded(tile_quantiles(tiled_scenes(spark, sf)))
+
+
 # --- labels -------------------------------------------------------------------------------------
 def label_choice(spark, sf):
     return choose_label_rows(label_rows(spark, sf), TARGET).select(
@@ -611,6 +632,6 @@ QUERIES = {
         label_paths_selected, label_path_fields, code_lookups, date_key_months, normalised_keys,
         joined_modalities, month_wide, month_keys_values, distinct_month_keys, anchor_records,
         core_weather, weather_records, container_features, label_features_mixed, record_lines, core_ndvi,
-        core_ag, dates_assembled, fusion_flat, input_checks, prediction_checks,
+        core_ag, tiled_patch_areas, tiled_edges, tiled_boundaries, tiled_quantiles, dates_assembled, fusion_flat, input_checks, prediction_checks,
     )
 }

@@ -129,6 +129,18 @@ def tile_scene_table(spark: SparkSession, sf_dir: str, vectors: int = 256, width
     )
 
 
+def tiled_scenes(spark: SparkSession, sf_dir: str, factor: float = 4.0) -> DataFrame:
+    """embeddings as tiles of 8x8 pixels, sixteen to a scene of 32x32; the last scene may lack some."""
+    vec = F.col("vec_id")
+    values = F.transform("embedding", lambda x: x.cast("double") * factor)
+    return table(spark, sf_dir, "embeddings").select(
+        F.floor(vec / 16).cast("string").alias("scene_id"),
+        (F.floor(vec % 16 / 4) * SIDE).cast("int").alias("top"),
+        (vec % 4 * SIDE).cast("int").alias("left"),
+        F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), values.alias("data"),
+    )
+
+
 def rgb_scene_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as 8x8 RGB scenes: three different roundings of each value."""
     level = lambda x, k: (F.floor(F.abs(x.cast("double")) * k).cast("int") % 256).cast("int")
