@@ -80,7 +80,7 @@ def index_statistics(
 
     Quantiles come from the scene's own sorted array; everything else is one aggregation over the
     exploded pixels. ``on_empty`` tells what to do with scenes that have no valid pixel: ``drop``
-    (list them with :func:`scenes_without_valid_pixels`) or ``fail``.
+    (list them with :func:`scenes_without_valid_pixels`), ``keep`` (their mean and other statistics are NULL) or ``fail``.
     """
     keys = _keys(scenes)
     ordered = settled(
@@ -91,14 +91,16 @@ def index_statistics(
     if on_empty == "fail":
         message = F.concat(F.lit("no valid pixel in scene "), F.col("scene_id").cast("string"))
         usable = F.when(usable, F.lit(True)).otherwise(F.raise_error(message))
+    elif on_empty == "keep":
+        usable = F.lit(True)
     elif on_empty != "drop":
-        raise ValueError(f"on_empty must be 'drop' or 'fail', not {on_empty!r}")
+        raise ValueError(f"on_empty must be 'drop', 'keep' or 'fail', not {on_empty!r}")
     ranked = ordered.filter(usable).select(
         *keys,
         "data",
         *[_quantile(F.col("_sorted"), q).alias(n) for n, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))],
         F.get("_sorted", F.lit(0)).alias("lowest"),
-        F.element_at("_sorted", -1).alias("highest"),
+        F.try_element_at("_sorted", F.lit(-1)).alias("highest"),
     )
     pixels = ranked.select(
         *keys, "q25", "q50", "q75", "lowest", "highest", F.explode("data").alias("v")
@@ -125,7 +127,7 @@ def index_statistics(
 
     ok, v = F.col("ok"), F.col("v")
     of_valid = F.when(ok, v)
-    share = lambda condition: F.count_if(ok & condition) / F.count_if(ok)
+    share = lambda condition: F.try_divide(F.count_if(ok & condition), F.count_if(ok))
     everywhere = flag((v > limits.vegetation) & ~F.isnan(v))
     per_bin = [F.count_if(F.col("bin") == k) / (F.count_if(ok) + 1e-8) for k in range(HISTOGRAM_BINS)]
     stats = pixels.groupBy(*keys).agg(
@@ -213,7 +215,7 @@ def colour_statistics(
         F.count_if(green_mask(limits)).alias("green"),
         F.count_if(brown_mask(limits)).alias("brown"),
         F.count_if(soil_mask(limits)).alias("soil"),
-        F.count_if(murky_mask()).alias("murky"),
+        F.count_if(murky_mask(limits)).alias("murky"),
         F.sum("val").alias("val"),
         F.sum("sat").alias("sat"),
     )

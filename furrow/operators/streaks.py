@@ -31,6 +31,33 @@ def longest_dated_streak(
     return dates.groupBy(*keys).agg(F.aggregate(rows, start, step)["best"].alias(alias))
 
 
+DAYS = range(1, 32)
+OTHERS = 1 << 32
+
+
+def day_vector(condition: Column, date: str) -> list[Column]:
+    """Aggregates for one month: per day of the month the rows for which ``condition`` holds and the others, in one number.
+
+    The 31 numbers add up, so they leave their task with the other aggregates of the month.
+    """
+    count = F.when(flag(condition), F.lit(1).cast("long")).otherwise(F.lit(OTHERS))
+    day = F.dayofmonth(date)
+    return [F.sum(F.when(day == k, count)).alias(f"_day_{k}") for k in DAYS]
+
+
+def streak_of_days() -> Column:
+    """Longest run of true rows along a month's day vector; true rows come first within a day."""
+    days = F.array(*[F.coalesce(F.col(f"_day_{k}"), F.lit(0).cast("long")) for k in DAYS])
+    start = F.struct(F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("best"))
+
+    def step(state: Column, day: Column) -> Column:
+        run = state["run"] + day.bitwiseAND(F.lit(OTHERS - 1))
+        after = F.when(day >= OTHERS, F.lit(0).cast("long")).otherwise(run)
+        return F.struct(after.alias("run"), F.greatest(state["best"], run).alias("best"))
+
+    return F.aggregate(days, start, step)["best"]
+
+
 def longest_true_streak(
     df: DataFrame,
     keys: Sequence[str],

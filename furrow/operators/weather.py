@@ -25,7 +25,7 @@ from furrow.functions.numeric import (
 )
 from furrow.functions.text import strip
 from furrow.operators.joins import join_on, with_group_stats
-from furrow.operators.streaks import longest_dated_streak, longest_true_streak
+from furrow.operators.streaks import DAYS, day_vector, longest_true_streak, streak_of_days
 
 # --- fixed values: canonical columns and the header names accepted for them, best first ----------
 WEATHER_ALIASES = {
@@ -207,8 +207,9 @@ def monthly_weather(
     measures that do not simply shift with the unit are aggregated for both units. So the daily rows
     are shuffled as partial aggregates only and no group is ever collected.
 
-    For the dry streak, rows of one date are ordered by their precipitation, missing last. ``order_by`` gives them
-    another order; then the few columns that the streak needs are shuffled row by row.
+    For the dry streak, rows of one calendar day are ordered by their precipitation, missing last, and each day is
+    a slot of a vector in the same aggregate: one scan, one shuffle. ``order_by`` gives them another order; then
+    the table is read twice and the few columns that the streak needs are shuffled row by row.
     """
     if "county_id" not in scope:
         raise ValueError("the scope must contain county_id")
@@ -244,12 +245,13 @@ def monthly_weather(
         F.avg(solar).alias("solar"),
         sum_or_zero(solar).alias("solar_sum"),
         (F.stddev_pop(mean) + F.stddev_pop(rain) + F.stddev_pop(solar)).alias("volatility"),
+        *([] if order_by else day_vector(celsius["dry_day"], "date")),
     )
     if order_by:
         streaks = longest_true_streak(readings, groups, celsius["dry_day"], ["date", *order_by], alias="dry_streak")
+        by_kind = join_on(by_kind, streaks, groups, "left")
     else:
-        streaks = longest_dated_streak(readings, groups, celsius["dry_day"], "date", alias="dry_streak")
-    by_kind = join_on(by_kind, streaks, groups, "left")
+        by_kind = by_kind.withColumn("dry_streak", streak_of_days()).drop(*[f"_day_{k}" for k in DAYS])
 
     # One row per month and row kind from here on: a scope has a few dozen rows.
     in_scope = Window.partitionBy(*scope)

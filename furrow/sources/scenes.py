@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.functions.dates import month_of_date_key
@@ -14,14 +14,25 @@ from furrow.functions.text import fips_code
 from furrow.operators.rasters import index_scenes, luma, rgb_scenes, settled
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Image files through Spark's ``image`` source; an unreadable file makes the job fail.
+def read_images(spark: SparkSession, path: str, on_bad: str = "fail", seen: Observation | None = None) -> DataFrame:
+    """Image files through Spark's ``image`` source.
 
-    :func:`unreadable_images` lists such files.
+    An unreadable file makes the job fail, or is left out with ``on_bad="drop"``. ``seen`` then counts ``images`` and ``unreadable``
+    files in the same pass; :func:`unreadable_images` lists them.
     """
+    if on_bad not in ("fail", "drop"):
+        raise ValueError(f"on_bad must be 'fail' or 'drop', not {on_bad!r}")
+    images = spark.read.format("image").load(path)
+    readable = F.coalesce(F.col("image.height") > 0, F.lit(False))
+    if seen is not None:
+        images = images.observe(seen, F.count_if(readable).alias("images"), F.count_if(~readable).alias("unreadable"))
     broken = F.concat(F.lit("not a readable image: "), F.col("image.origin"))
-    known = F.when(F.col("image.height") > 0, F.col("image.origin")).otherwise(F.raise_error(broken))
-    images = spark.read.format("image").load(path).select(
+    known = F.col("image.origin")
+    if on_bad == "drop":
+        images = images.filter(readable)
+    else:
+        known = F.when(readable, known).otherwise(F.raise_error(broken))
+    images = images.select(
         known.alias("scene_id"),
         F.col("image.height").alias("height"),
         F.col("image.width").alias("width"),
@@ -32,7 +43,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unreadable_images(spark: SparkSession, path: str) -> DataFrame:
-    """Files that :func:`read_images` fails on."""
+    """Files that :func:`read_images` fails on or leaves out."""
     images = spark.read.format("image").load(path)
     return images.filter(F.coalesce(F.col("image.height"), F.lit(-1)) <= 0).select(F.col("image.origin").alias("file"))
 

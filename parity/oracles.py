@@ -196,6 +196,7 @@ ORACLES["weather_climatology"] = (
     + f"SELECT mon AS month, {_r('avg(tm)', 'weather_temperature_baseline')}, {_r('avg(p)', 'weather_rainfall_baseline')}"
     + " FROM monthly GROUP BY mon"
 )
+ORACLES["weather_climatology_merged"] = ORACLES["weather_climatology"]
 ORACLES["weather_lags"] = (
     _with(*WEATHER)
     + f"SELECT {_KEYS}, {_r('lag(p) OVER w', 'weather_rainfall_lag_1')}, {_r('lag(p, 2) OVER w', 'weather_rainfall_lag_2')},"
@@ -349,6 +350,18 @@ ORACLES["ndvi_features"] = (
     + f", coalesce(patches, 0) AS ndvi_healthy_patch_count, {_r('coalesce(max_area, 0.0) / 64', 'ndvi_largest_high_ndvi_patch_ratio')}"
     + " FROM stats s LEFT JOIN patches p ON s.scene_id = p.scene_id"
 )
+ORACLES["ndvi_limits"] = (
+    _with(PIXELS, LOADED, _reach("SELECT scene_id, p, y, x FROM ix WHERE v > 0.4"),
+          "lim AS (SELECT *, v >= -0.5 AND v <= 0.9 AS fine FROM ix)", recursive=True)
+    + f"SELECT l.scene_id, {_r('avg(v) FILTER (fine)', 'ndvi_mean')}, "
+    + ", ".join(
+        _r(f"count(*) FILTER (fine AND v {c}) / count(*) FILTER (fine)", f"ndvi_{n}_ratio")
+        for n, c in (("above_0_3", "> 0.2"), ("above_0_5", "> 0.4"), ("above_0_7", "> 0.6"), ("low", "< 0.1"))
+    )
+    + f", {_r('count(*) FILTER (fine) / count(*)', 'ndvi_valid_coverage_ratio')}, {_r('count(*) FILTER (v > 0.2) / count(*)', 'ndvi_vegetation_coverage_ratio')},"
+    + " coalesce(any_value(patches), 0) AS ndvi_healthy_patch_count"
+    + " FROM lim l LEFT JOIN patches p ON l.scene_id = p.scene_id GROUP BY l.scene_id HAVING count(*) FILTER (fine) > 0"
+)
 ORACLES["ndvi_rejected"] = (
     _with(PIXELS, LOADED)
     + "SELECT scene_id FROM ix GROUP BY scene_id HAVING count(*) FILTER (v - 1.0 >= -0.2 AND v - 1.0 <= 1.0) = 0"
@@ -508,6 +521,13 @@ ORACLES["ag_features"] = (
     + ", coalesce(patches, 0) AS ag_number_of_vegetation_chunks"
     + " FROM colour LEFT JOIN patches USING (scene_id) LEFT JOIN border USING (scene_id)"
 )
+ORACLES["ag_limits"] = (
+    _with(RGB)
+    + f"SELECT scene_id, {_r('count(*) FILTER (sat >= 60 AND val >= 50 AND hue BETWEEN 50 AND 130) / count(*)', 'ag_green_pixel_ratio')},"
+    + f" {_r('count(*) FILTER (val BETWEEN 25 AND 220 AND ((r >= g AND g >= b AND r - b <= 140) OR sat <= 70)) / count(*)', 'ag_soil_exposure_ratio')},"
+    + f" {_r('count(*) FILTER (val <= 80 OR (val >= 180 AND sat <= 90)) / count(*)', 'ag_shadow_cloud_ratio')}"
+    + " FROM hsv GROUP BY scene_id"
+)
 ORACLES["green_patches"] = (
     _with(RGB, _reach(_GREEN), recursive=True)
     + "SELECT scene_id, CAST(patch AS INTEGER) AS patch, area FROM areas"
@@ -610,6 +630,19 @@ ORACLES["season_ndvi"] = (
     + _r("stddev_samp(v) / (avg(v) + 1e-8)", "ndvi_timeseries_cv")
     + " FROM steps GROUP BY county_id, yr"
 )
+ORACLES["season_ndvi_patches"] = (
+    _with(*INDEX, _reach("SELECT scene_id, p, y, x FROM ix WHERE v > 0.5"), recursive=True)
+    + f"SELECT {_MONTH_KEYS}, {_r('avg(mean)', 'ndvi_mean')}, {_r('avg(coalesce(patches, 0))', 'ndvi_healthy_patch_count')},"
+    + f" {_r('avg(coalesce(max_area, 0.0) / 64)', 'ndvi_largest_high_ndvi_patch_ratio')}"
+    + " FROM stats s LEFT JOIN patches p ON s.scene_id = p.scene_id GROUP BY county_id, yr, mon"
+)
+ORACLES["season_ag_patches"] = (
+    _with(*COLOUR, _reach(_GREEN), """
+months AS (SELECT county_id, yr, mon, avg(green * 100.0) AS v, avg(coalesce(patches, 0)) AS n, avg(coalesce(max_area, 0.0) / 64) AS m
+  FROM colour LEFT JOIN patches USING (scene_id) GROUP BY county_id, yr, mon)""", recursive=True)
+    + f"SELECT county_id, yr AS year, mon AS month, {_r('n', 'ag_number_of_vegetation_chunks')}, {_r('m', 'ag_largest_vegetation_chunk_ratio')},"
+    + f" {_r('max(v) OVER w', 'ag_peak_value')}, {_r('max(v) OVER w - min(v) OVER w', 'ag_amplitude')} FROM months WINDOW w AS (PARTITION BY county_id, yr)"
+)
 ORACLES["container_months"] = (
     _with(PIXELS, LOADED)
     + f"""SELECT CAST(CAST(county_id AS INTEGER) AS VARCHAR) || '|' || yr || '-' || lpad(CAST(mon AS VARCHAR), 2, '0')
@@ -913,3 +946,9 @@ SELECT strftime(d, '%Y-%m-%d') AS date, CAST(year(d) AS INTEGER) AS year, CAST(m
 FROM (SELECT *, try_cast(strftime(l_shipdate, '%Y-%m-') || lpad(CAST(CASE WHEN l_orderkey % 9 = 0 THEN 31 ELSE day(l_shipdate) END AS VARCHAR), 2, '0')
   AS DATE) AS d FROM lineitem) WHERE d IS NOT NULL
 """
+ORACLES["united_by_name"] = """
+SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_custkey % 3 <> 1 THEN c_name END AS name,
+  CASE WHEN c_custkey % 3 <> 2 THEN CAST(c_acctbal AS VARCHAR) END AS balance,
+  CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment END AS segment, CAST(NULL AS VARCHAR) AS never_filled
+FROM customer
+"""

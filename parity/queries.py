@@ -25,6 +25,7 @@ from furrow.operators.assemble import (
     monthly_means,
 )
 from furrow.operators.checks import INPUT_RULES, PREDICTION_RULES, predictions, with_reasons
+from furrow.operators.climatology import climatology_of_state, climatology_state
 from furrow.operators.fusion import fusion_features
 from furrow.operators.labels import (
     anchors,
@@ -38,6 +39,8 @@ from furrow.operators.labels import (
 )
 from furrow.operators.patches import mask_above, patch_graphs, patch_sizes, patch_stats
 from furrow.operators.rasters import (
+    ColourRange,
+    ColourThresholds,
     edge_density,
     grey_scenes,
     index_scenes,
@@ -47,6 +50,7 @@ from furrow.operators.rasters import (
     with_hsv,
 )
 from furrow.operators.scenes import (
+    IndexThresholds,
     colour_features,
     colour_statistics,
     green_masks,
@@ -68,10 +72,11 @@ from furrow.operators.weather import (
     with_anomalies,
     with_lags,
 )
-from furrow.plans.export import record_table
+from furrow.plans.export import record_table, scene_season
 from furrow.sources.paths import select_label_paths, with_label_path_fields
 from furrow.sources.scenes import container_scenes, tensor_scenes
 from furrow.sources.sinks import record_json
+from furrow.sources.tables import bound_by_name, united_names
 from parity.surrogates import (
     TIES,
     climatology,
@@ -165,6 +170,11 @@ def weather_climatology(spark, sf):
     return rounded(climatology_of(_monthly(spark, sf)))
 
 
+def weather_climatology_merged(spark, sf):
+    """The climatology from sums per year."""
+    return rounded(climatology_of_state(climatology_state(_monthly(spark, sf))))
+
+
 def weather_lags(spark, sf):
     out = with_lags(_monthly(spark, sf))
     lags = [c for c in out.columns if "_lag_" in c]
@@ -272,6 +282,26 @@ def ag_statistics(spark, sf):
     return rounded(colour_statistics(_rgb(spark, sf)), drop=("_cells",))
 
 
+def ag_limits(spark, sf):
+    """Other pixel classes than the defaults."""
+    green = ColourRange(hues=(50, 130), saturation=60, value=50)
+    limits = ColourThresholds(green=green, soil_dull=70, shadow_value=80, cloud_value=180, cloud_saturation=90)
+    out = colour_statistics(_rgb(spark, sf), limits)
+    return rounded(out.select("scene_id", "ag_green_pixel_ratio", "ag_soil_exposure_ratio", "ag_shadow_cloud_ratio"))
+
+
+def ndvi_limits(spark, sf):
+    """Other index limits than the defaults."""
+    limits = IndexThresholds(valid_min=-0.5, valid_max=0.9, vegetation=0.2, healthy=0.4, dense=0.6, low=0.1)
+    out = index_features(index_scenes(index_scene_table(spark, sf)), limits)
+    return rounded(
+        out.select(
+            "scene_id", "ndvi_mean", "ndvi_above_0_3_ratio", "ndvi_above_0_5_ratio", "ndvi_above_0_7_ratio", "ndvi_low_ratio",
+            "ndvi_valid_coverage_ratio", "ndvi_vegetation_coverage_ratio", "ndvi_healthy_patch_count",
+        )
+    )
+
+
 def ag_features(spark, sf):
     return rounded(colour_features(_rgb(spark, sf)))
 
@@ -309,6 +339,22 @@ def season_ag(spark, sf):
     return rounded(vegetation_season(_colour_monthly(spark, sf)))
 
 
+def season_ndvi_patches(spark, sf):
+    """Monthly means with the patch features, as the export takes them."""
+    monthly, _ = scene_season(index_scenes(index_scene_table(spark, sf)), "ndvi")
+    return rounded(
+        monthly.select(
+            "county_id", "crop_type", "year", "month", "ndvi_mean", "ndvi_healthy_patch_count", "ndvi_largest_high_ndvi_patch_ratio"
+        )
+    )
+
+
+def season_ag_patches(spark, sf):
+    monthly, summary = scene_season(_rgb(spark, sf), "ag")
+    chunks = monthly.select("county_id", "year", "month", "ag_number_of_vegetation_chunks", "ag_largest_vegetation_chunk_ratio")
+    return rounded(chunks.join(summary.select("county_id", "year", "ag_peak_value", "ag_amplitude"), ["county_id", "year"]))
+
+
 def container_months(spark, sf):
     """A stored container with text date keys: scenes, months and mean pixel."""
     scenes = index_scene_table(spark, sf)
@@ -566,6 +612,22 @@ def label_features_mixed(spark, sf):
     )
 
 
+def united_by_name(spark, sf):
+    """customer as rows of three headers, which name other columns in other orders and cases."""
+    key = F.col("c_custkey")
+    text = lambda c: F.col(c).cast("string")
+    rows = table(spark, sf, "customer").select(
+        (key % 3).cast("string").alias("file"),
+        F.when(key % 3 == 0, F.array(text("c_custkey"), text("c_name"), text("c_acctbal")))
+        .when(key % 3 == 1, F.array(text("c_acctbal"), text("c_custkey")))
+        .otherwise(F.array(text("c_mktsegment"), text("c_custkey"), text("c_name"))).alias("cells"),
+    )
+    headers = [["key", "name", "balance"], ["Balance", "KEY"], ["segment", "Key", "name", "never filled"]]
+    layouts = spark.createDataFrame([(str(i), h) for i, h in enumerate(headers)], "file string, header array<string>")
+    names = united_names(headers)
+    return bound_by_name(rows, F.broadcast(layouts), names).withColumnRenamed("never filled", "never_filled")
+
+
 def record_lines(spark, sf):
     """JSON text of records: missing fields left out, but for those that are always written."""
     customer = table(spark, sf, "customer").select(
@@ -632,6 +694,7 @@ QUERIES = {
         label_paths_selected, label_path_fields, code_lookups, date_key_months, normalised_keys,
         joined_modalities, month_wide, month_keys_values, distinct_month_keys, anchor_records,
         core_weather, weather_records, container_features, label_features_mixed, record_lines, core_ndvi,
-        core_ag, tiled_patch_areas, tiled_edges, tiled_boundaries, tiled_quantiles, dates_assembled, fusion_flat, input_checks, prediction_checks,
+        core_ag, tiled_patch_areas, tiled_edges, tiled_boundaries, tiled_quantiles, dates_assembled,
+        weather_climatology_merged, ag_limits, ndvi_limits, season_ndvi_patches, season_ag_patches, united_by_name, fusion_flat, input_checks, prediction_checks,
     )
 }

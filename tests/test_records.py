@@ -1,9 +1,11 @@
+import io
 import json
 import struct
 import zlib
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from furrow.operators.assemble import (
@@ -26,8 +28,11 @@ from furrow.operators.checks import (
     valid_rows,
     with_reasons,
 )
+from furrow.operators.climatology import store_years, stored_climatology
 from furrow.operators.fusion import fusion_features
+from furrow.operators.weather import climatology_of
 from furrow.plans.export import only_needed_partitions, record_table, run_export
+from furrow.sources import tables
 from furrow.sources.scenes import (
     container_scenes,
     index_from_images,
@@ -356,3 +361,62 @@ def test_tensor_months(spark):
     out = record_table(anchor_table(spark), scenes, "ndvi").first()
     assert out["features"]["ndvi_m02_ndvi_mean"] == pytest.approx(0.475)
     assert out["features"]["ndvi_available_months"] == 2
+
+
+def test_headers_read_no_further_than_needed(spark, tmp_path):
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            self.taken += n
+            return super().read(n)
+
+    big = Counted(b"\xef\xbb\xbfdate,tmean\r\n" + b"2017-01-01,1\n" * 1_000_000)
+    assert tables.first_line(big) == "date,tmean" and big.taken <= tables.HEADER_BYTES
+    wide = Counted(b"x" * 200_000 + b",y\n1\n")
+    assert tables.first_line(wide) == "x" * 200_000 + ",y"
+    assert tables.first_line(io.BytesIO(b"")) == "" and tables.first_line(io.BytesIO(b"only")) == "only"
+    (tmp_path / "a b+%.csv").write_text("date,n\n2017-01-01,1\n")
+    (tmp_path / "c.csv").write_text("n,date\n2,2017-01-02\n")
+    got = {r["file"].rsplit("/", 1)[1]: r["header"] for r in tables.file_headers(spark, [str(tmp_path)]).collect()}
+    assert sorted(got.values()) == ["date,n", "n,date"]
+    scanned = {r["file"].rsplit("/", 1)[1]: r["header"] for r in tables._scanned_headers(spark, [str(tmp_path)]).collect()}
+    assert scanned == got
+    assert sorted(map(tuple, read_csv_by_name(spark, [str(tmp_path)]).select("date", "n").collect())) == [("2017-01-01", "1"), ("2017-01-02", "2")]
+
+
+def test_one_scan_for_all_headers(spark, tmp_path):
+    for i in range(6):
+        names = ["date", "tmean", f"extra {i}"][:: 1 if i % 2 else -1]
+        cells = {"date": f"2017-01-0{i + 1}", "tmean": str(i), f"extra {i}": '"a, b"'}
+        (tmp_path / f"{i}.csv").write_text(",".join(names) + "\n" + ",".join(cells[n] for n in names) + "\n" + cells[names[0]] + "\n")
+    out = read_csv_by_name(spark, [str(tmp_path)])
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    rows = out.collect()
+    assert len(rows) == 12 and len(out.columns) == 8
+    assert {r["date"]: r["tmean"] for r in rows if r["date"] and r["tmean"]} == {f"2017-01-0{i + 1}": str(i) for i in range(6)}
+    assert [r["extra 3"] for r in rows if r["date"] == "2017-01-04" and r["tmean"]] == ["a, b"]
+
+
+def test_images_left_out_are_counted_in_the_same_pass(spark, tmp_path):
+    (tmp_path / "good.png").write_bytes(png([[0, 255, 10]], 1))
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    seen = Observation()
+    rows = read_images(spark, str(tmp_path), on_bad="drop", seen=seen).collect()
+    assert [r["scene_id"].rsplit("/", 1)[1] for r in rows] == ["good.png"]
+    assert seen.get == {"images": 1, "unreadable": 1}
+    with pytest.raises(ValueError):
+        read_images(spark, str(tmp_path), on_bad="skip")
+
+
+def test_climatology_grows_by_years(spark, tmp_path):
+    rows = [(y, m, 1.5 * y % 7 + m, float(y % 5) if m != 3 or y % 2 else None) for y in range(2000, 2006) for m in (1, 3, 7)]
+    monthly = spark.createDataFrame(rows, "year int, month int, weather_temp_mean double, weather_total_precipitation double")
+    path = str(tmp_path / "state")
+    store_years(monthly.filter("year < 2004"), path)
+    store_years(monthly.filter("year = 2004").withColumn("weather_temp_mean", F.lit(99.0)), path)
+    for year in (2004, 2005):
+        store_years(monthly.filter(F.col("year") == year), path)
+    want = {r["month"]: tuple(r)[1:] for r in climatology_of(monthly).collect()}
+    got = {r["month"]: tuple(r)[1:] for r in stored_climatology(spark, path).collect()}
+    assert got.keys() == want.keys() and all(got[m] == pytest.approx(want[m]) for m in want)
