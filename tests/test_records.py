@@ -31,7 +31,8 @@ from furrow.operators.checks import (
 from furrow.operators.climatology import store_years, stored_climatology
 from furrow.operators.fusion import fusion_features
 from furrow.operators.weather import climatology_of
-from furrow.plans.export import only_needed_partitions, record_table, run_export
+from furrow.plans import export
+from furrow.plans.export import only_needed_partitions, published_records, record_table, run_export
 from furrow.sources import tables
 from furrow.sources.scenes import (
     container_scenes,
@@ -309,6 +310,42 @@ def test_three_modalities_export(spark, tmp_path):
     assert manifest["modality_stats"]["ag"] == {"split_counts": {"test": 0, "train": 2, "validation": 0}, "rows_written": 2}
 
 
+def test_a_crashed_export_is_not_published_and_starts_over(spark, tmp_path, monkeypatch):
+    y = '"YIELD, MEASURED IN BU / ACRE"'
+    write_labels(tmp_path, "Corn", 2017, f"state_ansi,county_ansi,{y}", ["28,151,88.25"])
+    _, ndvi = containers(spark)
+    bare = ndvi.limit(1).withColumns({"grid_index": F.lit(9), "data": F.transform("data", lambda v: v * 0 + F.lit(-0.9))})
+    elsewhere = bare.withColumns({"county_id": F.lit("01001").cast(ndvi.schema["county_id"].dataType), "grid_index": F.lit(3)})
+    (tmp_path / "w.csv").write_text(WEATHER)
+    raw = {
+        "ndvi": container_scenes(ndvi.unionByName(bare).unionByName(elsewhere), "ndvi"),
+        "weather": read_county_weather(spark, [str(tmp_path / "w.csv")]),
+    }
+    out = str(tmp_path / "out")
+    run = lambda: run_export(spark, str(tmp_path), out, raw, years=[2017], crops=["corn"], fips_codes=["28151"])
+    with pytest.raises(ValueError, match="no export"):
+        published_records(spark, out, "ndvi")
+    first = run()
+    whole, kept = published_records(spark, out, "ndvi").collect(), export.write_jsonl_splits
+
+    def killed(df, path, *args):
+        if path.endswith("weather"):
+            raise KeyboardInterrupt
+        return kept(df, path, *args)
+
+    monkeypatch.setattr(export, "write_jsonl_splits", killed)
+    with pytest.raises(KeyboardInterrupt):
+        run()
+    for modality in raw:
+        with pytest.raises(ValueError, match="no complete export"):
+            published_records(spark, out, modality)
+    monkeypatch.setattr(export, "write_jsonl_splits", kept)
+    assert run() == first
+    assert published_records(spark, out, "ndvi").collect() == whole and published_records(spark, out, "weather").count() == 1
+    rejected = [json.loads(line) for p in Path(out, "rejects").glob("part-*") for line in p.read_text().splitlines()]
+    assert [(r["kind"], r["reason"], r["source"].rsplit("|", 1)[1]) for r in rejected] == [("ndvi", "no valid pixel", "9")]
+
+
 def test_export_reads_wanted_partitions_only(spark, tmp_path):
     _, ndvi = containers(spark)
     stored = ndvi.withColumn("year", F.lit(2017)).crossJoin(spark.createDataFrame([("MS",), ("LA",)], "state_abbr string"))
