@@ -1,8 +1,8 @@
 """Quality rules with the frequency of lines across the documents of a host. DataFrame functions only.
 
 A line that many different documents of one host hold is page furniture. Lines are normalised (lower case, spaces
-collapsed), hashed, and counted over the distinct texts of their host; copies of one text count once, for they
-are the business of deduplication. Lines above the limits are taken out, and a document left with too few of
+collapsed), hashed, and counted over the documents of their host; documents of one text count once, for copies
+are the business of deduplication. Lines above the limit are taken out, and a document left with too few of
 its words is rejected.
 """
 
@@ -12,16 +12,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import HAS_WORD, WORD_BREAK, settled, word_count, words_of
+from .common import HAS_WORD, WORD_BREAK, settled, word_count, words_of, written
 
 
 @dataclass(frozen=True)
 class LineLimits:
-    """A line goes when more than ``min_documents`` texts of its host hold it and these are more than
-    ``max_share`` of the host's documents; a document goes when less than ``min_left`` of its words stay."""
+    """A line goes when more than ``max_documents`` different documents of its host hold it, however large the host is; a
+    document goes when less than ``min_left`` of its words stay."""
 
-    min_documents: int = 20
-    max_share: float = 0.1
+    max_documents: int = 20
     min_left: float = 0.5
 
 
@@ -70,44 +69,33 @@ def _with_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def furniture_words(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """Words in lines above the limits, per distinct text that has such lines: host, text key, furniture.
+    """Words in lines above the limit, per distinct text that has such lines: host, text key, furniture.
 
-    ``docs(host, text)``. A line counts once per distinct text of its host. Rows that are shuffled hold a few
+    ``docs(host, text)``, read once. A line counts once per distinct text of its host. Rows that are shuffled hold a few
     numbers per line, grouped first by text and line, then by line, so neither a host nor a line is a group.
     """
     text = F.col("text")
-    keyed = docs.where(text.isNotNull()).select(
-        "host", F.xxhash64(text).alias("key"), F.explode(F.split(text, "\n")).alias("line")
-    )
-    line = keyed.where(F.col("line").rlike(HAS_WORD)).select(
-        "host",
-        "key",
-        F.xxhash64(normal_line(F.col("line"))).alias("line"),
-        word_count(F.col("line")).alias("words"),
-    )
-    # Rows of equal texts are equal: their number divides out.
-    copies = docs.where(text.isNotNull()).groupBy("host", F.xxhash64(text).alias("key")).agg(F.count("*").alias("copies"))
-    held = line.groupBy("host", "key", "line").agg(F.sum("words").alias("words"))
-    documents = docs.groupBy("host").agg(F.count("*").alias("documents"))
+    lines = docs.where(text.isNotNull()).select("host", F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    has_word, first = F.col("line").rlike(HAS_WORD), F.col("at") == 0
+    # Every row has one first line, which counts the rows of equal texts also where it has no word.
+    rows = lines.where(has_word | first).select(
+        "host", "key", F.when(has_word, F.xxhash64(normal_line(F.col("line")))).alias("line"),
+        F.when(has_word, word_count(F.col("line"))).otherwise(F.lit(0)).alias("words"), first.cast("long").alias("copies"),
+    )
+    held = rows.groupBy("host", "key", "line").agg(F.sum("words").alias("words"), F.sum("copies").alias("copies"))
+    held = written(held, "lines")
     often = (
-        held.groupBy("host", "line")
+        held.where("line IS NOT NULL")
+        .groupBy("host", "line")
         .agg(F.count("*").alias("texts"))
-        .where(F.col("texts") > limits.min_documents)
-        .alias("l")
-        .join(documents.alias("d"), F.col("l.host").eqNullSafe(F.col("d.host")))
-        .where(F.col("texts") > limits.max_share * F.col("documents"))
-        .select(F.col("l.host").alias("often_host"), F.col("l.line").alias("often_line"))
+        .where(F.col("texts") > limits.max_documents)
+        .select(F.col("host").alias("often_host"), F.col("line").alias("often_line"), F.lit(True).alias("often"))
     )
-    gone = (
-        held.join(often, F.col("host").eqNullSafe(F.col("often_host")) & (F.col("line") == F.col("often_line")))
-        .groupBy("host", "key")
-        .agg(F.sum("words").alias("words"))
-    )
-    counted = gone.alias("g").join(
-        copies.alias("c"), F.col("g.host").eqNullSafe(F.col("c.host")) & (F.col("g.key") == F.col("c.key"))
-    )
-    furniture = (F.col("g.words") / F.col("c.copies")).cast("long")
-    return counted.select(F.col("g.host").alias("host"), F.col("g.key").alias("key"), furniture.alias("furniture"))
+    marked = held.join(often, F.col("host").eqNullSafe(F.col("often_host")) & (F.col("line") == F.col("often_line")), "left")
+    counted = marked.groupBy("host", "key").agg(F.sum(F.when(F.col("often"), F.col("words"))).alias("words"), F.sum("copies").alias("copies"))
+    # Rows of equal texts are equal: their number divides out.
+    furniture = (F.col("words") / F.col("copies")).cast("long")
+    return counted.where("words > 0").select("host", "key", furniture.alias("furniture"))
 
 
 def judge_quality(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:

@@ -15,7 +15,7 @@ from .common import cut, with_running_total, word_count
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
 MOST_COPIES = 2
-STEPS = 60
+STEPS = 200
 NEAR = 1e-6
 FIXES = 4
 PARTS = 64
@@ -59,7 +59,8 @@ def tilts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``sizes(key, size, n)`` counts documents by size, ``targets(key, target, source_size)``. Each iteration joins the
     multipliers to the sizes, sums expected words and their derivative per source, and takes a Newton step on the
-    logarithm of the words, kept within a bracket. Only the greatest error goes to the driver. Sources whose target is
+    logarithm of the words, kept within a bracket. Only whether any error is left goes to the driver; that the steps do not
+    suffice is an error. Sources whose target is
     all the words twice have no finite multiplier; their tilt is infinite and their rate 2.
     """
     used = sizes.where(F.col("size") > 0)
@@ -109,8 +110,8 @@ def tilts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
             )
         )
         if not state.where(F.col("error") > 0).take(1):
-            break
-    return state.select("key", "scale", "tilt")
+            return state.select("key", "scale", "tilt")
+    raise RuntimeError(f"multipliers still off their targets after {STEPS} steps")
 
 
 def _with_source(docs: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:

@@ -20,9 +20,7 @@ r AS (SELECT rid, unnest(list(i)) AS i FROM v WHERE c IS NOT NULL GROUP BY rid,
 cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) AS o(k) GROUP BY rid),
 held AS (SELECT DISTINCT source, text, unnest(ls) AS line FROM w WHERE text IS NOT NULL),
 norm AS (SELECT source, text, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM held),
-often AS (SELECT n.source, n.line FROM (SELECT source, line, count(DISTINCT text) AS texts FROM norm GROUP BY ALL) n
-          JOIN (SELECT source, count(*) AS docs FROM documents GROUP BY source) s ON n.source IS NOT DISTINCT FROM s.source
-          WHERE texts > 20 AND texts > 0.1 * docs),
+often AS (SELECT source, line FROM norm GROUP BY source, line HAVING count(DISTINCT text) > 20),
 gone AS (SELECT x.rid, sum(x.n) AS lost FROM (
            SELECT rid, source, len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n,
                   lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line

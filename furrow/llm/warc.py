@@ -15,17 +15,23 @@ import bisect
 import gzip
 import hashlib
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from furrow.operators.joins import small_side
+
 from .common import attempt_file, opened, shared_folder, written
 
 MIN_SHARED_BYTES = 100
 BLOCK_CAPTURES = 2000
 ARCHIVE_BYTES = 256 << 20
+READ_BYTES = 8 << 20
+PAGE, REFERRED_PAGE = "X-Page-ID", "X-Refers-To-Page-ID"
 VERSION = b"WARC/1.1\r\n"
 
 CAPTURES = (
@@ -44,9 +50,9 @@ def url_key(url: Column) -> Column:
 
 
 def planned_records(pages: DataFrame) -> DataFrame:
-    """Add payload_bytes, payload_digest, record_type and refers_to to ``pages(page_id, url, html)``.
+    """Add payload_bytes, payload_digest, record_type, refers_to and its url to ``pages(page_id, url, html)``.
 
-    Only digests that occur twice or more are grouped rows; the rest have no partner in the join.
+    Digests that occur twice or more are found from narrow rows; while they are few, pages are not moved to learn of them.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     digested = pages.select(
@@ -55,11 +61,11 @@ def planned_records(pages: DataFrame) -> DataFrame:
     firsts = (
         digested.where(F.col("payload_bytes") >= MIN_SHARED_BYTES)
         .groupBy("payload_digest")
-        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+        .agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n"))
         .where(F.col("n") > 1)
         .drop("n")
     )
-    joined = digested.join(firsts, "payload_digest", "left")
+    joined = digested.join(small_side(firsts), "payload_digest", "left")
     revisit = F.col("first_id").isNotNull() & (F.col("first_id") != F.coalesce(F.col("page_id"), F.lit(-1)))
     return joined.select(
         "page_id",
@@ -69,25 +75,38 @@ def planned_records(pages: DataFrame) -> DataFrame:
         "payload_digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("first_id")).alias("refers_to"),
+        F.when(revisit, F.coalesce("first_url", F.lit(""))).alias("refers_to_url"),
     )
 
 
-def record_bytes(row: dict) -> bytes:
-    """One record: header lines, empty line, block, two empty lines."""
+def one_line(url: str | None) -> str:
+    """A url that can stand in a header."""
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record_bytes(row: dict, place: str, date: str) -> bytes:
+    """One record: header lines, empty line, block, two empty lines.
+
+    The block is an HTTP response, without a payload for revisits. The record's id comes from its ``place`` (archive and
+    offset), so it is unique whatever the page ids are; these stand in fields of their own.
+    """
     revisit = row["record_type"] == "revisit"
-    block = b"" if revisit else (row["html"] or "").encode()
-    url = (row["url"] or "").replace("\r", "%0D").replace("\n", "%0A")
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n".encode()
+    block = http if revisit else http + (row["html"] or "").encode()
     lines = [
         f"WARC-Type: {row['record_type']}",
-        f"WARC-Record-ID: <urn:page:{'' if row['page_id'] is None else row['page_id']}>",
-        f"WARC-Target-URI: {url}",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {one_line(row['url'])}",
         f"WARC-Payload-Digest: sha256:{row['payload_digest']}",
-        f"WARC-Payload-Length: {row['payload_bytes']}",
-        "Content-Type: text/html; charset=utf-8",
+        f"{PAGE}: {'' if row['page_id'] is None else row['page_id']}",
+        "Content-Type: application/http;msgtype=response",
     ]
     if revisit:
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        lines.append(f"WARC-Refers-To: <urn:page:{row['refers_to']}>")
+        lines.append(f"WARC-Refers-To-Target-URI: {one_line(row['refers_to_url'])}")
+        lines.append(f"WARC-Refers-To-Date: {date}")
+        lines.append(f"{REFERRED_PAGE}: {row['refers_to']}")
     lines.append(f"Content-Length: {len(block)}")
     return VERSION + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -104,8 +123,16 @@ def parsed_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:length]
 
 
+def payload_of(block: bytes) -> tuple[int, bytes]:
+    """Length that the HTTP headers of a block tell, and the payload behind them."""
+    head, _, payload = block.partition(b"\r\n\r\n")
+    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    return int(fields["Content-Length"]), payload
+
+
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """Write planned records to archives of bounded size; returns one capture row per record."""
+    """Write planned records to archives of bounded size; returns one capture row per record. All bear the time of writing."""
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     schema = pa.schema(
         [("surt", pa.string()), ("page_id", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
     )
@@ -122,7 +149,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                         out.close()
                     name, at = attempt_file(base, ".warc.gz"), 0
                     out = store.open_output_stream(name, compression=None)
-                member = gzip.compress(record_bytes(row), 1, mtime=0)
+                member = gzip.compress(record_bytes(row, f"{name}:{at}", date), 1, mtime=0)
                 out.write(member)
                 rows.append((row["surt"], row["page_id"], name, at, len(member)))
                 at += len(member)
@@ -242,21 +269,18 @@ class _Starts:
         return self.rows[i][0], self.rows[i][1]
 
 
-def read_captures(wanted: DataFrame, folder: str, parts: list[tuple]) -> DataFrame:
+def read_captures(wanted: DataFrame, folder: str, parts: list[tuple], tasks: int | None = None) -> DataFrame:
     """Look up ``wanted(surt, page_id)`` in the index and read their records.
 
     A row asked for twice, or two records under one key, give the records once per distinct key. Responses are
-    checked against their digest. Returns page_id, payload_bytes, payload_digest, record_type, refers_to, html.
+    checked against their digest. ``tasks`` share the keys; see :func:`reading_tasks`. Returns page_id, payload_bytes, payload_digest,
+    record_type, refers_to.
     """
     schema = pa.schema(
         [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
          ("refers_to", pa.int64())]
     )
 
-    def number(text: str) -> int | None:
-        digits = text.removeprefix("<urn:page:").removesuffix(">")
-        return int(digits) if digits else None
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CaptureIndex(folder, parts)
         for batch in batches:
@@ -265,28 +289,35 @@ def read_captures(wanted: DataFrame, folder: str, parts: list[tuple]) -> DataFra
             for capture in sorted(captures, key=lambda c: (c[2], c[3])):
                 headers, block = index.record(capture)
                 digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
-                size, kind = int(headers["WARC-Payload-Length"]), headers["WARC-Type"]
-                if kind == "response" and (len(block) != size or hashlib.sha256(block).hexdigest() != digest):
+                kind, (size, payload) = headers["WARC-Type"], payload_of(block)
+                if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                     raise ValueError(f"payload of {capture} differs from its digest")
-                refers = number(headers["WARC-Refers-To"]) if kind == "revisit" else None
-                rows.append((number(headers["WARC-Record-ID"]), size, digest, kind, refers))
+                page, refers = headers[PAGE], headers.get(REFERRED_PAGE)
+                rows.append((int(page) if page else None, size, digest, kind, int(refers) if refers else None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     keys = wanted.select("surt", F.coalesce(F.col("page_id"), F.lit(-1).cast("long")).alias("page_id")).distinct()
     out = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return keys.repartitionByRange("surt", "page_id").sortWithinPartitions("surt", "page_id").mapInArrow(task, out)
+    ranges = keys.repartitionByRange(*([tasks] if tasks else []), "surt", "page_id")
+    return ranges.sortWithinPartitions("surt", "page_id").mapInArrow(task, out)
+
+
+def reading_tasks(captures: DataFrame) -> int:
+    """Number of tasks so that each reads about ``READ_BYTES`` of the archives; keys alone are too small to tell."""
+    total = captures.agg(F.sum("length").alias("bytes")).first()["bytes"] or 0
+    return max(1, -(-total // READ_BYTES))
 
 
-def archive_pages(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> tuple[str, list[tuple]]:
-    """Write ``pages`` to archives and index them; returns the folder and the list of index parts.
+def archive_pages(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> tuple[str, list[tuple], int]:
+    """Write ``pages`` to archives and index them; returns the folder, the list of index parts and the tasks to read all.
 
     The list has one row per part, as many as the index has partitions.
     """
     folder = folder or shared_folder(spark, "warc")
     captures = written(write_archives(planned_records(pages), folder), "captures")
     parts = sorted(tuple(row) for row in write_index(captures, folder).collect())
-    return folder, parts
+    return folder, parts, reading_tasks(captures)
 
 
 def archived_and_read(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -297,5 +328,5 @@ def archived_and_read(spark: SparkSession, pages: DataFrame) -> DataFrame:
     responses too. An empty table gives no rows; other columns are ignored.
     """
     wanted = pages.select("page_id", "url", "html")
-    folder, parts = archive_pages(spark, wanted)
-    return read_captures(wanted.select("page_id", url_key(F.col("url")).alias("surt")), folder, parts)
+    folder, parts, tasks = archive_pages(spark, wanted)
+    return read_captures(wanted.select("page_id", url_key(F.col("url")).alias("surt")), folder, parts, tasks)

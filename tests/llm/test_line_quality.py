@@ -33,10 +33,9 @@ def plain_counts(text):
 
 
 def plain_verdicts(rows, limits):
-    texts, docs = {}, {}
+    texts = {}
     key = lambda x: " ".join(split_words(x)).lower()
     for _, text, source in rows:
-        docs[source] = docs.get(source, 0) + 1
         for line in (text or "").split("\n"):
             if split_words(line):
                 texts.setdefault((source, key(line)), set()).add(text)
@@ -47,7 +46,7 @@ def plain_verdicts(rows, limits):
         lost = sum(
             len(split_words(x))
             for x in (text or "").split("\n")
-            if split_words(x) and len(texts[source, key(x)]) > max(limits.min_documents, limits.max_share * docs[source])
+            if split_words(x) and len(texts[source, key(x)]) > limits.max_documents
         )
         out.append((doc_id, *counts, failed, not failed and counts[0] - lost >= limits.min_left * counts[0], lost))
     return sorted(out, key=str)
@@ -63,7 +62,7 @@ def test_line_frequency(spark):
     rows += [(200 + i, rows[0][1], "a") for i in range(30)]
     rows += [(1, None, "a"), (1, None, "a"), (2, "", None), (None, "x # y\n\nx # y\r\n \n", "c"), (9, "w " * 40000, "c"), (10, "\xa0 é漢 " * 60, "c"), (11, "a b c a b c", "c")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    limits = line_quality.LineLimits(min_documents=5, max_share=0.1)
+    limits = line_quality.LineLimits(max_documents=5)
     clash = frame.selectExpr("*", "1 AS key", "'h' AS host", "2 AS n_words", "3 AS line").repartition(4)
     got = sorted(map(tuple, line_quality.judge_quality(clash, limits).collect()), key=str)
     assert got == plain_verdicts(rows, limits)

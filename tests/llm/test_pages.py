@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import os
 import random
+import re
 
 import pytest
 
@@ -47,16 +48,19 @@ def test_pages_come_back(spark, monkeypatch, tmp_path, block, archive):
 def test_archives_and_lookups(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(warc, "BLOCK_CAPTURES", 5)
     rows, frame = pages_frame(spark)
-    folder, parts = warc.archive_pages(spark, frame, f"file://{tmp_path}/w")
+    folder, parts, tasks = warc.archive_pages(spark, frame, f"file://{tmp_path}/w")
+    assert tasks == 1
     names = [f for f in os.listdir(tmp_path / "w") if f.endswith(".warc.gz")]
     whole = b"".join(gzip.decompress((tmp_path / "w" / f).read_bytes()) for f in names)
     assert whole.count(b"WARC/1.1\r\n") == len(rows)
+    ids = re.findall(rb"WARC-Record-ID: <urn:uuid:([0-9a-f-]{36})>\r\n", whole)
+    assert len(ids) == len(set(ids)) == len(re.findall(rb"WARC-Date: 20\d\d-\d\d-\d\dT[\d:]{8}Z\r\n", whole)) == len(rows)
     index = warc.CaptureIndex(folder, parts)
     found = index.captures("com,example,a)/3?q")
     want = {p for p, u, _ in rows if u == "https://A.example.com/3?q#f"}
     assert {c[1] for c in found} == want and want
     headers, body = index.record(next(c for c in index.captures("long)") if c[1] == 400))
-    assert headers["WARC-Target-URI"] == "http://long" and body == b"z" * 3_000_000
+    assert headers["WARC-Target-URI"] == "http://long" and warc.payload_of(body) == (3_000_000, b"z" * 3_000_000)
     assert index.captures("com,example,zz)/") == []
     capture = list(found[0])
     capture[4] -= 9

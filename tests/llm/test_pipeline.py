@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from furrow.llm import mixing
+from furrow.llm import language, mixing
 from furrow.llm.queries import QUERIES
 from tests.llm.test_simhash import plain_components, plain_fingerprint
 from tests.llm.test_suffix_dedup import planted
@@ -45,9 +45,23 @@ def stages(spark):
     return out
 
 
-def test_language_keeps_all_texts_with_letters(stages):
-    want = [r for r in stages[0] if r[1] and any(c.isalpha() for c in r[1])]
+def test_language_keeps_known_ones_and_fills_gaps(spark, stages):
+    frame = spark.createDataFrame(stages[0], "doc_id long, text string, lang string, source string, n_chars long")
+    predicted = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predicted_languages(frame).collect()}
+    sure = [r for r in stages[0] if predicted[r[0]][1] >= corpus_pipeline.LEAST_SCORE]
+    want = [(r[0], r[1], r[2] or predicted[r[0]][0], *r[3:]) for r in sure]
     assert sorted(stages[1], key=str) == sorted(want, key=str) and len(want) < len(stages[0])
+    given = {r[0] for r in stages[0] if r[0] < 10**9 and r[1] and any(c.isalpha() for c in r[1])}
+    assert given <= {r[0] for r in want}
+
+
+def test_language_rejects_what_no_profile_knows(spark):
+    known = [(i, f"the words of a known language number {i} are here", "en", "s", 1) for i in range(40)]
+    others = [(50, "漢字仮名 交じり文", None, "s", 1), (51, "words of the known language", None, "s", 1), (52, "жжж ЩЩЩ", "ru", "s", 1), (53, "12", "en", "s", 1)]
+    docs = spark.createDataFrame([*known, *others], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.where("doc_id <> 52 OR crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2")
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.known_language(spark, docs, SF).collect()}
+    assert kept == {**{i: "en" for i in range(40)}, 51: "en"}
 
 
 def test_one_document_of_each_group_stays(stages):
