@@ -12,18 +12,26 @@ from furrow.llm import bpe, language, mixing, simhash, suffix_dedup
 from furrow.llm.common import table, ready, written
 
 
+# Prose of a learned language scores over 0.4; a text of another alphabet has no n-gram of any profile and scores 0.
+LEAST_SCORE = 0.1
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter, and null texts, go. No other goes, labelled or not: if no
-    language could be learned, all texts with a letter stay."""
+    """Documents in a language that the labelled ones teach, sure enough; ``lang`` is the prediction where it was null.
+
+    Null texts, texts without a letter and texts that score under ``LEAST_SCORE`` go. If no language could be
+    learned, all texts with a letter stay as they are.
+    """
     ready(spark)
     profiles = language.learn_profiles(docs.select("doc_id", "text", "lang"))
     names = docs.columns
     rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row"))
-    if profiles:
-        kept = language.identify(rows, profiles).where(F.col("lang_pred") != language.UNKNOWN)
-    else:
-        kept = language.with_letters(rows)
-    return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in names])
+    value = lambda c: F.col("text") if c == "text" else F.col("row")[c].alias(c)
+    if not profiles:
+        return language.with_letters(rows).select(*map(value, names))
+    kept = language.identify(rows, profiles).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    lang = F.coalesce(F.col("row")["lang"], F.col("lang_pred")).alias("lang")
+    return kept.select(*[lang if c == "lang" else value(c) for c in names])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
