@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from furrow.session import cut_lineage
 
+THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
 BITS_PER_KEY, PROBES = 12, 4
 FEWEST_BITS, MOST_BITS = 1 << 10, 1 << 27
 
@@ -45,8 +47,9 @@ def measured_bytes(df: DataFrame) -> int:
 
 
 def broadcast_limit(df: DataFrame) -> int:
-    """The session's broadcast threshold in bytes; negative for none."""
-    return int(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("bB"))
+    """The session's broadcast threshold in bytes; negative for none. It may be written with a unit, such as 256k or 10MB."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", df.sparkSession.conf.get(THRESHOLD).lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
 
 
 def small_side(df: DataFrame) -> DataFrame:

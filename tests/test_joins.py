@@ -84,6 +84,12 @@ def test_group_decisions_leave_rows_where_they_are(spark, threshold):
         assert sorted(map(str, make().collect())) == sorted(map(str, df.collect()))
 
 
+@pytest.mark.parametrize("text, size", [("10485760b", 10 << 20), ("10485760", 10 << 20), ("256k", 256 << 10), ("10MB", 10 << 20), ("-1", -1), ("1g", 1 << 30)])
+def test_thresholds_may_have_units(spark, threshold, text, size):
+    threshold(text)
+    assert joins.broadcast_limit(spark.range(1)) == size
+
+
 def test_container_identities_are_checked_apart_from_pixels(spark):
     rows = [("f", "1", "2019-05-01", i, 1, 2, [0.1 * i, 0.5]) for i in range(4)]
     schema = "file string, county_id string, date string, grid_index int, height int, width int, data array<double>"
