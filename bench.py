@@ -23,7 +23,7 @@ from parity.queries import QUERIES
 from parity.surrogates import tile_scene_table
 
 HEADLINE = [
-    "weather_monthly", "dry_streak", "weather_anomaly", "weather_lags", "day_measures",
+    "weather_monthly", "weather_monthly_untied", "dry_streak", "weather_anomaly", "weather_lags", "day_measures",
     "season_weather", "ndvi_statistics", "ndvi_patches", "ndvi_features", "ag_statistics",
     "ag_features", "patch_boundaries", "season_ndvi", "label_choice", "label_anchors",
     "joined_modalities", "month_wide", "anchor_records", "fusion_flat", "input_checks",
