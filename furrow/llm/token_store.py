@@ -8,6 +8,7 @@ their order and the number of ids before each.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import unicodedata
@@ -119,7 +120,7 @@ BATCH_CHARS = 1 << 20
 
 
 class PieceTable:
-    """Ids of known pieces by a 64-bit hash of their characters, in open addressing."""
+    """Ids of known pieces, found by a 64-bit hash of their characters in open addressing and told by the characters."""
 
     def __init__(self, bits: int = TABLE_BITS):
         self.mask = np.int64((1 << bits) - 1)
@@ -132,6 +133,9 @@ class PieceTable:
         self.size, self.filled = 0, 0
         self.begin, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.ids = np.zeros(1 << 14, np.uint16)
+        self.written = 0
+        self.text_begin, self.text_length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.codes = np.zeros(1 << 14, np.uint32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each piece, -1 for unknown ones."""
@@ -146,19 +150,48 @@ class PieceTable:
             open_at, slot, wanted = open_at[on], (slot[on] + 1) & self.mask, wanted[on]
         return out
 
-    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
-        """Enter new pieces; hashes are distinct and unknown."""
+    def differing(self, numbers: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which pieces ``codes[start:end]``, in a row, have other characters than the entries of these numbers."""
+        sizes = ends - starts
+        other = self.text_length.take(numbers) != sizes
+        begin = np.where(other, 0, self.text_begin.take(numbers))
+        places = np.repeat(begin - starts, sizes) + np.arange(len(codes))
+        wrong = np.flatnonzero(self.codes.take(places, mode="clip") != codes)
+        other[np.searchsorted(starts, wrong, side="right") - 1] = True
+        return np.flatnonzero(other)
+
+    def _write(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Append the characters of new pieces."""
+        sizes = ends - starts
+        stop = self.written + np.cumsum(sizes)
+        while len(sizes) and stop[-1] > len(self.codes):
+            self.codes = np.resize(self.codes, 2 * len(self.codes))
+        if len(sizes):
+            at = np.repeat(starts - (stop - sizes - self.written), sizes) + np.arange(int(sizes.sum()))
+            self.codes[self.written : stop[-1]] = codes[at]
+            numbers = self.size + np.arange(len(sizes))
+            self.text_begin[numbers], self.text_length[numbers] = stop - sizes, sizes
+            self.written = int(stop[-1])
+
+    def _grow(self, more: int) -> None:
+        """Make room for as many more pieces."""
+        while self.size + more > len(self.begin):
+            for name in ("begin", "length", "text_begin", "text_length"):
+                setattr(self, name, np.resize(getattr(self, name), 2 * len(getattr(self, name))))
+
+    def add(self, hashes: np.ndarray, ids: list[list[int]], codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Enter new pieces ``codes[start:end]``; hashes are distinct and unknown."""
+        self._grow(len(ids))
+        self._write(codes, starts, ends)
         lengths = np.fromiter(map(len, ids), np.int32, len(ids))
-        ends = self.filled + np.cumsum(lengths, dtype=np.int64)
+        id_ends = self.filled + np.cumsum(lengths, dtype=np.int64)
         numbers = self.size + np.arange(len(ids))
-        while self.size + len(ids) > len(self.begin):
-            self.begin, self.length = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.length, 2 * len(self.length))
-        while len(ids) and ends[-1] > len(self.ids):
+        while len(ids) and id_ends[-1] > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.begin[numbers], self.length[numbers] = ends - lengths, lengths
+        self.begin[numbers], self.length[numbers] = id_ends - lengths, lengths
         if len(ids):
-            self.ids[self.filled : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.uint16, int(lengths.sum()))
-            self.filled = int(ends[-1])
+            self.ids[self.filled : id_ends[-1]] = np.fromiter(chain.from_iterable(ids), np.uint16, int(lengths.sum()))
+            self.filled = int(id_ends[-1])
         self.size += len(ids)
         slot = hashes.view(np.int64) & self.mask
         while len(hashes):
@@ -179,10 +212,10 @@ class PieceTable:
 class PieceTokenizer:
     """A tokenizer file of the tokenizers library; each distinct piece of text is encoded by it once.
 
-    Pieces are what its pre-tokenizer splits texts into, and are encoded independently of each other. They are known
-    by a 64-bit hash; a table of a million pieces holds two of one hash with a chance under 1 in 10^7. Texts with a
+    Pieces are what its pre-tokenizer splits texts into, and are encoded independently of each other. They are found
+    by a 64-bit hash and compared by their characters. Texts with a piece whose hash another one has taken, with a
     special token's string, with characters newer than this Python knows, or of over a million characters are
-    encoded whole.
+    encoded whole. The file's pre-tokenizer must be the byte-level one whose pieces are found here.
     """
 
     def __init__(self, path: str):
@@ -190,6 +223,12 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            content = json.load(file)
+        splits = content["pre_tokenizer"] or {}
+        wanted = {"type": "ByteLevel", "add_prefix_space": False}
+        if content["normalizer"] or any(splits.get(k) != v for k, v in wanted.items()) or not splits.get("use_regex", True):
+            raise ValueError(f"{path} has a normalizer, or splits texts in another way than by bytes with spaces kept")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = {b: letter for b, letter in enumerate(byte_letters())}
@@ -222,6 +261,10 @@ class PieceTokenizer:
             self._encode_some(texts, held, out)
         return out
 
+    def _encode_whole(self, texts: list[str], which: list[int], out: list[np.ndarray]) -> None:
+        for i in which:
+            out[i] = np.array(self._encoded([texts[i]])[0], np.uint16)
+
     def _encode_some(self, texts: list[str], which: list[int], out: list[np.ndarray]) -> None:
         joined = "".join([texts[i] for i in which])
         codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
@@ -230,8 +273,7 @@ class PieceTokenizer:
         kinds = character_kinds().take(codes)
         if (kinds == UNKNOWN).any():
             odd = np.unique(np.searchsorted(begins, np.flatnonzero(kinds == UNKNOWN), side="right") - 1)
-            for i in [which[k] for k in odd]:
-                out[i] = np.array(self._encoded([texts[i]])[0], np.uint16)
+            self._encode_whole(texts, [which[k] for k in odd], out)
             left = sorted(set(range(len(which))) - set(odd.tolist()))
             if left:
                 self._encode_some(texts, [which[k] for k in left], out)
@@ -249,7 +291,8 @@ class PieceTokenizer:
             missing = np.flatnonzero(numbers < 0)
             new, first = np.unique(hashes[missing], return_index=True)
             first = missing[first]
-            self.table.add(new, self._merged([joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]))
+            a, b = starts[first], ends[first]
+            self.table.add(new, self._merged([joined[i:j] for i, j in zip(a.tolist(), b.tolist())]), codes, a, b)
             numbers[missing] = self.table.find(hashes[missing])
         ids, id_ends = self.table.gathered(numbers)
         # Texts begin with a piece of their own.
@@ -257,6 +300,9 @@ class PieceTokenizer:
         bounds = np.concatenate([[0], id_ends])[piece]
         for k, i in enumerate(which):
             out[i] = ids[bounds[k] : bounds[k + 1]]
+        taken = self.table.differing(numbers, codes, starts, ends)
+        if len(taken):
+            self._encode_whole(texts, [which[k] for k in np.unique(np.searchsorted(begins, starts[taken], side="right") - 1)], out)
 
 
 @cache

@@ -69,6 +69,21 @@ def test_pieces_of_odd_texts(monkeypatch):
     token_store._hash_tables.cache_clear()
 
 
+def test_pieces_of_one_hash():
+    """A Thue-Morse word of 1024 letters and its complement have one polynomial hash modulo 2^64."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, f"x {other} {word}", word + other, "plain", f" {other}"]
+    tokenizer, pieces = Tokenizer.from_file(BYTES), token_store.PieceTokenizer(BYTES)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for order in (texts, texts[::-1]):
+        assert [ids.tolist() for ids in pieces.encode(order)] == (want if order is texts else want[::-1])
+    with pytest.raises(ValueError, match="splits texts"):
+        token_store.PieceTokenizer(WORDS)
+
+
 def test_files_of_few_ids(spark, monkeypatch, documents):
     rows = sorted(documents)[:40]
     frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
