@@ -1,26 +1,29 @@
 """Range coder for token ids whose predictions of three orders are mixed.
 
 The last two ids and the last one each point at an entry that names the id seen there before and how often in a row it
-was right. Order 0 is the ids' frequencies, stored with the file. An id's share is the weighted sum of what the
-three predict: per block and confidence, the weights of orders 2 and 1 follow how often such predictions were right, and
-order 0 has the rest. The share is a slice of the range, so nothing is coded twice.
+was right. Order 0 predicts every id by its count in the block so far, and new ids by a fixed rule, under which shares fall
+off with the id, as tokenizers number frequent tokens first; the counts take effect whenever the block has doubled. The
+range is shared out by weights: per block and confidence, the weights of orders 2 and 1 follow how often such predictions
+were right, order 0 has the rest, and new ids get the more of that the more the block has had. An id that several
+predictions name is coded by the widest of its slices.
 
-Blocks start from an empty model each. They are coded in lockstep, one lane per block, so every step is a few
-array operations over all lanes; a block's bytes do not depend on the other lanes. All arithmetic is on integers.
+Blocks start from the same model each, which holds nothing of any text, so a block is decoded from its own bytes. They are
+coded in lockstep, one lane per block, so every step is a few array operations over all lanes; a block's bytes do not
+depend on the other lanes. All arithmetic is on integers.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
 IDS = 1 << 16
 SLOTS = 1 << 10
-TOTAL_BITS = 28
+TOTAL_BITS = 30
 TOTAL = 1 << TOTAL_BITS
-COUNT_BITS = 20
+COUNT_BITS = 19
 MOST_SURE = 7
 SURE_BITS = 3
 RATE = 5
@@ -32,53 +35,65 @@ FIRST_WEIGHTS = np.array([TOTAL * (c + 1) // (2 * c + 24) for c in range(MOST_SU
 # What a weight tends to after wrong and after right predictions.
 LIMITS = np.array([TOTAL >> 9, TOTAL - (TOTAL >> 4)], np.int64)
 
+# Order 0 of new ids: shares of 2^19, at least 1 for every id.
+NEW_SUMS = np.concatenate([[0], np.cumsum((1 << 24) // (np.arange(IDS) + 64))])
+NEW_SUMS = np.arange(IDS + 1) + ((1 << COUNT_BITS) - IDS) * NEW_SUMS // NEW_SUMS[-1]
+NEW_ID_AT = np.repeat(np.arange(IDS, dtype=np.int32), np.diff(NEW_SUMS))
+# Counts take effect at steps of these powers of two. Order 0's share of known ids is of 2^8, within bounds.
+FIRST_RENEWAL, LAST_RENEWAL = 5, 15
+SHARE_BITS = 8
+LEAST_KNOWN, MOST_KNOWN = 32, 224
+LANES_AT_ONCE = 64
 
-class Frequencies:
-    """Order 0: ids' shares of 2^20, at least 1 for every id that occurs."""
 
-    def __init__(self, ids: np.ndarray, counts: np.ndarray):
-        self.ids, self.counts = ids, counts
-        room = (1 << COUNT_BITS) - len(ids)
-        wide = 1 + counts.astype(object) * room // max(1, int(counts.sum())) if len(ids) else counts
-        wide = np.array(wide, np.int64)
-        if len(ids):
-            wide[counts.argmax()] += (1 << COUNT_BITS) - wide.sum()
-        shares = np.zeros(IDS, np.int64)
-        shares[ids] = wide
-        self.sums = np.concatenate([[0], np.cumsum(shares)])
-        self.id_at = np.repeat(np.arange(IDS, dtype=np.int32), shares)
+def renewals(steps: int) -> Iterator[tuple[int, int, int]]:
+    """Spans of steps with one state of order 0: first step, last but one, and bits of the number of ids counted."""
+    for bits in range(FIRST_RENEWAL, LAST_RENEWAL + 1):
+        if 1 << bits < steps:
+            yield 1 << bits, steps if bits == LAST_RENEWAL else min(steps, 2 << bits), bits
 
-    @classmethod
-    def of(cls, ids: np.ndarray) -> Frequencies:
-        counts = np.bincount(ids, minlength=IDS)
-        found = np.flatnonzero(counts)
-        return cls(found, counts[found])
 
-    def packed(self) -> bytes:
-        gaps = np.diff(self.ids, prepend=0).astype("<u2").tobytes()
-        data = zlib.compress(gaps + self.counts.astype("<u8").tobytes(), 6)
-        return struct.pack("<II", len(self.ids), len(data)) + data
+def known_share(distinct: np.ndarray, bits: int) -> np.ndarray:
+    """Order 0's share of known ids, of 2^8: half as many new ones are awaited as there were."""
+    share = (1 << SHARE_BITS) - ((distinct << SHARE_BITS) >> (bits + 1))
+    return np.clip(share, LEAST_KNOWN, MOST_KNOWN)
 
-    @classmethod
-    def unpacked(cls, data: bytes) -> Frequencies:
-        n, size = struct.unpack_from("<II", data)
-        raw = zlib.decompress(data[8 : 8 + size])
-        return cls(np.cumsum(np.frombuffer(raw, "<u2", n).astype(np.int64)), np.frombuffer(raw, "<u8", n, 2 * n).astype(np.int64))
+
+class History:
+    """The sorted ids counted of all lanes, and the places of equal ones."""
+
+    def __init__(self, ids: np.ndarray, bits: int):
+        lanes, n = ids.shape[1], 1 << bits
+        self.ids, self.firsts, self.stops = (np.empty((lanes, n), np.uint16) for _ in range(3))
+        self.share = np.empty(lanes, np.int64)
+        place = np.arange(n, dtype=np.uint16)
+        for lane in range(0, lanes, LANES_AT_ONCE):
+            rows = slice(lane, lane + LANES_AT_ONCE)
+            ordered = np.sort(ids[:n, rows].T, axis=1, kind="stable")
+            new = np.ones((len(ordered), n + 1), bool)
+            new[:, 1:-1] = ordered[:, 1:] != ordered[:, :-1]
+            self.ids[rows] = ordered
+            self.firsts[rows] = np.maximum.accumulate(place * new[:, :-1], axis=1)
+            ends = np.where(new[:, 1:], place + np.uint16(1), np.uint16(n))
+            self.stops[rows] = np.minimum.accumulate(ends[:, ::-1], axis=1)[:, ::-1]
+            self.share[rows] = known_share(new[:, :-1].sum(axis=1), bits)
+        self.ids, self.firsts, self.stops = self.ids.ravel(), self.firsts.ravel(), self.stops.ravel()
 
 
 class LaneModel:
     """Predictions of all lanes for their next id."""
 
-    def __init__(self, lanes: int, frequencies: Frequencies):
+    def __init__(self, lanes: int):
         lane = np.arange(lanes, dtype=np.int64)
-        self.sums, self.known = frequencies.sums, frequencies.id_at
         self.entries = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]
         self.weights = [np.tile(FIRST_WEIGHTS, lanes) for _ in range(2)]
         self.slot_row, self.weight_row = lane * SLOTS, lane << SURE_BITS
         self.last = self.before = np.zeros(lanes, np.int64)
+        self.share = np.zeros(lanes, np.int64)
+        self.bits = 0
 
     def predict(self) -> None:
-        """Set the predicted ids and the shares of all orders."""
+        """Set the predicted ids and the widths of all orders."""
         mask, sure = SLOTS - 1, MOST_SURE
         one = self.last * 40503
         two = one + self.before * 31337
@@ -91,36 +106,64 @@ class LaneModel:
         self.weight_one, self.two = self.weights[0].take(self.by_one), self.weights[1].take(self.by_two)
         rest = TOTAL - self.two
         self.one = (rest * self.weight_one) >> TOTAL_BITS
-        self.none = rest - self.one
+        none = rest - self.one
+        self.known = (none * self.share) >> SHARE_BITS
+        self.new = none - self.known
+        # Slices lie in this order: what order 2, order 1, order 0's counts and order 0's rule predict.
+        self.begin_known = self.two + self.one
+        self.begin_new = self.begin_known + self.known
+
+    def _known_slice(self, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of the slice of counts from ``first`` to ``stop``."""
+        start = (self.known * first) >> self.bits
+        width = ((self.known * stop) >> self.bits) - start
+        start += self.begin_known
+        return start, width
+
+    def _set_new_slices(self, lanes: np.ndarray, ids: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        new = self.new[lanes]
+        begin = (new * NEW_SUMS.take(ids)) >> COUNT_BITS
+        start[lanes] = self.begin_new[lanes] + begin
+        width[lanes] = ((new * NEW_SUMS.take(ids + 1)) >> COUNT_BITS) - begin
 
-    def slice_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of an id's share; sets which predictions are right."""
-        start = (self.none * self.sums.take(ids)) >> COUNT_BITS
-        width = ((self.none * self.sums.take(ids + 1)) >> COUNT_BITS) - start
+    def _set_predicted_slices(self, one: np.ndarray, two: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        """Set the slices of orders 1 and 2 where they are meant."""
+        np.copyto(start, self.two, where=one)
+        np.copyto(width, self.one, where=one)
+        np.copyto(start, 0, where=two)
+        np.copyto(width, self.two, where=two)
+
+    def slice_of(self, ids: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of the widest slice of each id, which takes these places among the ids counted (none: new)."""
         self.right_one, self.right_two = self.id_one == ids, self.id_two == ids
-        start += self.one * (self.id_one < ids)
-        start += self.two * (self.id_two < ids)
-        width += self.one * self.right_one
-        width += self.two * self.right_two
+        start, width = self._known_slice(first, stop)
+        lanes = np.flatnonzero(stop == 0)
+        self._set_new_slices(lanes, ids[lanes], start, width)
+        one = self.right_one & (self.one > width)
+        two = self.right_two & (self.two > np.where(one, self.one, width))
+        self._set_predicted_slices(one, two, start, width)
         return start, width
 
-    def id_of(self, value: np.ndarray) -> np.ndarray:
-        """The id whose share holds each value."""
-        a, b = self.id_one, self.id_two
-        none_a, none_b = (self.none * self.sums.take(a)) >> COUNT_BITS, (self.none * self.sums.take(b)) >> COUNT_BITS
-        start_a = none_a + self.two * (b < a)
-        start_b = none_b + self.one * (a < b)
-        past_a, past_b = start_a <= value, start_b <= value
-        # Within a prediction's own slice the rest points below the id; it is set right after.
-        rest = value - self.one * past_a - self.two * past_b
-        both = (a == b) * 1
-        end_a = start_a + self.one + self.two * both
-        end_b = start_b + self.two + self.one * both
-        in_a, in_b = past_a & (value < end_a), past_b & (value < end_b)
-        rest[in_a | in_b] = 0
-        ids = self.known.take((((rest + 1) << COUNT_BITS) - 1) // self.none, mode="clip")
-        ids = np.where(in_a, a, ids)
-        return np.where(in_b, b, ids)
+    def id_of(self, value: np.ndarray, history: History | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id whose slice holds each value, and the slice."""
+        if history is None:
+            found, start, width = (np.zeros(len(value), np.int64) for _ in range(3))
+        else:
+            # The last place that starts at or before the value; what other slices make of it is set right after.
+            place = (((value - self.begin_known + 1) << self.bits) - 1) // self.known
+            at = self.history_row + np.clip(place, 0, (1 << self.bits) - 1)
+            found = history.ids.take(at).astype(np.int64)
+            start, width = self._known_slice(history.firsts.take(at), history.stops.take(at))
+        lanes = np.flatnonzero(value >= self.begin_new)
+        place = (((value[lanes] - self.begin_new[lanes] + 1) << COUNT_BITS) - 1) // self.new[lanes]
+        found[lanes] = NEW_ID_AT.take(place, mode="clip")
+        self._set_new_slices(lanes, found[lanes], start, width)
+        one, two = value < self.begin_known, value < self.two
+        np.copyto(found, self.id_one, where=one)
+        np.copyto(found, self.id_two, where=two)
+        self._set_predicted_slices(one, two, start, width)
+        self.right_one, self.right_two = self.id_one == found, self.id_two == found
+        return found, start, width
 
     def learn(self, ids: np.ndarray) -> None:
         fresh = (ids << SURE_BITS) + 1
@@ -133,25 +176,64 @@ class LaneModel:
         self.before, self.last = self.last, ids.astype(np.int64)
 
 
-def encode_blocks(blocks: list[np.ndarray], frequencies: Frequencies) -> list[bytes]:
+def counted_places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """For every step and lane, where its id stands among the sorted ids counted: first place and the one after its last.
+
+    Also order 0's share of known ids at every renewal. Nothing is counted at first.
+    """
+    firsts, stops = np.zeros(ids.shape, np.uint16), np.zeros(ids.shape, np.uint16)
+    shares = {}
+    for begin, end, bits in renewals(len(ids)):
+        shares[begin] = np.empty(ids.shape[1], np.int64)
+        for lane in range(0, ids.shape[1], LANES_AT_ONCE):
+            lanes = slice(lane, lane + LANES_AT_ONCE)
+            # An id counted comes before equal ones whose places are asked for, which bear their step.
+            span = end - begin
+            kind, low_bits = (np.uint32, 16) if span < 1 << 16 else (np.int64, 32)
+            keys = ids[:end, lanes].T.astype(kind) << kind(low_bits)
+            keys[:, begin:] += np.arange(1, span + 1, dtype=kind)
+            keys.sort(axis=1)
+            step, values = keys & kind((1 << low_bits) - 1), keys >> kind(low_bits)
+            counted = step == 0
+            upto = np.cumsum(counted, axis=1, dtype=np.uint16)
+            new = np.ones(keys.shape, bool)
+            new[:, 1:] = values[:, 1:] != values[:, :-1]
+            before = upto - counted
+            before[~new] = 0
+            first = np.maximum.accumulate(before, axis=1)
+            shares[begin][lanes] = known_share((new & counted).sum(axis=1), bits)
+            asked = np.flatnonzero(~counted.ravel())
+            first, upto, step = first.ravel()[asked], upto.ravel()[asked], step.ravel()[asked].astype(np.int64)
+            # A row has as many ids asked for as any other. Ids that are not counted have no places.
+            step += np.repeat(np.arange(len(keys)) * span, span) - 1
+            places = np.empty((2, len(asked)), np.uint16)
+            places[0, step], places[1, step] = first, np.where(first == upto, 0, upto)
+            firsts[begin:end, lanes], stops[begin:end, lanes] = places.reshape(2, len(keys), span).transpose(0, 2, 1)
+    return firsts, stops, shares
+
+
+def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Bytes of each block of ids (0 to 65535), coded side by side.
 
-    Shorter blocks are filled up with the most frequent id; a decoder stops before those.
+    Shorter blocks are filled up with id 0; a decoder stops before those.
     """
     if not blocks:
         return []
     steps, lanes = max(map(len, blocks)), len(blocks)
-    ids = np.full((steps, lanes), frequencies.ids[frequencies.counts.argmax()], np.int32)
+    ids = np.zeros((steps, lanes), np.int32)
     for lane, block in enumerate(blocks):
         ids[: len(block), lane] = block
-    model = LaneModel(lanes, frequencies)
+    firsts, stops, shares = counted_places(ids)
+    model = LaneModel(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     out_lanes, out_words = [], []
     shift = np.uint64(TOTAL_BITS)
     for step in range(steps):
         x = ids[step]
+        if step in shares:
+            model.share, model.bits = shares[step], step.bit_length() - 1
         model.predict()
-        start, width = model.slice_of(x)
+        start, width = model.slice_of(x, firsts[step], stops[step])
         unit = span >> shift
         low += unit * start.view(np.uint64)
         span = unit * width.view(np.uint64)
@@ -174,7 +256,7 @@ def encode_blocks(blocks: list[np.ndarray], frequencies: Frequencies) -> list[by
     return [words[end - n : end].tobytes() for end, n in zip(ends, counts)]
 
 
-def decode_blocks(payloads: list[bytes], sizes: list[int], frequencies: Frequencies) -> list[np.ndarray]:
+def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     """Ids of each block from its bytes and its number of ids."""
     if not payloads:
         return []
@@ -184,16 +266,21 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], frequencies: Frequenc
     limit = len(words) - 1
     code = (words[at] << BITS32) | words[np.minimum(at + 1, limit)]
     at = at + 2
-    model = LaneModel(lanes, frequencies)
+    model = LaneModel(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     out = np.zeros((steps, lanes), np.uint16)
     shift, most = np.uint64(TOTAL_BITS), np.uint64(TOTAL - 1)
+    bits_at = {begin: bits for begin, _, bits in renewals(steps)}
+    history = None
     for step in range(steps):
+        if step in bits_at:
+            history = History(out, bits_at[step])
+            model.share, model.bits = history.share, bits_at[step]
+            model.history_row = np.arange(lanes, dtype=np.int64) << model.bits
         model.predict()
         unit = span >> shift
         value = np.minimum((code - low) // unit, most).view(np.int64)
-        x = model.id_of(value)
-        start, width = model.slice_of(x)
+        x, start, width = model.id_of(value, history)
         low += unit * start.view(np.uint64)
         span = unit * width.view(np.uint64)
         small = np.flatnonzero(span < RENEW)

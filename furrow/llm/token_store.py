@@ -1,6 +1,6 @@
 """Token ids in files, coded in blocks, in ascending order of documents.
 
-A file holds a run of documents: a magic word, the ids' frequencies, blocks of ids with length and checksum, the table
+A file holds a run of documents: a magic word, blocks of ids with length and checksum, the table
 of documents, and a trailer that tells where the table starts. Blocks span documents and can be decoded one by one.
 Files are written by tasks under names of their own; the list of files that count, one row per task, gives
 their order and the number of ids before each.
@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import byte_letters
 from .common import attempt_file, opened, shared_folder
-from .token_coder import Frequencies, checksum, decode_blocks, encode_blocks
+from .token_coder import checksum, decode_blocks, encode_blocks
 
-MAGIC = b"TOKENS1\n"
+MAGIC = b"TOKENS2\n"
 BLOCK_IDS = 4096
 LANES = 2048
 FILE_IDS = 1 << 24
@@ -316,12 +316,11 @@ def tokenizer_at(path: str) -> PieceTokenizer:
 def file_bytes(doc_ids: list[int | None], documents: list[np.ndarray]) -> bytes:
     """A file of documents' ids."""
     ids = np.concatenate(documents) if documents else np.array([], np.uint16)
-    frequencies = Frequencies.of(ids)
-    parts = [MAGIC, frequencies.packed(), struct.pack("<I", -(-len(ids) // BLOCK_IDS))]
+    parts = [MAGIC, struct.pack("<I", -(-len(ids) // BLOCK_IDS))]
     blocks = [ids[at : at + BLOCK_IDS] for at in range(0, len(ids), BLOCK_IDS)]
     for first in range(0, len(blocks), LANES):
         group = blocks[first : first + LANES]
-        for block, payload in zip(group, encode_blocks(group, frequencies)):
+        for block, payload in zip(group, encode_blocks(group)):
             parts += [struct.pack("<III", len(block), len(payload), checksum(payload, len(block))), payload]
     known = np.array([d is not None for d in doc_ids], np.uint8)
     numbers = np.array([d or 0 for d in doc_ids], "<i8")
@@ -340,10 +339,8 @@ def read_file(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
     known = np.frombuffer(table, np.uint8, documents)
     numbers = np.frombuffer(table, "<i8", documents, documents)
     sizes = np.frombuffer(table, "<u4", documents, 9 * documents)
-    frequencies = Frequencies.unpacked(data[8:])
-    place = 16 + struct.unpack_from("<II", data, 8)[1]
-    (n_blocks,) = struct.unpack_from("<I", data, place)
-    place += 4
+    (n_blocks,) = struct.unpack_from("<I", data, 8)
+    place = 12
     pieces, payloads, lengths = [], [], []
     for number in range(n_blocks):
         length, size, check = struct.unpack_from("<III", data, place)
@@ -354,7 +351,7 @@ def read_file(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         lengths.append(length)
         place += 12 + size
         if len(payloads) == LANES or number == n_blocks - 1:
-            pieces += decode_blocks(payloads, lengths, frequencies)
+            pieces += decode_blocks(payloads, lengths)
             payloads, lengths = [], []
     ids = np.concatenate(pieces) if pieces else np.array([], np.uint16)
     if len(ids) != sizes.sum():
