@@ -35,7 +35,7 @@ def character_class(kind: str, top: int) -> str:
     """Members of a regex class: code points up to ``top`` whose general category starts with ``kind``."""
     out, start, category = [], None, unicodedata.category
     for c in range(top + 2):
-        if c <= top and category(chr(c))[0] == kind:
+        if c <= top and category(chr(c)).startswith(kind):
             start = c if start is None else start
         elif start is not None:
             out.append(f"{re.escape(chr(start))}-{re.escape(chr(c - 1))}")
@@ -50,6 +50,12 @@ def word_pattern(top: int) -> re.Pattern:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACES}{letters}{numbers}]+")
 
 
+@cache
+def unassigned(top: int) -> re.Pattern:
+    """Characters up to ``top`` that this Python's Unicode tables do not assign."""
+    return re.compile(f"[{character_class('Cn', top)}]")
+
+
 def class_top(text: str) -> int:
     """The smallest of three bounds that no character of ``text`` exceeds."""
     if text.isascii():
@@ -71,9 +77,14 @@ def lowered(text: str) -> str:
 
 
 class WordBpe:
-    """A tokenizer file of byte-level words with an end mark, merged by rank."""
+    """A tokenizer file of byte-level words with an end mark, merged by rank.
+
+    Text with characters newer than this Python's Unicode tables is lower-cased and split into words by the tokenizers
+    library, which may know them; its words are merged like all others.
+    """
 
     def __init__(self, path: str):
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
         model = content["model"]
@@ -182,7 +193,18 @@ class WordBpe:
             at = special.end()
         return found + self._words(text[at:] if at else text)
 
+    def _library_words(self, text: str) -> list[str]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.byte_of = {ord(letter): b for b, letter in enumerate(byte_letters())}
+        split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [word.translate(self.byte_of).encode("latin-1").decode("utf-8") for word, _ in split]
+
     def _words(self, text: str) -> list[str]:
+        if not text.isascii() and unassigned(class_top(text)).search(text):
+            return self._library_words(text.encode("utf-8", "replace").decode("utf-8"))
         text = lowered(unicodedata.normalize("NFC", text))
         return word_pattern(class_top(text)).findall(text)
 
