@@ -64,152 +64,176 @@ class History:
 
     def __init__(self, ids: np.ndarray, bits: int):
         lanes, n = ids.shape[1], 1 << bits
-        self.ids, self.firsts, self.stops = (np.empty((lanes, n), np.uint16) for _ in range(3))
+        # Of every place the id, the first place of its equals, and the one after their last.
+        rows = np.zeros((lanes, n, 4), np.uint16)
         self.share = np.empty(lanes, np.int64)
         place = np.arange(n, dtype=np.uint16)
         for lane in range(0, lanes, LANES_AT_ONCE):
-            rows = slice(lane, lane + LANES_AT_ONCE)
-            ordered = np.sort(ids[:n, rows].T, axis=1, kind="stable")
+            some = slice(lane, lane + LANES_AT_ONCE)
+            ordered = np.sort(ids[:n, some].T, axis=1, kind="stable")
             new = np.ones((len(ordered), n + 1), bool)
             new[:, 1:-1] = ordered[:, 1:] != ordered[:, :-1]
-            self.ids[rows] = ordered
-            self.firsts[rows] = np.maximum.accumulate(place * new[:, :-1], axis=1)
+            rows[some, :, 0] = ordered
+            rows[some, :, 1] = np.maximum.accumulate(place * new[:, :-1], axis=1)
             ends = np.where(new[:, 1:], place + np.uint16(1), np.uint16(n))
-            self.stops[rows] = np.minimum.accumulate(ends[:, ::-1], axis=1)[:, ::-1]
-            self.share[rows] = known_share(new[:, :-1].sum(axis=1), bits)
-        self.ids, self.firsts, self.stops = self.ids.ravel(), self.firsts.ravel(), self.stops.ravel()
+            rows[some, :, 2] = np.minimum.accumulate(ends[:, ::-1], axis=1)[:, ::-1]
+            self.share[some] = known_share(new[:, :-1].sum(axis=1), bits)
+        self.rows = rows.view(np.uint64).ravel()
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """Ids and their first and last places, in columns."""
+        return self.rows.take(places, mode="clip").view(np.uint16).reshape(-1, 4)
 
 
 class LaneModel:
-    """Predictions of all lanes for their next id."""
+    """Predictions of all lanes for their next id. Pairs of rows are of orders 1 and 2."""
 
     def __init__(self, lanes: int):
-        lane = np.arange(lanes, dtype=np.int64)
-        self.entries = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]
-        self.weights = [np.tile(FIRST_WEIGHTS, lanes) for _ in range(2)]
+        lane = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes)
+        self.entries = np.zeros(2 * lanes * SLOTS, np.int32)
+        self.weights = np.tile(FIRST_WEIGHTS, 2 * lanes)
         self.slot_row, self.weight_row = lane * SLOTS, lane << SURE_BITS
+        self.at = np.empty((2, lanes), np.int64)
         self.last = self.before = np.zeros(lanes, np.int64)
         self.share = np.zeros(lanes, np.int64)
         self.bits = 0
 
     def predict(self) -> None:
         """Set the predicted ids and the widths of all orders."""
-        mask, sure = SLOTS - 1, MOST_SURE
-        one = self.last * 40503
-        two = one + self.before * 31337
-        self.at_one = self.slot_row + ((one >> 5) & mask)
-        self.at_two = self.slot_row + ((two >> 5) & mask)
-        self.found_one, self.found_two = self.entries[0].take(self.at_one), self.entries[1].take(self.at_two)
-        self.id_one, self.id_two = self.found_one >> SURE_BITS, self.found_two >> SURE_BITS
-        self.by_one = self.weight_row + (self.found_one & sure)
-        self.by_two = self.weight_row + (self.found_two & sure)
-        self.weight_one, self.two = self.weights[0].take(self.by_one), self.weights[1].take(self.by_two)
-        rest = TOTAL - self.two
-        self.one = (rest * self.weight_one) >> TOTAL_BITS
-        none = rest - self.one
-        self.known = (none * self.share) >> SHARE_BITS
-        self.new = none - self.known
+        at = self.at
+        np.multiply(self.last, 40503, out=at[0])
+        np.add(at[0], self.before * 31337, out=at[1])
+        at >>= 5
+        at &= SLOTS - 1
+        at += self.slot_row
+        self.found = self.entries.take(at, mode="clip")
+        self.guess, self.sure = self.found >> SURE_BITS, self.found & MOST_SURE
+        self.by = self.weight_row + self.sure
+        self.weight = self.weights.take(self.by, mode="clip")
+        self.two = self.weight[1]
+        self.one = TOTAL - self.two
+        self.one *= self.weight[0]
+        self.one >>= TOTAL_BITS
         # Slices lie in this order: what order 2, order 1, order 0's counts and order 0's rule predict.
         self.begin_known = self.two + self.one
+        self.known = TOTAL - self.begin_known
+        self.known *= self.share
+        self.known >>= SHARE_BITS
         self.begin_new = self.begin_known + self.known
 
-    def _known_slice(self, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of the slice of counts from ``first`` to ``stop``."""
-        start = (self.known * first) >> self.bits
-        width = ((self.known * stop) >> self.bits) - start
+    def _known_slice(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of the slice of counts between two rows of places."""
+        cuts = self.known * places
+        cuts >>= self.bits
+        start, width = cuts
+        width -= start
         start += self.begin_known
         return start, width
 
     def _set_new_slices(self, lanes: np.ndarray, ids: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        new = self.new[lanes]
+        after = self.begin_new[lanes]
+        new = TOTAL - after
         begin = (new * NEW_SUMS.take(ids)) >> COUNT_BITS
-        start[lanes] = self.begin_new[lanes] + begin
+        start[lanes] = after + begin
         width[lanes] = ((new * NEW_SUMS.take(ids + 1)) >> COUNT_BITS) - begin
 
-    def _set_predicted_slices(self, one: np.ndarray, two: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        """Set the slices of orders 1 and 2 where they are meant."""
+    def slice_of(self, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of the widest slice of each id, which takes these places among the ids counted (none: new)."""
+        self.right = self.guess == ids
+        start, width = self._known_slice(places)
+        lanes = np.flatnonzero(places[1] == 0)
+        self._set_new_slices(lanes, ids[lanes], start, width)
+        one = self.right[0] & (self.one > width)
         np.copyto(start, self.two, where=one)
         np.copyto(width, self.one, where=one)
+        two = self.right[1] & (self.two > width)
         np.copyto(start, 0, where=two)
         np.copyto(width, self.two, where=two)
-
-    def slice_of(self, ids: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of the widest slice of each id, which takes these places among the ids counted (none: new)."""
-        self.right_one, self.right_two = self.id_one == ids, self.id_two == ids
-        start, width = self._known_slice(first, stop)
-        lanes = np.flatnonzero(stop == 0)
-        self._set_new_slices(lanes, ids[lanes], start, width)
-        one = self.right_one & (self.one > width)
-        two = self.right_two & (self.two > np.where(one, self.one, width))
-        self._set_predicted_slices(one, two, start, width)
         return start, width
 
     def id_of(self, value: np.ndarray, history: History | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The id whose slice holds each value, and the slice."""
         if history is None:
-            found, start, width = (np.zeros(len(value), np.int64) for _ in range(3))
+            found, start, width = np.zeros(len(value), np.int32), *np.zeros((2, len(value)), np.int64)
         else:
             # The last place that starts at or before the value; what other slices make of it is set right after.
-            place = (((value - self.begin_known + 1) << self.bits) - 1) // self.known
-            at = self.history_row + np.clip(place, 0, (1 << self.bits) - 1)
-            found = history.ids.take(at).astype(np.int64)
-            start, width = self._known_slice(history.firsts.take(at), history.stops.take(at))
+            place = value - self.begin_known
+            place += 1
+            place <<= self.bits
+            place -= 1
+            # Below 2^53, so the quotient of doubles is exact enough to be cut.
+            place = (place / self.known).astype(np.int64)
+            place = np.minimum(np.maximum(place, 0), (1 << self.bits) - 1)
+            place += self.history_row
+            rows = history.at(place)
+            found = rows[:, 0].astype(np.int32)
+            start, width = self._known_slice(rows.T[1:3])
         lanes = np.flatnonzero(value >= self.begin_new)
-        place = (((value[lanes] - self.begin_new[lanes] + 1) << COUNT_BITS) - 1) // self.new[lanes]
+        after = self.begin_new[lanes]
+        place = (((value[lanes] - after + 1) << COUNT_BITS) - 1) // (TOTAL - after)
         found[lanes] = NEW_ID_AT.take(place, mode="clip")
         self._set_new_slices(lanes, found[lanes], start, width)
         one, two = value < self.begin_known, value < self.two
-        np.copyto(found, self.id_one, where=one)
-        np.copyto(found, self.id_two, where=two)
-        self._set_predicted_slices(one, two, start, width)
-        self.right_one, self.right_two = self.id_one == found, self.id_two == found
+        for slot, by_one, by_two in ((found, *self.guess), (start, self.two, 0), (width, self.one, self.two)):
+            np.copyto(slot, by_one, where=one)
+            np.copyto(slot, by_two, where=two)
+        self.right = self.guess == found
         return found, start, width
 
     def learn(self, ids: np.ndarray) -> None:
-        fresh = (ids << SURE_BITS) + 1
-        for entries, at, found, right, weights, by, weight in (
-            (self.entries[0], self.at_one, self.found_one, self.right_one, self.weights[0], self.by_one, self.weight_one),
-            (self.entries[1], self.at_two, self.found_two, self.right_two, self.weights[1], self.by_two, self.two),
-        ):
-            entries[at] = np.where(right, found + ((found & MOST_SURE) < MOST_SURE), fresh)
-            weights[by] = weight + ((LIMITS.take(right.view(np.int8)) - weight) >> RATE)
+        """Enter the ids that came (32-bit)."""
+        self.entries[self.at] = np.where(self.right, self.found + (self.sure < MOST_SURE), (ids << SURE_BITS) + 1)
+        step = np.where(self.right, LIMITS[1], LIMITS[0])
+        step -= self.weight
+        step >>= RATE
+        step += self.weight
+        self.weights[self.by] = step
         self.before, self.last = self.last, ids.astype(np.int64)
 
 
-def counted_places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+def ranks_in_lanes(ids: np.ndarray) -> np.ndarray:
+    """Place of every id among the distinct ids of its lane."""
+    steps, lanes = ids.shape
+    kind, low_bits = (np.uint32, 16) if steps <= 1 << 16 else (np.int64, 32)
+    keys = ids.T.astype(kind) << kind(low_bits)
+    keys |= np.arange(steps, dtype=kind)
+    keys.sort(axis=1)
+    values = keys >> kind(low_bits)
+    ranks = np.zeros(keys.shape, np.int32)
+    np.cumsum(values[:, 1:] != values[:, :-1], axis=1, dtype=np.int32, out=ranks[:, 1:])
+    keys &= kind((1 << low_bits) - 1)
+    at = keys + np.arange(lanes, dtype=np.int64)[:, None] * steps
+    out = np.empty(keys.size, np.int32)
+    out[at.ravel()] = ranks.ravel()
+    return np.ascontiguousarray(out.reshape(lanes, steps).T)
+
+
+def counted_places(ids: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """For every step and lane, where its id stands among the sorted ids counted: first place and the one after its last.
 
     Also order 0's share of known ids at every renewal. Nothing is counted at first.
     """
-    firsts, stops = np.zeros(ids.shape, np.uint16), np.zeros(ids.shape, np.uint16)
-    shares = {}
-    for begin, end, bits in renewals(len(ids)):
-        shares[begin] = np.empty(ids.shape[1], np.int64)
-        for lane in range(0, ids.shape[1], LANES_AT_ONCE):
-            lanes = slice(lane, lane + LANES_AT_ONCE)
-            # An id counted comes before equal ones whose places are asked for, which bear their step.
-            span = end - begin
-            kind, low_bits = (np.uint32, 16) if span < 1 << 16 else (np.int64, 32)
-            keys = ids[:end, lanes].T.astype(kind) << kind(low_bits)
-            keys[:, begin:] += np.arange(1, span + 1, dtype=kind)
-            keys.sort(axis=1)
-            step, values = keys & kind((1 << low_bits) - 1), keys >> kind(low_bits)
-            counted = step == 0
-            upto = np.cumsum(counted, axis=1, dtype=np.uint16)
-            new = np.ones(keys.shape, bool)
-            new[:, 1:] = values[:, 1:] != values[:, :-1]
-            before = upto - counted
-            before[~new] = 0
-            first = np.maximum.accumulate(before, axis=1)
-            shares[begin][lanes] = known_share((new & counted).sum(axis=1), bits)
-            asked = np.flatnonzero(~counted.ravel())
-            first, upto, step = first.ravel()[asked], upto.ravel()[asked], step.ravel()[asked].astype(np.int64)
-            # A row has as many ids asked for as any other. Ids that are not counted have no places.
-            step += np.repeat(np.arange(len(keys)) * span, span) - 1
-            places = np.empty((2, len(asked)), np.uint16)
-            places[0, step], places[1, step] = first, np.where(first == upto, 0, upto)
-            firsts[begin:end, lanes], stops[begin:end, lanes] = places.reshape(2, len(keys), span).transpose(0, 2, 1)
-    return firsts, stops, shares
+    steps, n_lanes = ids.shape
+    places = np.zeros((steps, 2, n_lanes), np.uint16)
+    shares = {begin: np.empty(n_lanes, np.int64) for begin, _, _ in renewals(steps)}
+    for lane in range(0, n_lanes if shares else 0, LANES_AT_ONCE):
+        lanes = slice(lane, lane + LANES_AT_ONCE)
+        ranks = ranks_in_lanes(ids[:, lanes])
+        # A lane's row of counts begins with a zero, so sums up to a rank are of the smaller ones.
+        count, width = ranks.shape[1], int(ranks.max()) + 2
+        at = ranks + np.arange(count) * width
+        counts, done = np.zeros((count, width), np.int64), 0
+        for begin, end, bits in renewals(steps):
+            counts += np.bincount(at[done:begin].ravel() + 1, minlength=counts.size).reshape(counts.shape)
+            done = begin
+            shares[begin][lanes] = known_share((counts > 0).sum(axis=1), bits)
+            upto = np.cumsum(counts, axis=1).astype(np.uint16).ravel()
+            asked = at[begin:end]
+            first, stop = upto.take(asked, mode="clip"), upto.take(asked + 1, mode="clip")
+            # Ids that are not counted have no places.
+            stop *= first != stop
+            places[begin:end, 0, lanes], places[begin:end, 1, lanes] = first, stop
+    return places, shares
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -223,7 +247,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     ids = np.zeros((steps, lanes), np.int32)
     for lane, block in enumerate(blocks):
         ids[: len(block), lane] = block
-    firsts, stops, shares = counted_places(ids)
+    places, shares = counted_places(ids)
     model = LaneModel(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     out_lanes, out_words = [], []
@@ -233,7 +257,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         if step in shares:
             model.share, model.bits = shares[step], step.bit_length() - 1
         model.predict()
-        start, width = model.slice_of(x, firsts[step], stops[step])
+        start, width = model.slice_of(x, places[step])
         unit = span >> shift
         low += unit * start.view(np.uint64)
         span = unit * width.view(np.uint64)

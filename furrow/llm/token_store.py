@@ -231,7 +231,7 @@ class PieceTokenizer:
             raise ValueError(f"{path} has a normalizer, or splits texts in another way than by bytes with spaces kept")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
-        self.letters = {b: letter for b, letter in enumerate(byte_letters())}
+        self.letters = np.array([ord(letter) for letter in byte_letters()], "<u4")
         self.table = PieceTable()
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
@@ -239,8 +239,12 @@ class PieceTokenizer:
 
     def _merged(self, pieces: list[str]) -> list[list[int]]:
         """Ids of single pieces, by the tokenizer's model alone: their bytes as the letters that stand for them."""
-        written = [p.encode("utf-8", "replace").decode("latin-1").translate(self.letters) for p in pieces]
-        return [[token.id for token in self.model.tokenize(w)] for w in written]
+        data = np.frombuffer("".join(pieces).encode("utf-8", "replace"), np.uint8)
+        characters = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        ends = characters[np.cumsum([len(p) for p in pieces])].tolist()
+        written = self.letters.take(data).tobytes().decode("utf-32-le")
+        tokenize = self.model.tokenize
+        return [[token.id for token in tokenize(written[i:j])] for i, j in zip([0, *ends], ends)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
