@@ -1,4 +1,7 @@
-"""Rank-order profiles: the measure by hand, held-out accuracy, edge cases."""
+"""Rank-order profiles: the measure by hand, a brute-force version, held-out accuracy, edge cases."""
+
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -43,6 +46,33 @@ def test_distance_by_hand():
     assert only_y.predict("ab") == ("y", 1 - (3 + 6 * 10) / (7 * 10))
 
 
+def plain_predictions(rows, profile=400):
+    """rows: (doc_id, text, lang); every document against every learned profile."""
+    out_of = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    grams = [Counter(plain_grams(text or "")) for _, text, _ in rows]
+    learned = {}
+    for (i, text, lang), counts in zip(rows, grams):
+        if text is not None and lang is not None and not out_of[i]:
+            learned.setdefault(lang, Counter()).update(counts)
+    ordered = lambda counts: sorted(counts, key=lambda g: (-counts[g], g))[:profile]
+    ranks = {lang: {g: r for r, g in enumerate(ordered(counts))} for lang, counts in learned.items()}
+    judged = []
+    for (i, _, _), counts in zip(rows, grams):
+        own = ordered(counts)
+        apart = lambda known: sum(abs(known[g] - r) if g in known else profile for r, g in enumerate(own))
+        distance, lang = min((apart(known), lang) for lang, known in ranks.items())
+        judged.append((i, out_of[i], lang, 1 - distance / (len(own) * profile)) if own else (i, out_of[i], "und", 0.0))
+    return judged
+
+
+def test_predictions_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    got = sorted(map(tuple, QUERIES["op4_language"](spark, "/root/testdata/sf0.001").collect()))
+    want = sorted(plain_predictions([tuple(r) for r in rows]))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-12)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     judged = QUERIES["op4_language"](spark, SF).join(docs, "doc_id").where("held_out").toPandas()
@@ -54,8 +84,6 @@ def test_held_out_documents_teach_nothing(spark):
     rows = [(i, "alpha beta gamma " * 3, "aa") for i in range(40)] + [(i, "wolke regen sturm " * 3, "bb") for i in range(40, 80)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     split = {r["doc_id"]: r["out"] for r in frame.select("doc_id", language.held_out().alias("out")).collect()}
-    import zlib
-
     assert all(out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, out in split.items())
     lied = spark.createDataFrame([(i, t, "zz" if split[i] else n) for i, t, n in rows], frame.schema)
     assert {r["lang_pred"] for r in language.predicted_languages(lied).collect()} == {"aa", "bb"}

@@ -1,8 +1,11 @@
-"""Targets by hand, tilts against a scalar solver, totals of the mix."""
+"""Targets by hand, tilts against a scalar solver, totals of the mix, and the mix against a brute-force version."""
 
 import math
+import re
+import struct
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from furrow.llm import mixing
@@ -43,6 +46,60 @@ def check_totals(rows, sizes):
         assert abs(got[s] - want[s]) <= max(0.005 * want[s], least.get(s, 0)), s
 
 
+def plain_rates(sizes, target):
+    """Rate of every size but 0: a Newton step on the logarithm of the words, or half of the bracket where that leaves it."""
+    words = sum(sizes)
+    if target >= 2 * words:
+        return lambda size: 2.0
+    scale, tilt, low, high = words / len(sizes), 0.0, -math.inf, math.inf
+    while True:
+        rates = [math.exp(min(tilt * s / scale, math.log(2))) for s in sizes]
+        ratio = sum(s * r for s, r in zip(sizes, rates)) / target
+        if abs(ratio - 1) <= mixing.NEAR:
+            return lambda size: math.exp(min(tilt * size / scale, math.log(2)))
+        slope = sum(s * r * s / scale for s, r in zip(sizes, rates) if tilt * s / scale < math.log(2))
+        low, high = (tilt, high) if ratio < 1 else (low, tilt)
+        after = tilt - math.log(ratio) * ratio * target / slope if slope else math.nan
+        middle = high * 2 - 1 if low == -math.inf else low * 2 + 1 if high == math.inf else (low + high) / 2
+        tilt = after if low < after < high else middle
+
+
+def plain_mix(rows, unit=1 << 30):
+    """rows: (doc_id, text, source); doc_id, size, source_size, target, taken of each."""
+    docs = []
+    for doc_id, text, source in rows:
+        mark = struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<q", doc_id), seed=42)))[0]
+        docs.append({"id": doc_id, "size": len(re.findall(r"[^\x20\x09-\x0D]+", text or "")), "source": source, "mark": mark})
+    sizes = {}
+    for d in docs:
+        sizes.setdefault(d["source"], []).append(d["size"])
+    target = plain_targets({s: sum(of) for s, of in sizes.items()})
+    rate = {s: plain_rates([x for x in of if x], target[s]) for s, of in sizes.items() if sum(of)}
+    # Copies: whole parts of rates, and one more wherever the sum of the rest passes a half.
+    before = unit // 2
+    for d in sorted(docs, key=lambda d: (d["source"] is None, d["source"] or "", -d["size"], d["mark"], d["id"])):
+        share = round(rate[d["source"]](d["size"]) * unit) if d["size"] else unit
+        after = before + share % unit
+        d["copies"], before = min(2, share // unit + after // unit - before // unit), after
+    for _ in range(4):
+        for s in sizes:
+            mine = [d for d in docs if d["source"] == s]
+            short = target[s] - sum(d["size"] * d["copies"] for d in mine)
+            up = 1 if short > 0 else -1
+            free = [d for d in mine if d["size"] and 0 <= d["copies"] + up <= 2 and abs(abs(short) - d["size"]) < abs(short)]
+            if free:
+                min(free, key=lambda d: (abs(abs(short) - d["size"]), d["mark"], d["id"]))["copies"] += up
+    return [(d["id"], d["size"], sum(sizes[d["source"]]), target[d["source"]], d["size"] * d["copies"]) for d in docs]
+
+
+def test_mix_against_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source").collect()]
+    got = sorted(map(tuple, QUERIES["op7_mixing"](spark, "/root/testdata/sf0.001").collect()))
+    want = sorted(plain_mix(rows))
+    assert [(*g[:3], g[4]) for g in got] == [(*w[:3], w[4]) for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], rel=1e-9)
+
+
 def test_query_meets_targets_and_repeats(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source")
     first = QUERIES["op7_mixing"](spark, SF)
